@@ -46,6 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df):
+    """``df`` over all cores where it comes in fewer partitions than there are (a small table in few files)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df):
     """``df`` written once to the shared folder, so that what follows reads one and the same copy."""
     checkpoint_dir(df.sparkSession)
