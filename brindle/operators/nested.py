@@ -39,8 +39,12 @@ def json_list(text: Column, element: str, around: str) -> Column:
         F.when(F.array_contains(F.json_object_keys(plain), around), F.coalesce(F.get_json_object(plain, f"$.{around}"), F.lit("[]"))).otherwise(plain),
     ).otherwise(plain)
     inner = F.when(starts(inner, "{"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner)
-    parsed = F.from_json(wrapped(inner), f"a array<{element}>, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
-    return F.when(starts(inner, "["), parsed["a"])
+    corrupt = {"columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = F.from_json(wrapped(inner), f"a array<{element}>, _corrupt_record string", corrupt)
+    # Elements or fields of other kinds spoil the list as a whole; then each element is read on its own.
+    loose = F.from_json(wrapped(inner), "a array<string>, _corrupt_record string", corrupt)
+    one_by_one = F.when(loose["_corrupt_record"].isNull(), F.transform(loose["a"], lambda e: F.when(starts(e, "{"), F.from_json(e, element))))
+    return F.when(starts(inner, "["), F.when(parsed["_corrupt_record"].isNull(), parsed["a"]).otherwise(one_by_one))
 
 
 def _children(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
