@@ -144,13 +144,16 @@ def truncate_at_sentence(c: Column | str, limit: int, least: float = 0.7) -> Col
 def bigram_overlap(a: Column | str, b: Column | str) -> Column:
     """Jaccard similarity of the sets of character pairs, blanks dropped; 0 where either has none."""
 
-    def pairs(c: Column) -> Column:
-        bare = F.regexp_replace(F.coalesce(as_column(c), F.lit("")), r"\s+", "")
-        return F.when(F.length(bare) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))))
-
-    x, y = pairs(a), pairs(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / both)
+    def pairs(c: Column | str) -> Column:
+        chars = F.split(F.regexp_replace(F.coalesce(as_column(c), F.lit("")), r"\s+", ""), "")
+        chars = F.filter(chars, lambda x: x != "")
+        n = F.greatest(F.size(chars) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda x, y: F.concat(x, y)))
+
+    # The sets are bound once, so that they aren't computed anew wherever they are used.
+    sets = F.array(F.struct(pairs(a).alias("x"), pairs(b).alias("y")))
+    both = lambda s: F.size(F.array_union(s["x"], s["y"]))
+    return F.transform(sets, lambda s: F.when(both(s) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(s["x"], s["y"])) / both(s)))[0]
 
 
 def rescue_json(c: Column | str) -> Column:
