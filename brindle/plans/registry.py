@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.clean import key_form, log_time
 from brindle.operators import nested, rolling, sessions
-from brindle.plans import retrieval, texts
+from brindle.plans import operations, retrieval, texts
+from brindle.plans.sql import key_sql, time_sql
 from brindle.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,21 +66,6 @@ def p7_hits(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten_hits(logs, F.col("id"), F.col("tool_calls_json"), F.col("search_hits_json"))
 
 
-TRIM = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
-
-
-def key_sql(column: str) -> str:
-    return f"nullif(lower(regexp_replace({column}, '^{TRIM}|{TRIM}$', '', 'g')), '')"
-
-
-def time_sql(column: str) -> str:
-    """SQL of ``log_time``."""
-    return (
-        f"CASE WHEN regexp_full_match(trim({column}), '[+-]?[0-9]+([.][0-9]+)?') THEN make_timestamp(CAST(round(CAST(trim({column}) AS DOUBLE) * 1e6) AS BIGINT)) "
-        f"ELSE timezone('UTC', TRY_CAST(CASE WHEN regexp_matches(trim({column}), '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN trim({column}) ELSE trim({column}) || '+00' END AS TIMESTAMPTZ)) END"
-    )
-
-
 _ROLLED = f"""
 WITH x AS (SELECT {key_sql("model")} AS model, CAST({time_sql("created_at")} AS DATE) AS day, tokens_used AS v FROM search_logs),
 daily AS (SELECT model, day, coalesce(sum(v), 0) AS total, count(*) AS n, count(v) AS valued FROM x WHERE model IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
@@ -110,7 +96,7 @@ hits AS (SELECT id, call_no, x FROM u UNION ALL SELECT id, -1, h FROM l),
 v AS (SELECT id, call_no, CAST(k AS INT) AS hit_no, json_extract(x, '$[' || k || ']') AS hit FROM (SELECT id, call_no, x, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k FROM hits WHERE json_type(x) = 'ARRAY'))
 SELECT id, call_no, -1 AS hit_no, '' AS doc_id FROM ok UNION ALL SELECT id, call_no, hit_no, coalesce(hit->>'doc_id', '') FROM v WHERE json_type(hit) = 'OBJECT'"""
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_totals, p6_found, p6_sessions, p7_found, p7_calls, p7_hits)} | retrieval.register.queries | texts.register.queries
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_totals, p6_found, p6_sessions, p7_found, p7_calls, p7_hits)} | retrieval.register.queries | texts.register.queries | operations.register.queries
 ORACLE: dict[str, str] = {
     "p1_found": f"{_ROLLED} SELECT model, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE rows = 0 AND rows_7 > 0",
     "p1_totals": f"""{_ROLLED} SELECT model, strftime(day, '%Y-%m-%d') AS day, CAST(rows AS BIGINT) AS rows, CAST(total AS BIGINT) AS total, CAST(rows_7 AS BIGINT) AS rows_7, CAST(total_7 AS BIGINT) AS total_7,
@@ -119,4 +105,4 @@ ORACLE: dict[str, str] = {
     "p6_found": f"{_SESSIONS} SELECT token_id, first_id, last_id FROM g",
     "p6_sessions": f"{_SESSIONS} SELECT token_id, session_no, first_id, last_id, start_us, end_us, round((end_us - start_us) / 1e6, 6) AS duration_s, rows FROM g",
     "p7_found": _LINKS,
-} | retrieval.register.oracle | texts.register.oracle
+} | retrieval.register.oracle | texts.register.oracle | operations.register.oracle
