@@ -162,7 +162,8 @@ def rescue_json(c: Column | str) -> Column:
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
     ok = lambda x: F.when(F.json_object_keys(x).isNotNull(), x)
-    return F.coalesce(ok(F.trim(text)), ok(F.trim(fenced)), ok(braces))
+    blanks = F.lit(" \t\r\n")
+    return F.coalesce(ok(F.trim(text, blanks)), ok(F.trim(fenced, blanks)), ok(braces))
 
 
 def stem(path: Column | str) -> Column:

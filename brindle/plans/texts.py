@@ -129,8 +129,8 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    """WITH a AS (SELECT id, answer, trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)```', 1)) AS fenced, regexp_extract(answer, '(?s)\\{.*\\}', 0) AS braces FROM search_logs WHERE answer LIKE '%{%')
-SELECT id, CASE WHEN json_valid(trim(answer)) AND json_type(trim(answer)) = 'OBJECT' THEN trim(answer) WHEN fenced <> '' AND json_valid(fenced) AND json_type(fenced) = 'OBJECT' THEN fenced WHEN json_valid(braces) AND json_type(braces) = 'OBJECT' THEN braces END AS rescued FROM a"""
+    """WITH a AS (SELECT id, trim(answer, ' ' || chr(9) || chr(10) || chr(13)) AS answer, trim(regexp_extract(answer, '(?s)```(?:json)?\\s*(.*?)```', 1), ' ' || chr(9) || chr(10) || chr(13)) AS fenced, regexp_extract(answer, '(?s)\\{.*\\}', 0) AS braces FROM search_logs WHERE answer LIKE '%{%')
+SELECT id, CASE WHEN json_valid(answer) AND json_type(answer) = 'OBJECT' THEN answer WHEN fenced <> '' AND json_valid(fenced) AND json_type(fenced) = 'OBJECT' THEN fenced WHEN json_valid(braces) AND json_type(braces) = 'OBJECT' THEN braces END AS rescued FROM a"""
 )
 def rescued_json(spark: SparkSession, d: str) -> DataFrame:
     """The JSON object within an answer."""
