@@ -79,6 +79,7 @@ GERMAN_CODE = re.compile(r"(?<![A-Za-zäöüß])(?:[A-ZÄÖÜ][A-Za-zäöüß.-]
 FRENCH = re.compile(r"(?<![A-Za-z0-9-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|av\.|boulevard|bd\.?|chemin|place|impasse|allée|quai|route|cours|passage|square|sentier|faubourg)[ ](?:de la |de l'|des |du |de |d'|à la )?(?:[A-ZÀ-Þ][\wÀ-ÿ'-]*[ ]?){1,4}(?:, \d{5} [A-ZÀ-Þ][\wÀ-ÿ-]+)?", re.IGNORECASE)
 CHINESE = re.compile(rf"(?:[{HAN}]{{1,7}}[省市区县乡镇村])*[{HAN}]{{1,7}}(?:路|街|巷|大道|道|弄|胡同|里)[ ]?\d{{1,5}}[ ]?(?:号|弄|栋|幢)(?:[ ]?\d+[ ]?(?:栋|幢|单元|号楼|楼|室|层|座|号))*(?:\d{{2,4}})?")
 LEADS_TO = re.compile(r"现住|居住[在于]|住在|住址是?|寄到|寄至|寄往|搬到|搬至|搬往|送到|送至|地址[是为]?|位于|女士|先生")
+CAPITALS = re.compile(ENGLISH.pattern, re.IGNORECASE)
 BEFORE_STREET = 70
 
 TITLE = re.compile(rf"(?:(?:Dr|Prof|Dipl|Ing)\.? )*({SURNAME})(?: ({SURNAME}))?")
@@ -124,14 +125,16 @@ def anchors() -> ahocorasick.Automaton:
 def flatten(text: str) -> tuple[str, list[int] | None]:
     """The text in one line's form, and the place of each of its characters in the original (None if they agree).
 
-    Full-width forms become plain ones and line ends blanks, except at empty lines. Words divided at a line's end are
-    joined. Where Han characters prevail, blanks beside them are dropped.
+    Full-width forms become plain ones and line ends blanks, except at empty lines; of several blanks one is left. Words
+    divided at a line's end are joined. Where Han characters prevail, blanks beside them are dropped.
     """
     flat = text.translate(FULL_WIDTH)
-    if "\n" not in flat and "\r" not in flat and "­" not in flat and not (" " in flat and re.search(rf"[{HAN}] | [{HAN}]", flat)):
+    if "\n" not in flat and "\r" not in flat and "­" not in flat and "  " not in flat and not (" " in flat and re.search(rf"[{HAN}] | [{HAN}]", flat)):
         return flat, None
     han = len(re.findall(rf"[{HAN}]", flat)) * 4 > len(flat)
     drop: set[int] = set()
+    for m in re.finditer(r"(?<= ) +", flat):
+        drop.update(range(m.start(), m.end()))
     for m in re.finditer(r"(?<=[A-Za-zäöüß])[-¬­][ ]?\r?\n[ ]?(?=[a-zäöüß])|\r(?=\n)|­", flat):
         drop.update(range(m.start(), m.end()))
     if han:
@@ -188,7 +191,7 @@ def _mentions(flat: str) -> list[tuple[int, int, str]]:
             if m and sum(c.isdigit() for c in m.group(1)) >= 6:
                 found.append((*m.span(1), "id_number"))
         elif kind == "street" and start > seen_street:
-            for m in ENGLISH.finditer(flat, max(0, start - BEFORE_STREET), min(len(flat), end + 24)):
+            for m in (CAPITALS if flat.isupper() else ENGLISH).finditer(flat, max(0, start - BEFORE_STREET), min(len(flat), end + 24)):
                 found.append((*m.span(), "address"))
                 seen_street = m.end()
         elif kind == "german":
