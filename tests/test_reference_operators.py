@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from brindle.functions import masking
 from brindle.functions import text as T
+from brindle.functions.conditions import conditions
 from brindle.operators import chunks, fusion, grep, index, ranks, snapshots
 from brindle.plans import registry
 from brindle.sources import files, sinks
@@ -160,6 +162,30 @@ def test_index_kept_from_a_stream_equals_one_built_anew(spark, tmp_path):
     assert got == [(1, "b", 2), (3, "e", 1)]
 
 
+def test_conditions(spark):
+    df = spark.createDataFrame([(1, "Policy A", "10", None), (2, "manual", "x", ""), (3, None, "7.5", "note")], "id int, title string, size string, extra string")
+    fields = {c: F.col(c) for c in df.columns}
+
+    def ids(listed, joined="and"):
+        return [r.id for r in df.where(conditions(fields, listed, joined)).orderBy("id").collect()]
+
+    assert ids([]) == [1, 2, 3] and ids([("title", "contains", "POLICY")]) == [1] and ids([("title", "is not", "manual")]) == [1, 3]
+    assert ids([("size", ">", 7), ("extra", "empty", None)]) == [1] and ids([("size", "<", "8")]) == [3] and ids([("size", "=", "many")]) == []
+    assert ids([("title", "in", "manual, other"), ("extra", "not empty", None)], "or") == [2, 3] and ids([("none", "is", "x")]) == []
+    with pytest.raises(ValueError):
+        conditions(fields, [("title", "resembles", "x")])
+
+
+def test_masks_come_off_again(spark):
+    texts = ["id 11010519491231002X, card 6222021234567890123, call 13912345678 or a@b.example from 10.0.0.1", "a long secret and a secret", "", None]
+    for t in texts:
+        hidden, mapping = masking.mask_text(t, words=("secret", "long secret"))
+        assert masking.unmask_text(hidden, mapping) == t
+    assert masking.mask_text(texts[0])[0] == "id [ID_CARD_1], card [BANK_CARD_2], call [PHONE_3] or [EMAIL_4] from [IP_5]"
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("m", masking.masked(F.col("t"), words=("secret", "long secret")))
+    assert [r[0] for r in df.select(masking.unmasked(F.col("m.text"), F.col("m.mapping"))).collect()] == texts
+
+
 def _norm(v):
     if isinstance(v, float):
         return "nan" if v != v else round(v, 5) + 0.0
