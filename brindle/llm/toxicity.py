@@ -16,6 +16,7 @@ import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from brindle.session import cut_lineage, spread
 
-#: Distinct sentences that the classifier is trained on, at most: those with a vote for toxic, and others.
-TRAIN_VOTED, TRAIN_OTHER = 20_000, 20_000
+#: Distinct sentences that the classifier is trained on, at most: those with a vote for toxic, and others; their longest.
+TRAIN_VOTED, TRAIN_OTHER, LONGEST = 20_000, 20_000, 2_000
 #: Size of the hashed feature space (a power of two), rounds and rate of training.
 FEATURES, ROUNDS = 1 << 20, 10
 #: Share of the classifier in a score; the posterior of the votes has the rest.
@@ -294,30 +295,47 @@ class Classifier:
         return CLASSIFIER_SHARE / (1 + math.exp(-max(-30.0, min(30.0, linear)))) + (1 - CLASSIFIER_SHARE) * share
 
 
-def _voted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        counted: dict[tuple[str, int], int] = {}
-        for text in frame["text"]:
-            for s in sentences(text):
-                bits, bare = vote(s)
-                counted[bare, bits] = counted.get((bare, bits), 0) + 1
-        yield pd.DataFrame([(s, b, n) for (s, b), n in counted.items()], columns=["sentence", "bits", "n"])
+def _voted(rate: float):
+    """Counts of the patterns of votes of each batch, all accused sentences, and of the others those whose hash falls under ``rate``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            counted: Counter[int] = Counter()
+            kept: dict[str, int] = {}
+            for text in frame["text"]:
+                for s in sentences(text):
+                    bits, bare = vote(s)
+                    counted[bits] += 1
+                    if len(bare) <= LONGEST and (bits or zlib.crc32(bare.encode()) < rate * 2**32):
+                        kept[bare] = bits
+            rows = [(None, None, bits, n) for bits, n in counted.items()] + [(s, zlib.crc32(s.encode()), bits, 0) for s, bits in kept.items()]
+            yield pd.DataFrame(rows, columns=["sentence", "key", "bits", "n"]).astype({"key": "Int64"})
+
+    return run
 
 
 def fit(docs: DataFrame, text: Column) -> Classifier:
-    """Label model from the votes of all sentences of ``docs``, classifier from a bounded sample of distinct ones."""
-    voted = spread(docs.select(text.cast("string").alias("text")).where("text is not null")).mapInPandas(_voted, "sentence string, bits int, n bigint")
-    # Hashes stand for sentences, so that the counts of one sentence meet without its text being sorted.
-    distinct = cut_lineage(voted.groupBy(F.xxhash64("sentence").alias("key"), "bits").agg(F.sum("n").alias("n"), F.min(F.when(F.length("sentence") <= 2000, F.col("sentence"))).alias("sentence")))
-    patterns = distinct.groupBy("bits").agg(F.sum("n").alias("n")).collect()  # at most 2^len(VOTERS) rows
+    """Label model from the votes of all sentences of ``docs``, classifier from a bounded sample of distinct ones.
+
+    The sample is drawn by the sentences' hashes at a rate that follows from the number of texts, and of accused
+    sentences, so no more than about twice its size is ever gathered.
+    """
+    texts = docs.select(text.cast("string").alias("text")).where("text is not null")
+    rate = min(1.0, TRAIN_OTHER / max(1, texts.count()))
+    voted = cut_lineage(spread(texts).mapInPandas(_voted(rate), "sentence string, key bigint, bits int, n bigint"))
+    patterns = voted.where("sentence is null").groupBy("bits").agg(F.sum("n").alias("n")).collect()  # at most 2^len(VOTERS) rows
     labels = fit_label_model(np.array([r.bits for r in patterns], dtype=np.int64), np.array([r.n for r in patterns], dtype=float))
-    up = sum(1 << k for k, v in enumerate(VOTERS) if v in POSITIVE)
-    usable = distinct.where("sentence is not null")
-    spoken = usable.where(F.col("bits").bitwiseAND(up) != 0).orderBy("key").limit(TRAIN_VOTED)
-    others = usable.where(F.col("bits").bitwiseAND(up) == 0).orderBy("key").limit(TRAIN_OTHER)
+    accused = sum(r.n for r in patterns if r.bits)
+    share = min(1.0, 2 * TRAIN_VOTED / max(1, accused))
+
+    def sample(part: DataFrame, most: int) -> DataFrame:
+        return part.groupBy("key").agg(F.min("sentence").alias("sentence"), F.min_by("bits", "sentence").alias("bits")).orderBy("key").limit(most)
+
+    spoken = sample(voted.where((F.col("bits") != 0) & (F.col("key") < share * 2**32)), TRAIN_VOTED)
+    others = sample(voted.where("bits = 0 and sentence is not null"), TRAIN_OTHER)
     rows = [(r.sentence, r.bits) for r in spoken.unionByName(others).select("sentence", "bits").collect()]
-    share = labels.posterior(np.array([b for _, b in rows], dtype=np.int64)) if rows else []
-    return Classifier(labels, train_linear([(s, b, float(y)) for (s, b), y in zip(rows, share, strict=True)]))
+    posterior = labels.posterior(np.array([b for _, b in rows], dtype=np.int64)) if rows else []
+    return Classifier(labels, train_linear([(s, b, float(y)) for (s, b), y in zip(rows, posterior, strict=True)]))
 
 
 def score_documents(docs: DataFrame, doc_id: Column, text: Column, classifier: Classifier) -> DataFrame:
