@@ -16,6 +16,7 @@ import math
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,9 +56,9 @@ SEXUAL_EN = (
 ).split()
 SEXUAL_ZH = "裸照 裸聊 裸体 色情 约炮 叫床 无码 一丝不挂 包夜 激情上门 援交 做爱 口交 少妇 成人片 成人无码 春药 骚 发骚 嫖 卖淫 自慰 情色 黄片 肉棒 阴道 阳具".split()
 SEXUAL_DE = "porno pornos nacktbilder nackt nacktfotos geile geil ficken fick blasen muschi schwanz titten sexfilme altersprüfung wichsen".split()
-SEXUAL_FR = "porno photos nue nu nues baiser bite chatte suce sucer nichons salope sexe cul".split()
 
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e"})
+MARKS = re.compile(r"[^\w\s'@$*+!€-]")
 ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·])[^\W\d_])(?:\1[^\W\d_]){1,}(?:s{1,2}\b)?")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -139,13 +140,14 @@ TRIGGERS = (
     "you|your|hole|hey|shut|whining| rot |waste of|ashamed|bunch of|nobody|yourself|crawl|brainless|hope you|only a|kind of|load of|worthless|bist|du |halt |verpiss|wie dir|stück|dreck|tu es|espèce|ferme|gueule|nique|va te|va crever|你|闭嘴|滚|脑子|活着|说话|公司养"
     "|break|smash|bash|cut |slit|punch|stab|burn|shoot|kick|suffer|make |kill|jumped|drown|watch|before i|beat|will |'ll|going to|zähne|dich|je vais|casser"
     "|vermin|thieves|liars|parasit|rats|animals|criminals|filth|scum|trash|dogs|cockroach|the same|subhuman|disease|plague|less than|deserve|same air|disappear|better off|driven out|lock them|carry|keep th|no |letting a rat|like |go back|wipe|exterminate|ungeziefer|gehören|luft|pack|weg mit|abschaum|tiere|race|dehors|voleurs|天生|都是|消失|一个|赶走|不配|放老鼠|滚回|劣等|杀光"
-    "|hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy|cum|milf|deepthroat|beg|fuck|put it in|how hard|naked|night rate|escort|strip|nackt|altersprüfung|geil|ficken|nue|coucher|films|vidéos|chaude"
+    "|hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy| cum|milf|deepthroat| beg|fuck|put it in|how hard|naked|night rate|escort|strip|nackt|altersprüfung|geil|ficken| nue|coucher|films|vidéos|chaude"
 ).split("|")
 
 
 def _triggers() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    for word in (*TRIGGERS, *INSULTS, *INSULTS_DE, *INSULTS_FR, *SEXUAL_EN, *SEXUAL_DE, *SEXUAL_FR, *ZH_PLAIN, *SEXUAL_ZH, *THREATS_ZH):
+    # Short words begin with a blank, as they are parts of many others.
+    for word in (w if len(w) > 4 or not w.isascii() or " " in w else f" {w}" for w in (*TRIGGERS, *INSULTS, *INSULTS_DE, *INSULTS_FR, *SEXUAL_EN, *SEXUAL_DE, *ZH_PLAIN, *SEXUAL_ZH, *THREATS_ZH)):
         machine.add_word(word, True)
     machine.make_automaton()
     return machine
@@ -165,7 +167,7 @@ def vote(sentence: str) -> tuple[int, str]:
         hidden = bool(ZERO_WIDTH.search(sentence)) or any("！" <= c <= "～" and c.isalpha() for c in sentence)
     base = sentence.lower() if sentence.isascii() else ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("’", "'")
     disguised = hidden or DISGUISE.search(base) is not None
-    if not disguised and next(TRIGGER.iter(base), None) is None:
+    if not disguised and next(TRIGGER.iter(f" {MARKS.sub(' ', base)}"), None) is None:
         return 0, base
     bare = plain(sentence)[1] if disguised else base
     han = not base.isascii() and any("一" <= c <= "鿿" for c in base)
@@ -251,25 +253,39 @@ def fit_label_model(bits: np.ndarray, counts: np.ndarray, rounds: int = 60) -> L
     return LabelModel(prior, toxic, clean, weight, correlation)
 
 
-def features(bare: str, bits: int) -> list[int]:
-    """Hashed words, pairs of words, letter groups and votes of a sentence; the first places are the votes."""
-    out = {k for k in range(len(VOTERS)) if bits >> k & 1}
-    tokens = WORDS.findall(bare)[:400]
-    room = FEATURES - len(VOTERS) - 1
-    for a in (*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))):
-        out.add(len(VOTERS) + 1 + zlib.crc32(a.encode()) % room)
-    for token in tokens:
-        if any("一" <= c <= "鿿" for c in token):
-            for n in (2, 3):
-                out.update(len(VOTERS) + 1 + zlib.crc32(token[i : i + n].encode()) % room for i in range(len(token) - n + 1))
+_PLACES: dict[str | tuple[str, str], int] = {}
+
+
+def _place(feature: str | tuple[str, str]) -> int:
+    """Place of a word, a pair of words or a letter group among the features."""
+    at = _PLACES.get(feature)
+    if at is None:
+        if len(_PLACES) > 300_000:
+            _PLACES.clear()
+        text = feature if isinstance(feature, str) else " ".join(feature)
+        at = _PLACES[feature] = len(VOTERS) + 1 + zlib.crc32(text.encode()) % (FEATURES - len(VOTERS) - 1)
+    return at
+
+
+def features(bare: str, bits: int) -> set[int]:
+    """Hashed words, pairs of words, letter groups and votes of a sentence; the first places are the votes and the constant."""
+    tokens = WORDS.findall(bare)
+    out = {_place(x) for x in tokens}
+    out.update(map(_place, zip(tokens, tokens[1:], strict=False)))
     out.add(len(VOTERS))
-    return sorted(out)
+    if bits:
+        out.update(k for k in range(len(VOTERS)) if bits >> k & 1)
+    if not bare.isascii():
+        for token in tokens:
+            if any("一" <= c <= "鿿" for c in token):
+                out.update(_place(token[i : i + n]) for n in (2, 3) for i in range(len(token) - n + 1))
+    return out
 
 
-def train_linear(rows: list[tuple[str, int, float]]) -> np.ndarray:
+def train_linear(rows: list[tuple[str, int, float]]) -> array:
     """Weights of a logistic classifier on (sentence, votes, posterior), by adaptive gradient steps in a fixed order."""
     weights, squares = np.zeros(FEATURES, dtype=np.float32), np.full(FEATURES, 1e-6)
-    coded = [(np.array(features(s, b)), y) for s, b, y in rows]
+    coded = [(np.array(sorted(features(s, b))), y) for s, b, y in rows]
     order = np.random.default_rng(7)
     for _ in range(ROUNDS):
         for k in order.permutation(len(coded)):
@@ -277,18 +293,18 @@ def train_linear(rows: list[tuple[str, int, float]]) -> np.ndarray:
             gradient = 1 / (1 + np.exp(-np.clip(weights[at].sum(), -30, 30))) - y
             squares[at] += gradient * gradient
             weights[at] -= 0.3 * (gradient + 1e-4 * weights[at]) / np.sqrt(squares[at])
-    return weights
+    return array("f", weights.tobytes())
 
 
 @dataclass
 class Classifier:
     labels: LabelModel
-    weights: np.ndarray
+    weights: array
     posteriors: dict[int, float] = field(default_factory=dict)
 
     def score(self, sentence: str) -> float:
         bits, bare = vote(sentence)
-        linear = float(self.weights[features(bare, bits)].sum())
+        linear = sum(map(self.weights.__getitem__, sorted(features(bare, bits))))
         share = self.posteriors.get(bits)
         if share is None:
             share = self.posteriors[bits] = float(self.labels.posterior(np.array([bits]))[0])
