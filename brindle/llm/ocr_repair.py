@@ -4,8 +4,9 @@
    header or footer, whatever number it carries and whichever characters were misread in it; a line that only gives a
    page number is one too. Lines are reduced to counts per file before they are joined.
 2. Evidence. All words of the corpus are counted. Rare spellings are joined with the frequent words from which the
-   usual confusions of recognisers lead to them; broken words with both of their possible forms. These are joins of word
-   types, so no list of words is held by any worker.
+   usual confusions of recognisers lead to them; broken words with both of their possible forms; rare spellings with the
+   frequent neighbours from which they ran together; neighbours with the frequent word that was torn into them. These
+   are joins of word types, so no list of words is held by any worker.
 3. Decoding. Each text's lines, without its furniture, become one stream of characters. Around everything that is not a
    known word, the cheapest sequence of words is found over the stream (splits, merges, confusions and hyphens are its
    edges); then the cheapest set of paragraph boundaries, by dynamic programming over the lines.
@@ -32,6 +33,8 @@ CONFUSIONS = (
 )
 #: How much more often the right word has to occur than the misread one, where the letters alone would do as a word.
 TIMES_LETTERS, TIMES_DIGITS = 20, 2
+#: The same for a word torn by a blank or a line's end one of whose parts is a word of its own.
+TIMES_TORN = 100
 #: Least share of a file's pages on which a header stands, and least number of pages.
 HEADER_SHARE, HEADER_PAGES = 0.15, 2
 #: Readings that are handed to every worker, at most; of about 100 bytes each.
@@ -42,7 +45,20 @@ LINES = re.compile(LINE_END)
 HYPHENS = "-‐¬­‑"
 ROMAN = r"[A-Za-zÀ-ɏ0-9|!$+€]"
 BROKEN = re.compile(rf"(?<![^\W_])([A-Za-zÀ-ɏ]{ROMAN}*(?:['’-]{ROMAN}+)*|{ROMAN}+)[{HYPHENS}]$")
+#: A word at a line's end, without a mark.
+UNMARKED = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)$")
 HEAD = re.compile(rf"^({ROMAN}+(?:['’-]{ROMAN}+)*)")
+#: Neighbouring words of letters, kept apart by one blank or a line's end.
+PAIR = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)(?=([ \n])([A-Za-zÀ-ɏ]+)(?![\w'’|$+€@/-]))")
+LONGEST_PAIR = 40
+#: Words that are right though both of their parts often stand side by side.
+ALSO_TWO = frozenset(
+    "maybe everyday anyone anybody anything anyway anymore anytime everyone everybody everything someone somebody something somehow someday sometime sometimes somewhat nobody nothing cannot into onto upon within without "
+    "already always altogether also almost although another about above across abroad away awhile along alike aside ahead apart around alone again aloud whoever whatever whenever wherever however whereas whereby therefore thereby therein thereof "
+    "indeed instead inside outside overall today tomorrow together before because become himself herself itself themselves yourself myself nevertheless nonetheless "
+    "daran damit dabei davon dafür danach dazu darin daraus darauf darüber darum darunter hierzu hierbei wobei womit woran sodass sofern soweit sowie solange zudem zumal zurzeit zuerst zunächst anstatt aufgrund infolge inwieweit indem nachdem seitdem trotzdem vorher "
+    "bientôt aussitôt plutôt surtout partout toujours quelquefois puisque lorsque parfois enfin ensuite afin davantage dedans dehors malgré pourquoi".split()
+)
 CHUNK = re.compile(r"[^\s]+")
 TOKEN = re.compile(r"(?:[^\W_]|[+$€](?=[^\W\d_]))(?:[^\s,;:()\[\]\"“”„»«<>=/—–…。，：；！？、（）?]*[^\W_]|)(?:(?<=[^\W\d_])[+](?![^\W_]))?")
 WORD_LIKE = re.compile(r"^[A-Za-zÀ-ÿ0-9|!$+€]+(?:['’-][A-Za-zÀ-ÿ0-9|!$+€]+)*$")
@@ -158,6 +174,7 @@ def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: Counter[str] = Counter()
     broken: Counter[tuple[str, str, bool]] = Counter()
     heads_: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str, str]] = Counter()
 
     def flush() -> pd.DataFrame:
         rows: Counter[tuple] = Counter()
@@ -171,14 +188,19 @@ def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows["head", small, None, False] += n
         for (a, b, soft), n in broken.items():
             rows["soft" if soft else "hard", a, b, False] += n
-        for counter in (words, broken, heads_):
+        for (a, _, b), n in pairs.items():
+            if len(a) + len(b) <= LONGEST_PAIR:
+                rows["pair", a.lower(), b.lower(), b[:1].isupper()] += n
+        for counter in (words, broken, heads_, pairs):
             counter.clear()
         return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["sort", "a", "b", "cased", "n"])
 
     for frame in frames:
         for text, drop, heads in zip(frame["text"], frame["drop"], frame["heads"], strict=True):
             lines = _stream(text, set(drop))
-            words.update(TOKEN.findall("\n".join(x for _, x in lines)))
+            running = "\n".join(x.strip() for _, x in lines)
+            words.update(TOKEN.findall(running))
+            pairs.update(PAIR.findall(running))
             parts = _broken(lines)
             broken.update(parts)
             for a, b, _ in parts:
@@ -186,7 +208,7 @@ def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 words[b] -= 1
             for head in heads:
                 heads_.update(TOKEN.findall(head))
-        if len(words) + len(broken) > 200_000:
+        if len(words) + len(broken) + len(pairs) > 200_000:
             yield flush()
     yield flush()
 
@@ -198,6 +220,7 @@ def _emit_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for result, text, drop, heads in zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True):
             lines = _stream(text, set(drop))
             asked = {t.rstrip(".").lower() for x in (*(x for _, x in lines), *heads) for t in TOKEN.findall(x)} | {f"{a}\n{b}".lower() for a, b, _ in _broken(lines)}
+            asked |= {f"{a}{gap}{b}".lower() for a, _, b in PAIR.findall("\n".join(x.strip() for _, x in lines)) for gap in " \n"}
             rows += [(result, s) for s in asked if len(s) <= 121]
         yield pd.DataFrame(rows, columns=["result_id", "surface"])
 
@@ -232,6 +255,34 @@ def _variants(words: pd.Series) -> pd.Series:
     return words.map(lambda w: variants(w) if w and len(w) <= 60 else [])
 
 
+def _cuts(column: str) -> Column:
+    """All divisions of a word of letters into two parts."""
+    return F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.struct(F.substring(F.col(column), F.lit(1), i).alias("a"), F.substring(F.col(column), i + 1, F.length(column)).alias("b")))
+
+
+def divisions(pieces: DataFrame, types: DataFrame, good: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (surface, word, seen, hyphen, misread): words that ran together, and words torn by a blank or a line's end.
+
+    A spelling ran together if its parts stand side by side much more often than it stands at all. Neighbours are a torn
+    word if that is much more frequent, and the rarer part mostly stands beside the other one. A spelling that cleaner
+    texts have is a word.
+    """
+    pairs = cut_lineage(pieces.where("sort = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cased"), 0).otherwise(F.col("n"))).alias("small")))
+    rare = types.where(F.col("word").rlike(r"^\p{L}{4,}$") & (F.col("clean") == 0) & ~F.col("word").isin(sorted(ALSO_TWO)))
+    cuts = rare.select("word", F.col("n").alias("own"), F.explode(_cuts("word")).alias("c")).select("word", "own", "c.*").where("length(b) >= 2 and (length(a) >= 2 or a = 'a')")
+    ran = cuts.join(pairs.where(F.col("n") >= TIMES_LETTERS).select("a", "b", "n"), ["a", "b"]).where(F.col("n") >= TIMES_LETTERS * F.col("own"))
+    best = ran.groupBy("word").agg(F.max(F.struct(F.col("n").alias("seen"), F.concat_ws(" ", "a", "b").alias("parts"))).alias("w"))
+    together = best.select(F.col("word").alias("surface"), F.col("w.parts").alias("word"), F.col("w.seen").alias("seen"), F.lit(False).alias("hyphen"), F.lit(False).alias("misread"))
+    beside = pairs.where("small > 0 and length(a) >= 2 and length(b) >= 2").withColumn("word", F.concat("a", "b")).join(good.select("word", F.col("n").alias("seen")), "word").where(F.col("seen") >= TIMES_LETTERS * F.col("small"))
+    part = lambda c: types.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"), F.col("clean").alias(f"clean_{c}"))
+    weighed = beside.join(part("a"), "a").join(part("b"), "b")
+    rarer, clean = F.least("n_a", "n_b"), F.when(F.col("n_a") <= F.col("n_b"), F.col("clean_a")).otherwise(F.col("clean_b"))
+    alone = F.greatest("n_a", "n_b") * TIMES_LETTERS <= F.col("seen")
+    torn = weighed.where((clean == 0) & (2 * F.col("small") >= rarer) & (F.col("seen") >= F.when(alone, TIMES_LETTERS).otherwise(TIMES_TORN) * rarer))
+    gaps = F.explode(F.array(F.struct(F.lit(" ").alias("gap"), F.lit(False).alias("hyphen")), F.struct(F.lit("\n").alias("gap"), F.lit(True).alias("hyphen"))))
+    return together, torn.select("a", "b", "word", "seen", gaps.alias("g")).select(F.concat("a", "g.gap", "b").alias("surface"), "word", "seen", "g.hyphen", F.lit(False).alias("misread"))
+
+
 def evidence(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Rows (surface, word, cost, hyphen): readings of spellings and of broken words that the corpus bears out.
 
@@ -239,9 +290,9 @@ def evidence(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     word types; counts are added up before they are shuffled.
     """
     of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    counted = pieces.where("sort in ('word', 'head')").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), of(~F.col("cased") & (F.col("sort") == "word")).alias("small"), of(F.col("sort") == "head").alias("heads"))
+    counted = pieces.where("sort in ('word', 'head')").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), of(~F.col("cased") & (F.col("sort") == "word")).alias("small"), of(F.col("sort") == "head").alias("heads"), F.lit(0).cast("bigint").alias("clean"))
     if extra is not None:
-        counted = counted.unionByName(extra.select("word", "n", "small", F.lit(0).cast("bigint").alias("heads"))).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "heads")])
+        counted = counted.unionByName(extra.select("word", "n", "small", F.lit(0).cast("bigint").alias("heads"), F.col("n").alias("clean"))).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "heads", "clean")])
     types = cut_lineage(counted)
     # A word that the running text never writes small, and that isn't mostly the headers', is a proper name.
     proper = (F.col("small") == 0) & (F.col("n") >= 2 * F.col("heads"))
@@ -252,7 +303,7 @@ def evidence(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     best = weighed.groupBy("a", "b", "sort").agg(
         F.max(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.when(F.col("name"), F.col("kept")).otherwise(~F.col("kept")).alias("rather"), F.col("form").alias("form"))).alias("best"), F.max("n").alias("n")
     )
-    rejoined = best.select(F.concat_ws("\n", "a", "b").alias("surface"), F.col("best.form").alias("word"), F.col("best.seen").alias("seen"), "n")
+    rejoined = cut_lineage(best.select(F.concat_ws("\n", "a", "b").alias("surface"), F.col("best.form").alias("word"), F.col("best.seen").alias("seen"), "n"))
     # Spellings to be explained: types, and rejoined words that the corpus doesn't know.
     asked = types.select(F.col("word").alias("spelling"), "n").unionByName(rejoined.where("seen = 0").select(F.col("word").alias("spelling"), "n")).groupBy("spelling").agg(F.max("n").alias("n"))
     asked = asked.where(F.col("spelling").rlike(r"^[\p{L}0-9|!$+€'’-]+$") & F.col("spelling").rlike(r"\p{L}") & (F.length("spelling") >= 3))
@@ -260,11 +311,13 @@ def evidence(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     meant = asked.select("spelling", "n", F.explode(F.pandas_udf(_variants, T.ArrayType(T.StringType()))("spelling")).alias("word")).join(good.withColumnRenamed("n", "seen"), "word")
     times = F.when(F.col("spelling").rlike(r"[0-9|!$+€]"), TIMES_DIGITS).otherwise(TIMES_LETTERS)
     fixed = meant.where((F.col("seen") >= times * F.col("n")) & (F.col("seen") >= 3)).groupBy("spelling").agg(F.max(F.struct("seen", "word", "proper")).alias("w"))
-    misread = fixed.select(F.col("spelling").alias("surface"), F.col("w.word").alias("word"), F.col("w.seen").alias("seen"), F.col("w.proper").alias("proper"))
+    misread = cut_lineage(fixed.select(F.col("spelling").alias("surface"), F.col("w.word").alias("word"), F.col("w.seen").alias("seen"), F.col("w.proper").alias("proper")))
     mended = rejoined.join(misread.select(F.col("surface").alias("form"), F.col("word").alias("right"), F.col("seen").alias("right_seen"), F.col("proper").alias("right_proper")), F.col("word") == F.col("form"), "left")
     pairs = mended.select("surface", F.coalesce("right", "word").alias("word"), F.coalesce("right_seen", "seen").alias("seen"), F.lit(True).alias("hyphen"), (F.col("right").isNotNull() & ~F.coalesce("right_proper", F.lit(False))).alias("misread"))
     alone = misread.select("surface", "word", "seen", F.lit(False).alias("hyphen"), (~F.col("proper")).alias("misread"))
-    return pairs.unionByName(alone)
+    together, torn = divisions(pieces, types, good)
+    # A word divided with a mark has its reading already.
+    return pairs.unionByName(alone).unionByName(together.join(alone.select("surface"), "surface", "left_anti")).unionByName(torn.join(rejoined.select("surface"), "surface", "left_anti"))
 
 
 JOIN, CONFUSE, UNKNOWN = 2.0, 3.0, 9.0
@@ -299,6 +352,10 @@ def decode_window(window: str, readings: dict[str, tuple[str, float]]) -> list[t
 
 def _as(word: str, like: str) -> str:
     """``word`` in the case of ``like``."""
+    if word.replace(" ", "") == "".join(like.lower().split()):  # ran together, or torn: the letters stay as they are
+        at = word.find(" ")
+        whole = "".join(like.split())
+        return whole if at < 0 else f"{whole[:at]} {whole[at:]}"
     letters = [c for c in like if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         return word.upper()
@@ -342,11 +399,21 @@ def paragraph_breaks(lines: list[tuple[int, str]], width: int) -> list[bool]:
     return out
 
 
-def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str, tuple[str, float, bool, bool]]) -> tuple[str, list[tuple[str, str]]]:
-    """The text as paragraphs, and what was put right in it: (kind, word)."""
+def torn_lefts(readings: dict[str, tuple[str, float, bool, bool]]) -> frozenset[str]:
+    """First parts of words torn by a blank; those torn by a line's end have the same."""
+    return frozenset(s.partition(" ")[0] for s in readings if " " in s)
+
+
+def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str, tuple[str, float, bool, bool]], lefts: frozenset[str] | None = None) -> tuple[str, list[tuple[str, str]]]:
+    """The text as paragraphs, and what was put right in it: (kind, word). ``lefts``: as from ``torn_lefts``."""
     known_words = readings.keys()
     lines = [(k, x.strip()) for k, x in _stream(text, drop)]
-    odd = known_words & set(TOKEN.findall("\n".join([x for _, x in lines]).lower()))
+    running = "\n".join([x for _, x in lines])
+    tokens = set(TOKEN.findall(running.lower()))
+    odd = known_words & tokens
+    lefts = torn_lefts(readings) if lefts is None else lefts
+    torn = set() if lefts.isdisjoint(tokens) else {x for a, gap, b in PAIR.findall(running) if b[:1].islower() and (x := f"{a}{gap}{b}".lower()) in known_words and f"{a} {b}".lower() in known_words}
+    odd |= {x.split()[0] for x in torn}
     has_han = HAN.search(text) is not None
     tongue: list[str] = []
     found: list[tuple[str, str]] = []
@@ -386,25 +453,36 @@ def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str,
         if has_han:
             body = HAN_BLANKS.sub("", body)
         tail = BROKEN.search(body) if body[-1:] in HYPHENS and n + 1 < len(lines) else None
+        if tail is None and torn and n + 1 < len(lines) and not breaks[n + 1]:
+            tail = UNMARKED.search(body)
         nxt = HEAD.match(lines[n + 1][1]) if tail else None
         at = 0
         pair_start = len(body)
-        if tail and nxt and f"{tail.group(1)}\n{nxt.group(1)}".lower() in readings:
+        if tail and nxt and (tail.re is BROKEN or nxt.group(1)[:1].islower()) and f"{tail.group(1)}\n{nxt.group(1)}".lower() in (readings if tail.re is BROKEN else torn):
             pair_start = tail.start(1)
         elif held is None and not (odd and any(map(body.lower().__contains__, odd))):
             parts.append(body)
             continue
         first = True
-        for m in TOKEN.finditer(body):
+        ahead = list(TOKEN.finditer(body)) if torn else []
+        for k, m in enumerate(ahead or TOKEN.finditer(body)):
             token = m.group().rstrip(".")
             if m.start() >= pair_start:
                 break
+            if m.start() < at:  # taken with the word before
+                continue
+            # Neighbours that may be one torn word are decoded together, as far as they reach.
+            end, after = m.end(), k + 1
+            while after < len(ahead) and ahead[after].end() <= pair_start and ahead[after].group()[:1].islower() and f"{ahead[after - 1].group()}{body[end : ahead[after].start()]}{ahead[after].group().rstrip('.')}".lower() in torn:
+                end, after = ahead[after].start() + len(ahead[after].group().rstrip(".")), after + 1
+            if after > k + 1:
+                token = body[m.start() : end]
             parts.append(body[at : m.start()])
             at = m.start() + len(token)
             if first and held is not None:
                 put(token, f"{held}\n{token}")
                 held = None
-            elif token.lower() in readings:
+            elif after > k + 1 or token.lower() in readings:
                 put(token, token)
             else:
                 parts.append(token)
@@ -429,10 +507,10 @@ def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str,
     return GAPS.sub("\n\n", BLANKS.sub(" ", "".join(parts))).strip(), found
 
 
-def _repaired_frame(frame: pd.DataFrame, readings_of) -> pd.DataFrame:
+def _repaired_frame(frame: pd.DataFrame, readings_of, lefts: frozenset[str] | None = None) -> pd.DataFrame:
     rows = []
     for k, (result, text, drop, heads) in enumerate(zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True)):
-        repaired, found = repair_text(text, set(drop), list(heads), readings_of(k))
+        repaired, found = repair_text(text, set(drop), list(heads), readings_of(k), lefts)
         rows.append((result, repaired, [{"kind": kind, "item": w} for kind, w in dict.fromkeys(found)]))
     return pd.DataFrame(rows, columns=["result_id", "repaired", "fixes"])
 
@@ -452,8 +530,9 @@ def _repair_shared(shared):
     """Repairs texts by readings that every worker holds."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lefts = torn_lefts(shared.value)
         for frame in frames:
-            yield _repaired_frame(frame, lambda _: shared.value)
+            yield _repaired_frame(frame, lambda _: shared.value, lefts)
 
     return run
 

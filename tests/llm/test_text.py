@@ -167,3 +167,16 @@ def test_votes_do_not_depend_on_how_often_they_are_counted():
     bits = np.array([1, 1 | 1 << 6, 1 << 8, 1 | 1 << 12], dtype=np.int64)
     a = toxicity.fit_label_model(bits, np.array([50.0, 30, 20, 100])).posterior(bits)
     assert a[0] > 0.5 and a[1] > 0.5 and a[2] > 0.5 and a[3] < 0.5
+
+
+@pytest.mark.parametrize("shared", [ocr_repair.MOST_SHARED, 0])
+def test_words_run_together_and_torn_words_are_put_right(spark, shared):
+    plain = "The report of the insurance is due, and the clerk may be late with the claim. "
+    rows = [(k, None, None, None, plain * 60) for k in range(3)]
+    rows += [(10, None, None, None, "Cover ofthe house: the insur ance of\nthe house and the in\nsurance of a boat."), (11, None, None, None, "Insur ance pays; maybe the clerk has a due report."), (12, None, None, None, "Die Sache derClerk.")]
+    df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
+    repaired, _ = ocr_repair.repair_pages(df, most_shared=shared)
+    got = {r.result_id: r.repaired for r in repaired.collect()}
+    assert got[10] == "Cover of the house: the insurance of the house and the insurance of a boat."
+    assert got[11] == "Insurance pays; maybe the clerk has a due report."
+    assert got[0] == (plain * 60).strip()
