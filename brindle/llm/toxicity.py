@@ -58,7 +58,7 @@ SEXUAL_ZH = "裸照 裸聊 裸体 色情 约炮 叫床 无码 一丝不挂 包
 SEXUAL_DE = "porno pornos nacktbilder nackt nacktfotos geile geil ficken fick blasen muschi schwanz titten sexfilme altersprüfung wichsen".split()
 
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e"})
-MARKS = re.compile(r"[^\w\s'@$*+!€-]")
+BOUNDS = re.compile(r"[\W_]")
 ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·])[^\W\d_])(?:\1[^\W\d_]){1,}(?:s{1,2}\b)?")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -83,7 +83,7 @@ for _w in INSULTS:
 
 ADDRESS = re.compile(
     r"\byou(?:'re| are)? (?:people|useless|worthless|pathetic|stupid|dumb|filthy|disgusting|ugly|lying|brainless|little|are too|are nothing|disgust|sick|all )|\byour (?:mother|mouth|hole|face|whole \w+(?: \w+)? (?:team|department) is)|\b(?:shut|hole|hey,?) (?:up|your|you|[a-z]+, did your)|\bstop whining"
-    r"|\bwho should rot|\brot in hell|\bwaste of (?:space|skin|air)|\bashamed to be alive|\bbunch of\b|\bnobody (?:asked|would miss|likes|wants) you|\bgo (?:drown|kill|hang|hurt) yourself|\bkill yourself|\bcrawl back|\bbrainless|\bhope you (?:die|choke|suffer|rot|get)|\b(?:a|lying|worthless|useless|brainless) [a-z]+ (?:who|like you|and everyone)|\bonly an? [a-z@$*]+ would|\bkind of [a-z@$*]+ writes|\bload of [a-z@$*]+ work"
+    r"|\bwho should rot|\brot in hell|\bwaste of (?:space|skin|air)|\bashamed to be alive|\bbunch of\b|\bnobody (?:asked|would miss|likes|wants) you|\bgo (?:drown|kill|hang|hurt) yourself|\bkill yourself|\bcrawl back|\bbrainless|\bhope you (?:die|choke|suffer|rot|get)|\b(?:lying|worthless|useless|brainless) [a-z]+ (?:who|like you|and everyone)|\ba [a-z]+ like you|\ba (?:" + "|".join(INSULTS) + r") (?:who|and everyone)|\bonly an? [a-z@$*]+ would|\bkind of [a-z@$*]+ writes|\bload of [a-z@$*]+ work"
     r"|\bdu (?:bist|nutzlos|dumm|elend|erbärmlich|geile|wichser|idiot)|\bdu [a-zäöüß]+es? stück|\bhalt (?:die|dein)|\bverpiss|\bwie dir\b|\bstück (?:müll|dreck|scheiße)|\bso ein dreck|\btu es (?:une?|un vrai)|\bespèce de|\bferme ta|\bta gueule|\bnique ta|\bva te faire|\bva crever"
     r"|你(?:就是|是|们这|这|那副|妈|个)[^，。！]{0,6}(?:逼|货|物|痴|玩意|东西|蛋|人渣|狗|猪|b)|闭嘴|滚(?:出去|开|蛋|远)|脑子进水|活着就是|说话吗|公司养你"
 )
@@ -137,24 +137,29 @@ def _lexicon(text: str, words: list[str]) -> bool:
 
 #: Pieces of text without which the patterns of abuse, threats, hate and sex can't match.
 TRIGGERS = (
-    "you|your|hole|hey|shut|whining| rot |waste of|ashamed|bunch of|nobody|yourself|crawl|brainless|hope you|only a|kind of|load of|worthless|bist|du |halt |verpiss|wie dir|stück|dreck|tu es|espèce|ferme|gueule|nique|va te|va crever|你|闭嘴|滚|脑子|活着|说话|公司养"
+    "you|your|hole|hey|shut|whining| rot |waste of|ashamed|bunch of|nobody|yourself|crawl|brainless|hope you|only a|kind of|load of|worthless|bist|du |halt |verpiss|wie dir|stück|dreck|tu es|espèce|ferme|gueule|nique|va te|va crever|你|闭嘴|滚|脑子|活着|说话|公司养|lying|useless"
     "|break|smash|bash|cut |slit|punch|stab|burn|shoot|kick|suffer|make |kill|jumped|drown|watch|before i|beat|will |'ll|going to|zähne|dich|je vais|casser"
-    "|vermin|thieves|liars|parasit|rats|animals|criminals|filth|scum|trash|dogs|cockroach|the same|subhuman|disease|plague|less than|deserve|same air|disappear|better off|driven out|lock them|carry|keep th|no |letting a rat|like |go back|wipe|exterminate|ungeziefer|gehören|luft|pack|weg mit|abschaum|tiere|race|dehors|voleurs|天生|都是|消失|一个|赶走|不配|放老鼠|滚回|劣等|杀光"
-    "|hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy| cum|milf|deepthroat| beg|fuck|put it in|how hard|naked|night rate|escort|strip|nackt|altersprüfung|geil|ficken| nue|coucher|films|vidéos|chaude"
+    "|vermin|thieves|liars|parasit|rats|animals|criminals|filth|scum|trash|dogs|cockroach|the same|subhuman|disease|plague|less than|deserve|same air|disappear|better off|driven out|lock them|carry|keep th|no |letting a rat|like |go back|wipe|exterminate|ungeziefer|gehören|luft|pack|weg mit|abschaum|tiere|race|dehors|voleurs|天生|都是|消失|一个|寄生虫|animaux|赶走|不配|放老鼠|滚回|劣等|杀光"
+    "|hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy| cum|milf|deepthroat| beg|fuck|put it in|how hard|naked|night rate|escort|strip|nackt|altersprüfung|geil|ficken| nue| nu | nus |coucher|films|film x|vidéos|vidéo x|chaude"
 ).split("|")
 
 
 def _triggers() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
-    # Short words begin with a blank, as they are parts of many others.
-    for word in (w if len(w) > 4 or not w.isascii() or " " in w else f" {w}" for w in (*TRIGGERS, *INSULTS, *INSULTS_DE, *INSULTS_FR, *SEXUAL_EN, *SEXUAL_DE, *ZH_PLAIN, *SEXUAL_ZH, *THREATS_ZH)):
+    # Short words begin with a blank, as they are parts of many others; it stands for any mark, as in the text looked at.
+    for word in (BOUNDS.sub(" ", w) if len(w) > 4 or not w.isascii() or BOUNDS.search(w) else f" {w}" for w in (*TRIGGERS, *INSULTS, *INSULTS_DE, *INSULTS_FR, *SEXUAL_EN, *SEXUAL_DE, *ZH_PLAIN, *SEXUAL_ZH, *THREATS_ZH)):
         machine.add_word(word, True)
     machine.make_automaton()
     return machine
 
 
 TRIGGER = _triggers()
-DISGUISE = re.compile(r"\*|[a-z][0-9@$!€]|[0-9@$!€][a-z]|([a-z])\1\1|(?<![^\W_])[^\W\d_]([ ._\-·])[^\W\d_]\2[^\W\d_](?![^\W_])|(?<![a-z])s ?b(?![a-z])")
+DISGUISE = re.compile(r"\*|[a-z][0-9@$!€+]|[0-9@$!€+][a-z]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_]([ ._\-·])[^\W\d_]\2[^\W\d_](?![^\W_])|(?<![a-z])s ?b(?![a-z])")
+
+
+def triggered(base: str) -> bool:
+    """Whether one of the patterns that accuse can match at all; all marks count as blanks, as words begin after any of them."""
+    return next(TRIGGER.iter(f" {BOUNDS.sub(' ', base)} "), None) is not None
 
 
 def vote(sentence: str) -> tuple[int, str]:
@@ -167,7 +172,7 @@ def vote(sentence: str) -> tuple[int, str]:
         hidden = bool(ZERO_WIDTH.search(sentence)) or any("！" <= c <= "～" and c.isalpha() for c in sentence)
     base = sentence.lower() if sentence.isascii() else ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("’", "'")
     disguised = hidden or DISGUISE.search(base) is not None
-    if not disguised and next(TRIGGER.iter(f" {MARKS.sub(' ', base)}"), None) is None:
+    if not disguised and not triggered(base):
         return 0, base
     bare = plain(sentence)[1] if disguised else base
     han = not base.isascii() and any("一" <= c <= "鿿" for c in base)

@@ -1,5 +1,8 @@
 """Operators on free text: cases by hand, odd values, and the same results whichever way a table is cut."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +183,46 @@ def test_words_run_together_and_torn_words_are_put_right(spark, shared):
     assert got[10] == "Cover of the house: the insurance of the house and the insurance of a boat."
     assert got[11] == "Insurance pays; maybe the clerk has a due report."
     assert got[0] == (plain * 60).strip()
+
+
+def _matching(parsed, rng):
+    """A random text that the parsed pattern matches; conditions on what stands around are left out."""
+    out = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(value))
+        elif name == "IN":
+            kind, of = rng.choice(value)
+            out.append("天" if str(value[0][0]) == "NEGATE" else chr(of) if str(kind) == "LITERAL" else chr(rng.randint(*of)) if str(kind) == "RANGE" else "k")
+        elif name == "NOT_LITERAL":
+            out.append("天")
+        elif name == "BRANCH":
+            out.append(_matching(rng.choice(value[1]), rng))
+        elif name == "SUBPATTERN":
+            out.append(_matching(value[3], rng))
+        elif name == "MAX_REPEAT":
+            low, high, inner = value
+            out += [_matching(inner, rng) for _ in range(rng.randint(low, min(int(high), low + 3)))]
+        else:
+            assert name in ("AT", "ASSERT", "ASSERT_NOT", "ANY"), name
+    return "".join(out)
+
+
+@pytest.mark.parametrize("name", ["STRONG_RE", "DE_RE", "FR_RE", "ADDRESS", "THREAT", "HATE", "SEX_RE", "SEX_DE_RE", "SEXUAL"])
+def test_triggers_reject_nothing_that_accusing_patterns_match(name):
+    pattern, rng = getattr(toxicity, name), random.Random(5)
+    parsed, missed, matched = re._parser.parse(pattern.pattern), set(), 0
+    for _ in range(8000):
+        text = rng.choice(["{}", "Zz {} zz.", "zz-{}-zz", "'{}'", "_{}_", "\t{}"]).format(_matching(parsed, rng))
+        if pattern.search(text):
+            matched += 1
+            if not toxicity.triggered(text):
+                missed.add(text)
+    assert matched > 4000 and sorted(missed)[:40] == []
+
+
+def test_short_words_after_marks_and_shortened_verbs_are_voted_on():
+    for text in ("We'll find them.", "I'll hurt her.", "I’ll destroy him.", "Live-sex shows", "_cunts_", "'fag'", "bi+ch"):
+        assert toxicity.vote(text)[0], text
+    assert toxicity.vote("A person who needs help gets it.")[0] == 0 != toxicity.vote("A pig who needs help.")[0]
