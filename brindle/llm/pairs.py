@@ -3,9 +3,11 @@
 Three views are put together. Each pair is judged by rules on its own text: empty, copied, refused, in another
 language, or broken off. Answers' segments (sentences, list items, lines) are sorted by text over the whole table and
 each is compared with its neighbour: one that is the beginning of its neighbour, and nowhere ends, is a shortened
-version. A histogram of lengths shows limits at which unfinished answers pile up.
+version. Whole answers are sorted likewise: one that another answer continues in the same list, table, quotation or
+paragraph is a shortened version, however it ends. A histogram of lengths shows limits at which unfinished answers pile
+up.
 
-The sort is by range over distinct segments, so no prefix, however frequent, gathers in one task; where two
+The sorts are by range over distinct texts, so no prefix, however frequent, gathers in one task; where two
 partitions meet, the first text of the next one (one per partition) is handed over.
 """
 
@@ -54,6 +56,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 ENDED = re.compile(r"(?:[.!?。！？]|[.!?。！？]?[\"'”’»)）\]】」』*_]+)\s*$")
 SOURCE = re.compile(r"^\s*(?:\[(?:source|quelle|sources?|来源|出处)\b.*\]|(?:source|quelle|来源|出处)\s*[:：].*)\s*$", re.IGNORECASE)
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、]|[>#]+)\s*")
+ITEM = re.compile(r"^(\s*)(?:([-*+•])|(\d{1,3})([.)、]))\s*\S")
+CJK_END = re.compile(r"(?<=[。！？])(?=\S)")
 CJK = re.compile(r"[㐀-鿿]")
 LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
 LATIN = re.compile(r"[a-zà-öø-ÿœ']+")
@@ -171,6 +175,30 @@ def tail_of(answer: str) -> tuple[str, str]:
     return "cut", text
 
 
+def whole_form(answer: str) -> str:
+    """An answer in the form in which whole answers are compared: a blank after each sentence, none at the end."""
+    return CJK_END.sub(" ", answer.replace("\r\n", "\n")).rstrip()
+
+
+def continuations(whole: str) -> list[str]:
+    """With what a longer version of an answer (in its ``whole_form``) goes on, where it is the same list, table, quotation or paragraph.
+
+    A paragraph of one sentence is an answer of its own, and a new paragraph may always follow.
+    """
+    last = whole.rsplit("\n", 1)[-1]
+    if not whole or SOURCE.match(last) or whole.count("```") % 2 or last.lstrip().startswith(("```", "#")):
+        return []
+    if last.lstrip().startswith(("|", ">")):
+        indent = last[: len(last) - len(last.lstrip())]
+        return [f"\n{indent}{last.lstrip()[0]}"]
+    item = ITEM.match(last)
+    if item:
+        indent, bullet, number, end = item.groups()
+        mark = f"{indent}{bullet} " if bullet else f"{indent}{int(number) + 1}{end}"
+        return [f"\n{mark}", f"\n\n{mark}"]
+    return [" "] if ENDED.search(last) and len([x for x in SENTENCE.split(last) if x.strip()]) >= 2 else []
+
+
 def judge(query: str | None, answer: str | None) -> tuple[str | None, str, str | None]:
     """Defect by the pair's own text, how the answer ends, and the last segment where neighbours have to tell."""
     if is_empty(answer):
@@ -195,7 +223,9 @@ def judge(query: str | None, answer: str | None) -> tuple[str | None, str, str |
 def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found = [judge(q, a) for q, a in zip(frame["query"], frame["answer"], strict=True)]
-        yield pd.DataFrame({"id": frame["id"], "defect": [f[0] for f in found], "ending": [f[1] for f in found], "tail": [f[2] for f in found], "length": [len(a) if a else 0 for a in frame["answer"]]})
+        whole = [whole_form(a) if a and f[0] is None else None for f, a in zip(found, frame["answer"], strict=True)]
+        after = [continuations(w) if w else [] for w in whole]
+        yield pd.DataFrame({"whole": [w if x else None for w, x in zip(whole, after, strict=True)], "after": after, "id": frame["id"], "defect": [f[0] for f in found], "ending": [f[1] for f in found], "tail": [f[2] for f in found], "length": [len(a) if a else 0 for a in frame["answer"]]})
 
 
 def _segment(c: Column) -> Column:
@@ -237,10 +267,29 @@ def shortened_tails(answers: Column, judged_tails: DataFrame, df: DataFrame, par
     segments = cells.select(_segment(F.col("text")).alias("segment"), (F.col("text").rlike(r"[.!?。！？]\s*$") | (F.col("at") + 1 < F.col("of"))).alias("ends"), F.lit(False).alias("is_tail"))
     every = segments.unionByName(judged_tails.select("segment", F.lit(False).alias("ends"), F.lit(True).alias("is_tail"))).where("segment <> ''")
     distinct = every.groupBy("segment").agg(F.max("ends").alias("ends"), F.max("is_tail").alias("is_tail"))
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _beside(distinct, partitions).where("begins and not ends").select("segment")
+
+
+def _beside(distinct: DataFrame, partitions: int | None) -> DataFrame:
+    """Rows (segment, ends, begins) of the tails among distinct rows (segment, ends, is_tail): whether the next one in order begins with it."""
+    count = partitions or int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     line = cut_lineage(distinct.repartitionByRange(count, "segment").sortWithinPartitions("segment").withColumn("part", F.spark_partition_id()))
     first = {r["part"]: r["segment"] for r in line.groupBy("part").agg(F.min("segment").alias("segment")).collect()}
-    return line.mapInPandas(_neighbours(first), "segment string, ends boolean, begins boolean").where("begins and not ends").select("segment")
+    return line.mapInPandas(_neighbours(first), "segment string, ends boolean, begins boolean")
+
+
+def shortened_answers(answers: DataFrame, judged: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Ids of the rows (id, whole, after) of ``judged`` whose answer is continued, as ``after`` says, by one of ``answers``.
+
+    Each continuation's beginning is sorted among the whole answers, so the next one in order tells whether it stands
+    anywhere.
+    """
+    form = F.regexp_replace(F.regexp_replace(F.replace("answer", F.lit("\r\n"), F.lit("\n")), r"(?U)(?<=[。！？])(?=\S)", " "), r"(?U)\s+$", "")
+    whole = answers.select(form.alias("segment"), F.lit(True).alias("ends"), F.lit(False).alias("is_tail"))
+    asked = judged.select("id", F.explode("after").alias("after"), "whole").select("id", F.concat("whole", "after").alias("segment"))
+    every = whole.unionByName(asked.select("segment", F.lit(False).alias("ends"), F.lit(True).alias("is_tail")))
+    distinct = every.groupBy("segment").agg(F.max("ends").alias("ends"), F.max("is_tail").alias("is_tail"))
+    return asked.join(_beside(distinct, partitions).where("begins or ends").select("segment"), "segment", "left_semi").select("id").distinct()
 
 
 def length_limits(judged: DataFrame, reach: int = 10, least: int = 20, times: float = 8.0) -> DataFrame:
@@ -260,10 +309,10 @@ def find_defects(df: DataFrame, row_id: Column, query: Column, answer: Column) -
     judged alike, each under its own id; an empty table gives an empty result. Whole answers are judged, however long.
     """
     pairs = df.select(row_id.cast("bigint").alias("id"), query.cast("string").alias("query"), answer.cast("string").alias("answer"))
-    judged = cut_lineage(pairs.mapInPandas(_judged, "id bigint, defect string, ending string, tail string, length int"))
+    judged = cut_lineage(pairs.mapInPandas(_judged, "whole string, after array<string>, id bigint, defect string, ending string, tail string, length int"))
     own = judged.where("defect is not null").select("id", "defect")
     open_ = judged.where("defect is null and tail is not null").select("id", "length", _segment(F.col("tail")).alias("segment"))
     shortened = shortened_tails(F.col("answer"), open_, pairs.where("answer is not null"))
     cut = open_.join(shortened, "segment", "left_semi").select("id")
     limit = open_.join(length_limits(judged), "length", "left_semi").select("id")
-    return own.unionByName(cut.unionByName(limit).distinct().select("id", F.lit("truncated").alias("defect")))
+    return own.unionByName(cut.unionByName(limit).unionByName(shortened_answers(pairs.where("answer is not null").select("answer"), judged.where("whole is not null"))).distinct().select("id", F.lit("truncated").alias("defect")))

@@ -226,3 +226,17 @@ def test_short_words_after_marks_and_shortened_verbs_are_voted_on():
     for text in ("We'll find them.", "I'll hurt her.", "I’ll destroy him.", "Live-sex shows", "_cunts_", "'fag'", "bi+ch"):
         assert toxicity.vote(text)[0], text
     assert toxicity.vote("A person who needs help gets it.")[0] == 0 != toxicity.vote("A pig who needs help.")[0]
+
+
+def test_answers_cut_after_a_whole_item_row_or_sentence_are_found_beside_their_whole_forms(spark):
+    listed = "The papers are:\n\n1. The first form.\n2. The second form."
+    table = "The limits are:\n\n| item | limit |\n|---|---|\n| x | 3 |"
+    answers = [
+        (listed, "truncated"), (listed + "\n3. The third form.\n4. The fourth form.\n\nSee below.", None), (table, "truncated"), (table + "\n| y | 4 |\n", None),
+        ("It is covered. The form is due.", "truncated"), ("It is covered. The form is due. The clerk signs.", None), ("保险涵盖门诊。表格须在五天内提交。", "truncated"), ("保险涵盖门诊。表格须在五天内提交。由经办人签字。", None),
+        ("Yes.", None), ("Yes. The form is due in May.", None), ("See the list:\n- one is due.\n- two is due.", None), ("See the list:\n- one is due.\n- two is due.\n\nThe clerk signs the form.", None),
+        ("It is paid. The clerk is told.", None), ("It is paid. The clerk is told.\n\nSigned by the office.", None), ("- a is due.", "truncated"), ("- a is due.\n\nNo more.\n- b is due.", None), ("- a is due.\r\n- b is due.", None),
+    ]
+    df = spark.createDataFrame([(k, None, a) for k, (a, _) in enumerate(answers)], "id bigint, query string, answer string")
+    found = {r.id: r.defect for r in pairs.find_defects(df, F.col("id"), F.col("query"), F.col("answer")).collect()}
+    assert {k: (a, found.get(k)) for k, (a, d) in enumerate(answers) if found.get(k) != d} == {}
