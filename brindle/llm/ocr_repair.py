@@ -78,9 +78,18 @@ ENGLISH = frozenset("the of is for and to if in must within are be by after unde
 GERMAN = frozenset("der die das und ist für den dem nach nicht wenn kann muss ab wird werden".split())
 
 
+#: A page's number within a line, with the number of all pages perhaps.
+PAGE_OF = r"(?i)(?:\b(?:pages?|seite|blatt|folio|página|pag[.]?|pg[.]?|p[.]|s[.])\s*|第\s*)[0-9]{1,4}(?:\s*[页頁])?(?:\s*(?:/|of|von|sur|de|out of|共)\s*[0-9]{1,4}(?:\s*[页頁])?)?(?![0-9.])|(?<![0-9./])[0-9]{1,4}\s*(?:/| of | von | sur )\s*[0-9]{1,4}$"
+
+
+def without_page(line: Column) -> Column:
+    """A line with its page's number taken out."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, PAGE_OF, "#")).otherwise(line)
+
+
 def header_form(line: Column) -> Column:
-    """A line's form for comparison: a number at either end dropped, look-alike characters made one, blanks and marks gone."""
-    text = F.lower(F.trim(line))
+    """A line's form for comparison: its page's number and a number at either end dropped, look-alike characters made one, blanks and marks gone."""
+    text = F.lower(F.trim(without_page(line)))
     text = F.regexp_replace(text, r"^[\[(]?[0-9]{1,4}[\])]?(?=[^\p{L}\p{N}.)])|(?<=[^\p{L}\p{N}])[\[(]?[0-9]{1,4}[\])]?$", "#")
     # A year belongs to the title; only a number that changes from page to page is dropped, so years come back.
     year = F.regexp_extract(F.trim(line), r"(?<=[^\p{L}\p{N}])((?:19|20)[0-9]{2})$", 1)
@@ -93,6 +102,8 @@ def header_form(line: Column) -> Column:
 
 #: Lines from a page's top or bottom within which furniture stands; longest line that can be a mere number or marks.
 EDGE, SHORT = 4, 32
+#: Lines from a page's top or bottom within which a line that only ever stands there is a header on however few pages.
+OUTER = 2
 #: Lines longer than this are headers only where they stand on so many of the pages.
 LONG, LONG_SHARE = 45, 0.3
 
@@ -108,34 +119,36 @@ def page_lines(pages: DataFrame) -> DataFrame:
     numbered = pages.select("result_id", "file_id", "page_no", "pages", lines.alias("lines"))
     n = F.size("lines")
     placed = F.transform("lines", lambda s, i: F.struct(i.alias("at"), s["line_no"].alias("line_no"), s["item"].alias("item")))
-    kept = F.filter(placed, lambda s: (F.coalesce("pages", F.lit(1)) > 1) | (s["at"] < EDGE) | (s["at"] >= n - EDGE) | (F.length(s["item"]) <= SHORT))
-    wide = numbered.select("result_id", "file_id", "page_no", "lines", F.explode(kept).alias("line"))
-    after = F.try_element_at("lines", F.col("line.at") + 2)["item"]
-    return wide.select("result_id", "file_id", "page_no", F.col("line.line_no").alias("line_no"), F.col("line.item").alias("item"), F.coalesce(after, F.lit("")).alias("after"))
+    kept = F.filter(placed, lambda s: (F.coalesce("pages", F.lit(2)) > 1) | (s["at"] < EDGE) | (s["at"] >= n - EDGE) | (F.length(s["item"]) <= SHORT))
+    wide = numbered.select("result_id", "file_id", "page_no", "pages", "lines", F.explode(kept).alias("line"))
+    running = F.filter(F.slice("lines", F.col("line.at") + 2, EDGE), lambda s: (F.length(s["item"]) > SHORT) | ~(s["item"].rlike(NUMBER_LINE) | s["item"].rlike(MARKS_ONLY)))
+    after = F.try_element_at(running, F.lit(1))["item"]
+    edge = (F.col("pages") == 1) & ((F.col("line.at") < OUTER) | (F.col("line.at") >= F.size("lines") - OUTER))
+    return wide.select(F.coalesce(edge, F.lit(False)).alias("edge"), "result_id", "file_id", "page_no", F.col("line.line_no").alias("line_no"), F.col("line.item").alias("item"), F.coalesce(after, F.lit("")).alias("after"))
 
 
 def furniture(pages: DataFrame) -> DataFrame:
     """Rows (result_id, line_no, kind, item): lines that are a 'header', a 'page_number' or mere 'marks'.
 
-    A header comes back on two pages or more, and on at least 15 % of the pages, of its file; lines that end as
-    sentences do, titles and section lines are none. Runs stored twice count as one page. Rows without a file have no
+    A header comes back on two pages or more of its file, and either on at least 15 % of them or nowhere but at the top
+    or bottom; lines that end as sentences do, titles and section lines are none. Runs stored twice count as one page. Rows without a file have no
     headers.
     """
     item, long = F.col("item"), F.length("item")
     number = F.when(long <= SHORT, item.rlike(NUMBER_LINE) & item.rlike(r"[\p{L}\p{N}]") & ~item.rlike(r"^[0-9]+[.)]$")).otherwise(False)
     marks = F.when(long <= SHORT, item.rlike(MARKS_ONLY)).otherwise(False)
     candidate = (
-        (long <= 120) & F.col("file_id").isNotNull() & ~item.rlike(UNFINISHED) & ~item.rlike(SECTION)
+        F.col("file_id").isNotNull() & ~without_page(item).rlike(UNFINISHED) & ~item.rlike(SECTION)
     )
     sort = F.when(number, "page_number").when(marks, "marks").when(candidate, "line")
-    lines = cut_lineage(page_lines(pages).select("result_id", "file_id", "page_no", "line_no", "item", sort.alias("kind"), F.col("after").rlike(r"^(?:[0-9]+ )?\p{Ll}").alias("goes_on")).where("kind is not null"))
+    lines = cut_lineage(page_lines(pages).select("result_id", "file_id", "page_no", "line_no", "item", "edge", sort.alias("kind"), F.col("after").rlike(r"^(?:[0-9]+ )?\p{Ll}").alias("goes_on")).where("kind is not null"))
     forms = lines.where("kind = 'line'").withColumn("form", header_form(F.col("item"))).where("length(form) >= 3")
-    per_run = forms.groupBy("file_id", "form", "page_no", "result_id").agg(F.count(F.lit(1)).alias("n"), F.min("goes_on").alias("goes_on"))
-    per_page = per_run.groupBy("file_id", "form", "page_no").agg(F.max("n").alias("n"), F.min("goes_on").alias("goes_on"))
+    per_run = forms.groupBy("file_id", "form", "page_no", "result_id").agg(F.count(F.lit(1)).alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge"))
+    per_page = per_run.groupBy("file_id", "form", "page_no").agg(F.max("n").alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge"))
     # A line of the running text goes on in small letters wherever it stands.
-    repeats = per_page.groupBy("file_id", "form").agg(F.sum("n").alias("n"), F.min("goes_on").alias("goes_on")).where("not goes_on")
+    repeats = per_page.groupBy("file_id", "form").agg(F.sum("n").alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge")).where("not goes_on")
     sizes = pages.where("file_id is not null").groupBy("file_id", "page_no").agg(F.max(F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1))).alias("pages")).groupBy("file_id").agg(F.sum("pages").alias("of_file"))
-    known = repeats.where(F.col("n") >= HEADER_PAGES).join(sizes, "file_id").where(F.col("n") >= F.when(F.length("form") > LONG, LONG_SHARE).otherwise(HEADER_SHARE) * F.col("of_file")).select("file_id", "form")
+    known = repeats.where(F.col("n") >= HEADER_PAGES).join(sizes, "file_id").where(F.col("edge") | (F.col("n") >= F.when(F.length("form") > LONG, LONG_SHARE).otherwise(HEADER_SHARE) * F.col("of_file"))).select("file_id", "form")
     heads = forms.join(known, ["file_id", "form"], "left_semi").select("result_id", "line_no", F.lit("header").alias("kind"), "item")
     rest = lines.where("kind <> 'line'").select("result_id", "line_no", "kind", "item")
     return heads.unionByName(rest)

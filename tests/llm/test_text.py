@@ -240,3 +240,15 @@ def test_answers_cut_after_a_whole_item_row_or_sentence_are_found_beside_their_w
     df = spark.createDataFrame([(k, None, a) for k, (a, _) in enumerate(answers)], "id bigint, query string, answer string")
     found = {r.id: r.defect for r in pairs.find_defects(df, F.col("id"), F.col("query"), F.col("answer")).collect()}
     assert {k: (a, found.get(k)) for k, (a, d) in enumerate(answers) if found.get(k) != d} == {}
+
+
+def test_headers_above_numbers_with_page_counts_and_of_few_pages(spark):
+    body = [f"The clerk must record the {w} of the insured person" for w in ("pressure", "claim", "letter", "address", "invoice", "form", "answer", "charge")]
+    rows = [(k, 1, k, 1, "\n".join([*body, "Printed on recycled paper", roman])) for k, roman in enumerate(["i", "ii", "iii", "iv", "v"], 1)]
+    rows += [(20 + k, 2, k, 1, "\n".join([f"Claims Handbook - Page {k} of 12", *body])) for k in range(1, 13)]
+    rows += [(100 + k, 3, k, 1, "\n".join([*(["Chapter of Losses"] if k < 10 else []), *body, f"- {k} -"])) for k in range(1, 101)]
+    rows += [(300, 4, 1, None, "\n".join([*body, "Ward Manual", *body] * 2)), (301, 4, 2, None, "\n".join([*body, "Ward Manual", *body]))]
+    df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
+    found = {(r.result_id, r.item) for r in ocr_repair.furniture(df).where("kind = 'header'").collect()}
+    wanted = {(k, "Printed on recycled paper") for k in range(1, 6)} | {(20 + k, f"Claims Handbook - Page {k} of 12") for k in range(1, 13)} | {(100 + k, "Chapter of Losses") for k in range(1, 10)} | {(300, "Ward Manual"), (301, "Ward Manual")}
+    assert wanted <= found
