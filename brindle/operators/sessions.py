@@ -5,7 +5,9 @@ morphological closing as wide as the gap (dilation, then erosion, each by doubli
 end a session, and the runs of set bits are the block's sessions. Counts and first and last rows are joined to the
 runs from the per-second totals. Runs of neighbouring blocks are put together by one window over the runs; an entity
 has at most one run per gap and block, however many rows it holds. Times finer than a second are exact: each second
-keeps its first and last row, and holes of just the gap's length are decided on those.
+keeps its first and last row, and only where two occupied seconds lie exactly a gap apart are those looked at.
+
+Rows are reduced to their seconds in each batch before the one shuffle by entity and day, and again behind it.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ BLOCK = 86_400
 #: Bitmaps that are closed at once: 512 times 86,400 bits are 5.5 MB a copy.
 AT_ONCE = 512
 
+CELL = ["entity", "block", "second", "first_us", "first_id", "last_us", "last_id", "rows"]
+CELLS = pa.schema([("entity", pa.string()), *[(c, pa.int64()) for c in CELL[1:]]])
 RUNS = "entity string, first_us bigint, first_id bigint, last_us bigint, last_id bigint, rows bigint"
 
 
@@ -64,10 +68,11 @@ def close_gaps(words: np.ndarray, gap: int) -> np.ndarray:
 
 
 def _runs(keys: np.ndarray, second: np.ndarray, first_us: np.ndarray, last_us: np.ndarray, gap: int) -> np.ndarray:
-    """Index of the first cell of each run; cells are sorted by key and second."""
+    """Index of the first cell of each run; cells are sorted by key and second, and no two have both alike."""
     starts = np.ones(len(keys), dtype=bool)
-    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    row = np.cumsum(np.r_[True, keys[1:] != keys[:-1]]) - 1
+    fresh = np.r_[True, keys[1:] != keys[:-1]]
+    heads = np.flatnonzero(fresh)
+    row = np.cumsum(fresh) - 1
     words = (BLOCK + gap + 63) // 64 + 1
     for low in range(0, len(heads), AT_ONCE):
         a = heads[low]
@@ -76,31 +81,87 @@ def _runs(keys: np.ndarray, second: np.ndarray, first_us: np.ndarray, last_us: n
         bits = np.zeros((own[-1] + 1, words), dtype=np.uint64)
         np.bitwise_or.at(bits, (own, second[a:b] >> 6), np.uint64(1) << (second[a:b] & 63).astype(np.uint64))
         shut = close_gaps(bits, gap)
-        before = _shift(shut, 1)
-        begins = shut & ~before
+        begins = shut & ~_shift(shut, 1)
         starts[a:b] = (begins[own, second[a:b] >> 6] >> (second[a:b] & 63).astype(np.uint64)) & np.uint64(1) == 1
-    # A hole of exactly the gap's length is decided on the rows themselves.
-    same = np.r_[False, keys[1:] == keys[:-1]]
-    apart = np.r_[np.int64(0), first_us[1:] - last_us[:-1]]
-    starts |= same & (apart > gap * 1_000_000)
+    # The bitmaps leave open what is apart by the gap in whole seconds; the rows of both seconds tell.
+    tight = np.flatnonzero(~fresh & (np.r_[0, np.diff(second)] == gap))
+    starts[tight] = first_us[tight] - last_us[tight - 1] > gap * 1_000_000
     return np.flatnonzero(starts)
 
 
+#: Stands for a null id while rows are compared, as nulls sort first.
+NO_ID = np.iinfo(np.int64).min
+
+
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
+
+
+def _seconds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's rows (entity, us, id) as cells: one for each entity and second, with its first and last row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        entity = batch.column("entity").dictionary_encode()
+        code = entity.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        us, ids = _numbers(batch, "us", "id")
+        order = np.lexsort((ids, us, code))
+        code, us, ids = code[order], us[order], ids[order]
+        at = us // 1_000_000
+        begin = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])])
+        end = np.r_[begin[1:], len(us)] - 1
+        yield pa.RecordBatch.from_arrays(
+            [entity.dictionary.take(pa.array(code[begin])), *map(pa.array, (at[begin] // BLOCK, at[begin] % BLOCK, us[begin], ids[begin], us[end], ids[end], end - begin + 1))], names=CELL
+        )
+
+
+def _merged(key: np.ndarray, cells: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Cells (second, first_us, first_id, last_us, last_id, rows), those of the same key and second made one, and where each begins.
+
+    They are sorted by key, second, first_us and first_id.
+    """
+    second, first_us, first_id, last_us, last_id, rows = cells
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (second[1:] != second[:-1])]
+    begin = np.flatnonzero(fresh)
+    if len(begin) == len(key):
+        return begin, cells
+    last = np.lexsort((last_id, last_us, np.cumsum(fresh)))[np.r_[begin[1:], len(key)] - 1]
+    return begin, [second[begin], first_us[begin], first_id[begin], last_us[last], last_id[last], np.add.reduceat(rows, begin)]
+
+
 def _block_runs(gap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last second, which may go on in the next batch
+
+        def found(batch: pa.RecordBatch, whole: bool) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+            codes = batch.column("entity").dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            block, *cells = _numbers(batch, *CELL[1:])
+            key = code << 32 | block & 0xFFFFFFFF
+            at, cells = _merged(key, cells)
+            keep = None
+            if not whole:
+                cut = {c: [int(v[-1])] for c, v in zip(CELL[2:], cells, strict=True)}
+                keep = pa.RecordBatch.from_pydict({"entity": [codes.dictionary[int(code[at[-1]])].as_py()], "block": [int(block[at[-1]])], **cut}, schema=CELLS)
+                at, cells = at[:-1], [c[:-1] for c in cells]
+            second, first_us, first_id, last_us, last_id, rows = cells
+            begin = _runs(key[at], second, first_us, last_us, gap) if len(at) else np.empty(0, dtype=np.int64)
+            end = np.r_[begin[1:], len(at)] - 1 if len(begin) else begin
+            total = np.add.reduceat(rows, begin) if len(begin) else rows[:0]
+            ids = lambda x: pa.array(x, mask=x == NO_ID)
+            entity = codes.dictionary.take(pa.array(code[at[begin]]))
+            out = [entity, pa.array(first_us[begin]), ids(first_id[begin]), pa.array(last_us[end]), ids(last_id[end]), pa.array(total)]
+            return pa.RecordBatch.from_arrays(out, names=["entity", "first_us", "first_id", "last_us", "last_id", "rows"]), keep
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            entity = batch.column("entity").dictionary_encode()
-            keys = entity.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | batch.column("block").to_numpy().astype(np.int64) & 0xFFFFFFFF
-            second, first_us, last_us, rows = (batch.column(c).to_numpy().astype(np.int64) for c in ("second", "first_us", "last_us", "rows"))
-            begin = _runs(keys, second, first_us, last_us, gap)
-            end = np.r_[begin[1:] - 1, len(keys) - 1]
-            take = lambda c, at: batch.column(c).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays(
-                [take("entity", begin), take("first_us", begin), take("first_id", begin), take("last_us", end), take("last_id", end), pa.array(np.add.reduceat(rows, begin))],
-                names=["entity", "first_us", "first_id", "last_us", "last_id", "rows"],
-            )
+            batch = batch.select(CELL).cast(CELLS)
+            joined = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            runs, held = found(joined, False)
+            yield runs
+        if held is not None:
+            yield found(held, True)[0]
 
     return run
 
@@ -115,20 +176,10 @@ def sessionize(df: DataFrame, entity: Column, time: Column, row_id: Column, gap_
     """
     if gap_seconds < 1:
         raise ValueError("gap_seconds has to be 1 or more")
-    events = df.select(entity.alias("entity"), F.unix_micros(time.cast("timestamp")).alias("us"), row_id.cast("bigint").alias("id")).where("entity is not null and us is not null")
-    cells = (
-        events.withColumn("at", F.expr("us div 1000000 - if(us % 1000000 < 0, 1, 0)"))
-        .groupBy("entity", "at")
-        .agg(F.min(F.struct("us", "id")).alias("a"), F.max(F.struct("us", "id")).alias("b"), F.count(F.lit(1)).alias("rows"))
-        .select(
-            "entity",
-            F.expr(f"at div {BLOCK} - if(at % {BLOCK} < 0, 1, 0)").alias("block"),
-            F.expr(f"pmod(at, {BLOCK})").alias("second"),
-            F.col("a.us").alias("first_us"), F.col("a.id").alias("first_id"),
-            F.col("b.us").alias("last_us"), F.col("b.id").alias("last_id"), "rows",
-        )
-    )
-    runs = cells.repartition("entity", "block").sortWithinPartitions("entity", "block", "second").mapInArrow(_block_runs(gap_seconds), RUNS)
+    events = df.select(entity.cast("string").alias("entity"), F.unix_micros(time.cast("timestamp")).alias("us"), row_id.cast("bigint").alias("id")).where("entity is not null and us is not null")
+    cells = events.mapInArrow(_seconds, ", ".join(f"{c} {'string' if c == 'entity' else 'bigint'}" for c in CELL))
+    # Each block lies in one task, sorted, however its rows came; a key's blocks are spread over the tasks.
+    runs = cells.repartition("entity", "block").sortWithinPartitions("entity", "block", "second", "first_us", "first_id").mapInArrow(_block_runs(gap_seconds), RUNS)
     line = Window.partitionBy("entity").orderBy("first_us", "first_id")
     opened = F.when(F.col("first_us") - F.lag("last_us").over(line) <= gap_seconds * 1_000_000, 0).otherwise(1)
     joined = runs.withColumn("opens", opened).withColumn("session_no", F.sum("opens").over(line.rowsBetween(Window.unboundedPreceding, 0)))

@@ -159,3 +159,28 @@ def test_nested_records_against_plain_python(spark):
     hits = nested.flatten_hits(df, F.col("id"), F.col("calls"), F.col("hits")).collect()
     assert sorted((r.id, r.call_no, r.hit_no) for r in hits) == sorted((i, k, m) for i, k, m, _ in want if m >= 0)
     assert nested.flatten_links(df.limit(0), F.col("id"), F.col("calls"), F.col("hits")).count() == 0
+
+
+def test_the_bitmaps_decide_the_sessions(spark, monkeypatch):
+    """With holes that aren't closed every second would be a session of its own; only exact gaps are told by the rows."""
+    start = dt.datetime(2024, 1, 1, 8)
+    rows = [("a", start + dt.timedelta(minutes=k), k) for k in range(30)] + [("a", start + dt.timedelta(hours=3), 99)]
+    df = spark.createDataFrame(rows, "e string, t timestamp, i bigint")
+    assert sessions.sessionize(df, F.col("e"), F.col("t"), F.col("i")).count() == 2
+    cells = [np.array(x, dtype=np.int64) for x in ([0] * 4, [10, 11, 70, 2000], [10_000_000, 11_000_000, 70_000_000, 2_000_000_000], [10_000_000, 11_000_000, 70_000_000, 2_000_000_000])]
+    assert sessions._runs(*cells, 1800).tolist() == [0, 3]
+    monkeypatch.setattr(sessions, "close_gaps", lambda words, gap: words)
+    assert sessions._runs(*cells, 1800).tolist() == [0, 2, 3]  # neighbouring bits need no closing
+
+
+def test_sessions_of_repeated_rows_null_ids_and_seconds_cut_by_batches(spark):
+    start = dt.datetime(2024, 1, 1, 8)
+    rows = [("a", start + dt.timedelta(microseconds=k % 7 * 100_000), None if k == 0 else k) for k in range(300)] + [("a", start + dt.timedelta(seconds=1800, microseconds=600_000), 500), ("b", start, 1), ("b", start, 1)]
+    df = spark.createDataFrame(rows, "entity string, t timestamp, i bigint")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        got = sorted((r.entity, r.first_id, r.last_id, r.rows) for r in sessions.sessionize(df, F.col("entity"), F.col("t"), F.col("i")).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == [("a", None, 500, 301), ("b", 1, 1, 2)]
