@@ -3,28 +3,35 @@
 1. Furniture. Lines are compared over the pages of their file: one that comes back on several of them is a running
    header or footer, whatever number it carries and whichever characters were misread in it; a line that only gives a
    page number is one too. Lines are reduced to counts per file before they are joined.
-2. Evidence. All words of the corpus are counted. Rare spellings are joined with the frequent words from which the
-   usual confusions of recognisers lead to them; broken words with both of their possible forms; rare spellings with the
-   frequent neighbours from which they ran together; neighbours with the frequent word that was torn into them. These
-   are joins of word types, so no list of words is held by any worker.
-3. Decoding. Each text's lines, without its furniture, become one stream of characters. Around everything that is not a
-   known word, the cheapest sequence of words is found over the stream (splits, merges, confusions and hyphens are its
-   edges); then the cheapest set of paragraph boundaries, by dynamic programming over the lines.
+2. Edges. All words of the corpus are counted, and neighbours too. Joins of word types give what a stretch of text may
+   stand for, each with the price of a noisy channel, -log of its frequency and of the error's odds: a spelling for a
+   word from which the usual confusions lead to it, or for two words that ran together; neighbours for one torn word; a
+   word divided at a line's end for its two forms; and two errors at once. What costs more than leaving the stretch as it
+   is could be on no cheapest path and is left out. No list of words is held by any worker: they hold a bitmap of fixed
+   size, of the edges' hashes, which tells the texts' places worth a look.
+3. Decoding. Each text's lines, without its furniture, become one stream of characters. Around each such place a window
+   of neighbouring words, over blanks and line ends, is joined with its edges, and the cheapest sequence of words over
+   its characters is found. What is put right there goes into the text again.
+4. Paragraphs. The cheapest set of boundaries, by dynamic programming over the lines.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.session import cut_lineage
+from brindle.session import cut_lineage, spread
 
 #: What recognisers take for what (read, meant).
 CONFUSIONS = (
@@ -37,20 +44,19 @@ TIMES_LETTERS, TIMES_DIGITS = 20, 2
 TIMES_TORN = 100
 #: Least share of a file's pages on which a header stands, and least number of pages.
 HEADER_SHARE, HEADER_PAGES = 0.15, 2
-#: Readings that are handed to every worker, at most; of about 100 bytes each.
-MOST_SHARED = 200_000
+#: Bits of the bitmap that tells which surfaces have edges: 4 MB, whatever the corpus' size. Fuller, it lets more pass that have none.
+FILTER_BITS = 1 << 25
+#: Words longer than this are compared by their halves, as all their variants would take room by the square of it.
+BY_HALVES = 64
 
 LINE_END = "\r\n|\n|\r|\x0c|\x0b| | "
 LINES = re.compile(LINE_END)
 HYPHENS = "-‐¬­‑"
 ROMAN = r"[A-Za-zÀ-ɏ0-9|!$+€]"
 BROKEN = re.compile(rf"(?<![^\W_])([A-Za-zÀ-ɏ]{ROMAN}*(?:['’-]{ROMAN}+)*|{ROMAN}+)[{HYPHENS}]$")
-#: A word at a line's end, without a mark.
-UNMARKED = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)$")
 HEAD = re.compile(rf"^({ROMAN}+(?:['’-]{ROMAN}+)*)")
 #: Neighbouring words of letters, kept apart by one blank or a line's end.
 PAIR = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)(?=([ \n])([A-Za-zÀ-ɏ]+)(?![\w'’|$+€@/-]))")
-LONGEST_PAIR = 40
 #: Words that are right though both of their parts often stand side by side.
 ALSO_TWO = frozenset(
     "maybe everyday anyone anybody anything anyway anymore anytime everyone everybody everything someone somebody something somehow someday sometime sometimes somewhat nobody nothing cannot into onto upon within without "
@@ -100,12 +106,15 @@ def header_form(line: Column) -> Column:
     return F.regexp_replace(F.translate(text, "c", "e"), r"[^\p{L}\p{N}]+", "")
 
 
-#: Lines from a page's top or bottom within which furniture stands; longest line that can be a mere number or marks.
+#: Lines from a page's top or bottom within which headers stand; longest number of a page, marks around it aside, that ``NUMBER_LINE`` knows.
 EDGE, SHORT = 4, 32
 #: Lines from a page's top or bottom within which a line that only ever stands there is a header on however few pages.
 OUTER = 2
-#: Lines longer than this are headers only where they stand on so many of the pages.
-LONG, LONG_SHARE = 45, 0.3
+
+
+def is_short(line: Column) -> Column:
+    """Whether a line without the marks at its ends is no longer than a page's number can be."""
+    return F.length(F.trim(line, F.lit("-–—~·•[](){}|.:=*_<># "))) <= SHORT
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
@@ -119,9 +128,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
     numbered = pages.select("result_id", "file_id", "page_no", "pages", lines.alias("lines"))
     n = F.size("lines")
     placed = F.transform("lines", lambda s, i: F.struct(i.alias("at"), s["line_no"].alias("line_no"), s["item"].alias("item")))
-    kept = F.filter(placed, lambda s: (F.coalesce("pages", F.lit(2)) > 1) | (s["at"] < EDGE) | (s["at"] >= n - EDGE) | (F.length(s["item"]) <= SHORT))
+    kept = F.filter(placed, lambda s: (F.coalesce("pages", F.lit(2)) > 1) | (s["at"] < EDGE) | (s["at"] >= n - EDGE) | is_short(s["item"]))
     wide = numbered.select("result_id", "file_id", "page_no", "pages", "lines", F.explode(kept).alias("line"))
-    running = F.filter(F.slice("lines", F.col("line.at") + 2, EDGE), lambda s: (F.length(s["item"]) > SHORT) | ~(s["item"].rlike(NUMBER_LINE) | s["item"].rlike(MARKS_ONLY)))
+    running = F.filter(F.slice("lines", F.col("line.at") + 2, EDGE), lambda s: ~is_short(s["item"]) | ~(s["item"].rlike(NUMBER_LINE) | s["item"].rlike(MARKS_ONLY)))
     after = F.try_element_at(running, F.lit(1))["item"]
     edge = (F.col("pages") == 1) & ((F.col("line.at") < OUTER) | (F.col("line.at") >= F.size("lines") - OUTER))
     return wide.select(F.coalesce(edge, F.lit(False)).alias("edge"), "result_id", "file_id", "page_no", F.col("line.line_no").alias("line_no"), F.col("line.item").alias("item"), F.coalesce(after, F.lit("")).alias("after"))
@@ -134,9 +143,9 @@ def furniture(pages: DataFrame) -> DataFrame:
     or bottom; lines that end as sentences do, titles and section lines are none. Runs stored twice count as one page. Rows without a file have no
     headers.
     """
-    item, long = F.col("item"), F.length("item")
-    number = F.when(long <= SHORT, item.rlike(NUMBER_LINE) & item.rlike(r"[\p{L}\p{N}]") & ~item.rlike(r"^[0-9]+[.)]$")).otherwise(False)
-    marks = F.when(long <= SHORT, item.rlike(MARKS_ONLY)).otherwise(False)
+    item = F.col("item")
+    number = F.when(is_short(item), item.rlike(NUMBER_LINE) & item.rlike(r"[\p{L}\p{N}]") & ~item.rlike(r"^[0-9]+[.)]$")).otherwise(False)
+    marks = F.when(is_short(item), item.rlike(MARKS_ONLY)).otherwise(False)
     candidate = (
         F.col("file_id").isNotNull() & ~without_page(item).rlike(UNFINISHED) & ~item.rlike(SECTION)
     )
@@ -148,7 +157,7 @@ def furniture(pages: DataFrame) -> DataFrame:
     # A line of the running text goes on in small letters wherever it stands.
     repeats = per_page.groupBy("file_id", "form").agg(F.sum("n").alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge")).where("not goes_on")
     sizes = pages.where("file_id is not null").groupBy("file_id", "page_no").agg(F.max(F.greatest(F.coalesce("pages", F.lit(1)), F.lit(1))).alias("pages")).groupBy("file_id").agg(F.sum("pages").alias("of_file"))
-    known = repeats.where(F.col("n") >= HEADER_PAGES).join(sizes, "file_id").where(F.col("edge") | (F.col("n") >= F.when(F.length("form") > LONG, LONG_SHARE).otherwise(HEADER_SHARE) * F.col("of_file"))).select("file_id", "form")
+    known = repeats.where(F.col("n") >= HEADER_PAGES).join(sizes, "file_id").where(F.col("edge") | (F.col("n") >= HEADER_SHARE * F.col("of_file"))).select("file_id", "form")
     heads = forms.join(known, ["file_id", "form"], "left_semi").select("result_id", "line_no", F.lit("header").alias("kind"), "item")
     rest = lines.where("kind <> 'line'").select("result_id", "line_no", "kind", "item")
     return heads.unionByName(rest)
@@ -183,7 +192,7 @@ def _broken(lines: list[tuple[int, str]]) -> list[tuple[str, str, bool]]:
 
 
 def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words, broken words and header words of a partition with their counts, let go whenever they get many."""
+    """Words, broken words, neighbours and header words of a partition with their counts, let go whenever they get many."""
     words: Counter[str] = Counter()
     broken: Counter[tuple[str, str, bool]] = Counter()
     heads_: Counter[str] = Counter()
@@ -191,19 +200,15 @@ def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         rows: Counter[tuple] = Counter()
-        for token, n in words.items():
-            small = token.rstrip(".").lower()
-            if n > 0 and len(small) <= 60 and WORD_LIKE.match(small):
-                rows["word", small, None, token[:1].isupper()] += n
-        for token, n in heads_.items():
-            small = token.rstrip(".").lower()
-            if len(small) <= 60 and WORD_LIKE.match(small):
-                rows["head", small, None, False] += n
+        for sort, counter in (("word", words), ("head", heads_)):
+            for token, n in counter.items():
+                small = token.rstrip(".").lower()
+                if n > 0 and WORD_LIKE.match(small):
+                    rows[sort, small, None, sort == "word" and token[:1].isupper()] += n
         for (a, b, soft), n in broken.items():
             rows["soft" if soft else "hard", a, b, False] += n
         for (a, _, b), n in pairs.items():
-            if len(a) + len(b) <= LONGEST_PAIR:
-                rows["pair", a.lower(), b.lower(), b[:1].isupper()] += n
+            rows["pair", a.lower(), b.lower(), b[:1].isupper()] += n
         for counter in (words, broken, heads_, pairs):
             counter.clear()
         return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["sort", "a", "b", "cased", "n"])
@@ -226,46 +231,78 @@ def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def _emit_asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each text's own words and broken words, for the readings to be joined."""
-    for frame in frames:
-        rows = []
-        for result, text, drop, heads in zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True):
-            lines = _stream(text, set(drop))
-            asked = {t.rstrip(".").lower() for x in (*(x for _, x in lines), *heads) for t in TOKEN.findall(x)} | {f"{a}\n{b}".lower() for a, b, _ in _broken(lines)}
-            asked |= {f"{a}{gap}{b}".lower() for a, _, b in PAIR.findall("\n".join(x.strip() for _, x in lines)) for gap in " \n"}
-            rows += [(result, s) for s in asked if len(s) <= 121]
-        yield pd.DataFrame(rows, columns=["result_id", "surface"])
-
-
-def variants(word: str, most: int = 2) -> list[str]:
-    """Words from which ``word`` may have been misread by up to ``most`` confusions, at most one of them among letters; digits may be many."""
-    out: set[str] = set()
-    odd = [i for i, c in enumerate(word) if not (c.isalpha() or c in "-'’")]
-    if odd:
-        # Every odd character has to mean a letter.
-        forms = {""}
-        for c in word:
-            meant = [m for r, m in CONFUSIONS if r == c] if not (c.isalpha() or c in "-'’") else [c]
-            forms = {f + m for f in forms for m in meant}
-            if not forms or len(forms) > 64:
-                return []
-        out |= forms
-    seeds = {word} if not odd else set(forms)
-    for seed in list(seeds):
-        for read, meant in CONFUSIONS:
-            if not read.isalpha():
-                continue
-            at = seed.find(read)
-            while at >= 0:
-                out.add(seed[:at] + meant + seed[at + len(read) :])
-                at = seed.find(read, at + 1)
-    out.discard(word)
+#: What each odd character may mean, and the confusions among letters.
+MEANS = {r: "".join(m for x, m in CONFUSIONS if x == r) for r, _ in CONFUSIONS if not r.isalpha()}
+AMONG = [(r, m) for r, m in CONFUSIONS if r.isalpha()]
+#: Characters that are taken for each other made one, so that spellings and words can be joined: odd ones as what they mean, i as l.
+FOLDED = str.maketrans({"i": "l", **{c: "l" if m[0] == "i" else m[0] for c, m in MEANS.items()}})
+
+
+def _is(read: str, meant: str) -> bool:
+    return read == meant or meant in MEANS.get(read, "")
+
+
+def explains(spelling: str, word: str) -> bool:
+    """Whether ``spelling`` may be ``word`` misread: odd characters may be many, confusions among letters one at most."""
+    if spelling == word:
+        return False
+    n, grown = len(spelling), len(word) - len(spelling)
+    left = next((k for k, (x, y) in enumerate(zip(spelling, word, strict=False)) if not _is(x, y)), min(n, len(word)))
+    if left == n and not grown:
+        return True
+    right = next((k for k, (x, y) in enumerate(zip(reversed(spelling), reversed(word), strict=False)) if not _is(x, y)), min(n, len(word)))
+    for read, meant in AMONG:
+        if len(meant) - len(read) == grown:
+            for at in range(max(0, n - right - len(read)), min(left, n - len(read)) + 1):
+                if word.startswith(meant, at) and all(map(_is, spelling[at : at + len(read)], read)):
+                    return True
+    return False
+
+
+def _halves(folded: str, length: int) -> list[str]:
+    cut = length // 2
+    return [f"{length}<{folded[:cut]}", f"{length}>{folded[len(folded) - (length - cut) :]}"]
+
+
+def keys(spelling: str) -> list[str]:
+    """Keys under which the words are found that explain ``spelling``; a word's own are those of ``word_keys``."""
+    folded = spelling.translate(FOLDED)
+    if len(folded) > BY_HALVES:  # one confusion leaves one half as it is; words may be longer or shorter by one
+        return sorted({k for n in (-1, 0, 1) for k in _halves(folded, len(folded) + n)})
+    out = {folded}
+    for read, meant in AMONG:
+        read, meant = read.translate(FOLDED), meant.translate(FOLDED)
+        at = folded.find(read)
+        while at >= 0:
+            out.add(folded[:at] + meant + folded[at + len(read) :])
+            at = folded.find(read, at + 1)
     return sorted(out)
 
 
-def _variants(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: variants(w) if w and len(w) <= 60 else [])
+def word_keys(word: str) -> list[str]:
+    folded = word.translate(FOLDED)
+    return [folded, *_halves(folded, len(folded))] if len(folded) >= BY_HALVES else [folded]
+
+
+_keys = F.pandas_udf(lambda words: words.map(keys), T.ArrayType(T.StringType()))
+_word_keys = F.pandas_udf(lambda words: words.map(word_keys), T.ArrayType(T.StringType()))
+_explains = F.pandas_udf(lambda a, b: pd.Series([explains(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), T.BooleanType())
+
+
+def _price(count: Column, times: Column | float = 1.0) -> Column:
+    """-log of a frequency, but for the size of the corpus, and of an error's odds of one in ``times``."""
+    return F.log(F.lit(1.0) * times / count)
+
+
+def misreadings(asked: DataFrame, good: DataFrame) -> DataFrame:
+    """Rows (spelling, n, word, seen, proper, times) of what each of ``asked`` (spelling, n) may be misread from.
+
+    A word counts from its third occurrence on, and if it is ``times`` as frequent as the spelling at least.
+    """
+    by_key = good.where("seen >= 3").withColumn("key", F.explode(_word_keys("word")))
+    times = F.when(F.col("spelling").rlike(r"[0-9|!$+€]"), F.lit(float(TIMES_DIGITS))).otherwise(float(TIMES_LETTERS))
+    met = asked.withColumn("key", F.explode(_keys("spelling"))).join(by_key, "key").where("word <> spelling").withColumn("times", times).where("seen >= times * n")
+    return met.drop("key").distinct().where(_explains("spelling", "word"))
 
 
 def _cuts(column: str) -> Column:
@@ -273,108 +310,292 @@ def _cuts(column: str) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.struct(F.substring(F.col(column), F.lit(1), i).alias("a"), F.substring(F.col(column), i + 1, F.length(column)).alias("b")))
 
 
-def divisions(pieces: DataFrame, types: DataFrame, good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (surface, word, seen, hyphen, misread): words that ran together, and words torn by a blank or a line's end.
+EDGE_COLUMNS = ("surface", "word", "cost", "own", "hyphen", "misread")
+
+
+def _edge(df: DataFrame, surface: Column, word: Column, cost: Column, own: Column | None = None, hyphen: bool = False, misread: Column | None = None) -> DataFrame:
+    no = F.lit(False)
+    return df.select(surface.alias("surface"), word.alias("word"), cost.alias("cost"), (F.lit(None).cast("double") if own is None else own).alias("own"), F.lit(hyphen).alias("hyphen"), (no if misread is None else misread).alias("misread"))
+
 
-    A spelling ran together if its parts stand side by side much more often than it stands at all. Neighbours are a torn
-    word if that is much more frequent, and the rarer part mostly stands beside the other one. A spelling that cleaner
-    texts have is a word.
+def run_together(pieces: DataFrame, types: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges of words that ran together: the parts stand side by side ``TIMES_LETTERS`` times as often as the spelling stands at all.
+
+    One of the letters may be misread besides, at the same odds again. A spelling that cleaner texts have is a word.
     """
-    pairs = cut_lineage(pieces.where("sort = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("cased"), 0).otherwise(F.col("n"))).alias("small")))
-    rare = types.where(F.col("word").rlike(r"^\p{L}{4,}$") & (F.col("clean") == 0) & ~F.col("word").isin(sorted(ALSO_TWO)))
-    cuts = rare.select("word", F.col("n").alias("own"), F.explode(_cuts("word")).alias("c")).select("word", "own", "c.*").where("length(b) >= 2 and (length(a) >= 2 or a = 'a')")
-    ran = cuts.join(pairs.where(F.col("n") >= TIMES_LETTERS).select("a", "b", "n"), ["a", "b"]).where(F.col("n") >= TIMES_LETTERS * F.col("own"))
-    best = ran.groupBy("word").agg(F.max(F.struct(F.col("n").alias("seen"), F.concat_ws(" ", "a", "b").alias("parts"))).alias("w"))
-    together = best.select(F.col("word").alias("surface"), F.col("w.parts").alias("word"), F.col("w.seen").alias("seen"), F.lit(False).alias("hyphen"), F.lit(False).alias("misread"))
-    beside = pairs.where("small > 0 and length(a) >= 2 and length(b) >= 2").withColumn("word", F.concat("a", "b")).join(good.select("word", F.col("n").alias("seen")), "word").where(F.col("seen") >= TIMES_LETTERS * F.col("small"))
+    frequent = pairs.where(F.col("n") >= TIMES_LETTERS).select("a", "b", "n")
+    reach = frequent.agg(F.max(F.length("a") + F.length("b"))).first()[0] or 0  # nothing longer can be two of them
+    rare = types.where(F.col("word").rlike(r"^\p{L}{4,}$") & (F.col("clean") == 0) & ~F.col("word").isin(sorted(ALSO_TWO))).select("word", F.col("n").alias("own"))
+    rare = rare.where(F.length("word") <= reach + 1)
+    spelled = rare.select("word", "own", F.col("word").alias("as_read"), F.lit(float(TIMES_LETTERS)).alias("times"))
+    misspelled = rare.withColumn("as_read", F.explode(_readings("word"))).select("word", "own", "as_read", F.lit(float(TIMES_LETTERS**2)).alias("times"))
+    cuts = spelled.unionByName(misspelled).select("word", "own", "times", F.explode(_cuts("as_read")).alias("c")).select("word", "own", "times", "c.*").where("length(b) >= 2 and (length(a) >= 2 or a = 'a')")
+    found = cuts.join(frequent, ["a", "b"]).where(F.col("n") >= F.col("times") * F.col("own"))
+    return _edge(found, F.col("word"), F.concat_ws(" ", "a", "b"), _price(F.col("n"), F.col("times")), _price(F.col("own")))
+
+
+def one_misread(word: str) -> list[str]:
+    """All spellings from which one confusion among letters leads to ``word``."""
+    out = {word[:at] + meant + word[at + len(read) :] for read, meant in AMONG for at in range(len(word)) if word.startswith(read, at)}
+    return sorted(out - {word})
+
+
+_readings = F.pandas_udf(lambda words: words.map(one_misread), T.ArrayType(T.StringType()))
+
+
+def torn(types: DataFrame, pairs: DataFrame, good: DataFrame) -> DataFrame:
+    """Edges of neighbours that are one torn word: it is much more frequent, and the rarer part mostly stands beside the other one."""
+    beside = pairs.where("small > 0 and length(a) >= 2 and length(b) >= 2").withColumn("word", F.concat("a", "b")).join(good.select("word", "seen"), "word").where(F.col("seen") >= TIMES_LETTERS * F.col("small"))
     part = lambda c: types.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"), F.col("clean").alias(f"clean_{c}"))
-    weighed = beside.join(part("a"), "a").join(part("b"), "b")
     rarer, clean = F.least("n_a", "n_b"), F.when(F.col("n_a") <= F.col("n_b"), F.col("clean_a")).otherwise(F.col("clean_b"))
     alone = F.greatest("n_a", "n_b") * TIMES_LETTERS <= F.col("seen")
-    torn = weighed.where((clean == 0) & (2 * F.col("small") >= rarer) & (F.col("seen") >= F.when(alone, TIMES_LETTERS).otherwise(TIMES_TORN) * rarer))
-    gaps = F.explode(F.array(F.struct(F.lit(" ").alias("gap"), F.lit(False).alias("hyphen")), F.struct(F.lit("\n").alias("gap"), F.lit(True).alias("hyphen"))))
-    return together, torn.select("a", "b", "word", "seen", gaps.alias("g")).select(F.concat("a", "g.gap", "b").alias("surface"), "word", "seen", "g.hyphen", F.lit(False).alias("misread"))
+    weighed = beside.join(part("a"), "a").join(part("b"), "b").withColumn("rarer", rarer).withColumn("times", F.when(alone, float(TIMES_LETTERS)).otherwise(float(TIMES_TORN)))
+    likely = weighed.where((clean == 0) & (2 * F.col("small") >= F.col("rarer")) & (F.col("seen") >= F.col("times") * F.col("rarer")))
+    surface = F.concat_ws(" ", "a", "b")
+    either = F.explode(F.array(F.struct(F.col("word").alias("as"), _price(F.col("seen"), F.col("times")).alias("cost")), F.struct(surface.alias("as"), _price(F.col("rarer")).alias("cost"))))
+    return _edge(likely.withColumn("e", either), surface, F.col("e.as"), F.col("e.cost"))
 
 
-def evidence(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Rows (surface, word, cost, hyphen): readings of spellings and of broken words that the corpus bears out.
+def edges(pieces: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Rows (surface, word, cost, own, hyphen, misread): what a spelling, a broken word ('a-' and 'b' on two lines) or two neighbours ('a b') may stand for.
 
-    ``pieces`` as from the texts; ``extra`` may add the words of cleaner texts as rows (word, n, small). Each join is between
-    word types; counts are added up before they are shuffled.
+    ``own`` is the price of the spelling as it is. ``pieces`` as from the texts; ``extra`` may add the words of cleaner
+    texts as rows (word, n, small). Each join is between word types; counts are added up before they are shuffled.
     """
     of = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
     counted = pieces.where("sort in ('word', 'head')").groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("n"), of(~F.col("cased") & (F.col("sort") == "word")).alias("small"), of(F.col("sort") == "head").alias("heads"), F.lit(0).cast("bigint").alias("clean"))
     if extra is not None:
         counted = counted.unionByName(extra.select("word", "n", "small", F.lit(0).cast("bigint").alias("heads"), F.col("n").alias("clean"))).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "small", "heads", "clean")])
     types = cut_lineage(counted)
+    pairs = cut_lineage(pieces.where("sort = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"), of(~F.col("cased")).alias("small")))
     # A word that the running text never writes small, and that isn't mostly the headers', is a proper name.
     proper = (F.col("small") == 0) & (F.col("n") >= 2 * F.col("heads"))
-    good = types.where(F.col("word").rlike(r"^[\p{L}'’-]+$")).select("word", "n", proper.alias("proper"))
-    halves = pieces.where("sort in ('hard', 'soft')").groupBy(F.lower("a").alias("a"), F.lower("b").alias("b"), "sort").agg(F.sum("n").alias("n"), F.max(F.col("b").rlike(r"^\p{Lu}") & F.col("a").rlike(r"\p{Ll}$")).alias("name"))
-    forms = halves.select("*", F.explode(F.array(F.struct(F.concat("a", "b").alias("form"), F.lit(False).alias("kept")), F.struct(F.concat_ws("-", "a", "b").alias("form"), F.lit(True).alias("kept")))).alias("f")).select("a", "b", "sort", "n", "name", "f.*")
-    weighed = forms.join(good.select(F.col("word").alias("form"), F.col("n").alias("seen")), "form", "left")
-    best = weighed.groupBy("a", "b", "sort").agg(
-        F.max(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.when(F.col("name"), F.col("kept")).otherwise(~F.col("kept")).alias("rather"), F.col("form").alias("form"))).alias("best"), F.max("n").alias("n")
-    )
-    rejoined = cut_lineage(best.select(F.concat_ws("\n", "a", "b").alias("surface"), F.col("best.form").alias("word"), F.col("best.seen").alias("seen"), "n"))
+    good = types.where(F.col("word").rlike(r"^[\p{L}'’-]+$")).select("word", F.col("n").alias("seen"), proper.alias("proper"))
+    halves = pieces.where("sort in ('hard', 'soft')").groupBy(F.lower("a").alias("a"), F.lower("b").alias("b")).agg(F.sum("n").alias("n"), F.max(F.col("b").rlike(r"^\p{Lu}") & F.col("a").rlike(r"\p{Ll}$")).alias("name"))
+    both = F.explode(F.array(F.struct(F.concat("a", "b").alias("form"), F.lit(False).alias("kept")), F.struct(F.concat_ws("-", "a", "b").alias("form"), F.lit(True).alias("kept"))))
+    seen = halves.withColumn("f", both).select("a", "b", "n", "name", "f.*").join(good.select(F.col("word").alias("form"), "seen"), "form", "left")
+    # A form that stands nowhere else is priced by the broken word's own count; of forms alike the mark goes, unless a name follows it.
+    rather = F.when(F.col("name") == F.col("kept"), 1.0).otherwise(1.001)
+    rejoined = cut_lineage(seen.select(F.concat_ws("-\n", "a", "b").alias("surface"), F.col("form").alias("word"), "kept", "n", F.coalesce("seen", F.lit(0)).alias("seen"), _price(F.coalesce(F.col("seen").cast("double"), F.lit(0.5)), rather).alias("cost")))
+    unknown = rejoined.groupBy("surface").agg(F.max("seen").alias("most"), F.max("n").alias("n"), F.max(F.when(~F.col("kept"), F.col("word"))).alias("spelling")).where("most = 0").select("spelling", "n")
     # Spellings to be explained: types, and rejoined words that the corpus doesn't know.
-    asked = types.select(F.col("word").alias("spelling"), "n").unionByName(rejoined.where("seen = 0").select(F.col("word").alias("spelling"), "n")).groupBy("spelling").agg(F.max("n").alias("n"))
-    asked = asked.where(F.col("spelling").rlike(r"^[\p{L}0-9|!$+€'’-]+$") & F.col("spelling").rlike(r"\p{L}") & (F.length("spelling") >= 3))
-    asked = asked.where(~F.col("spelling").rlike(CODE.pattern))
-    meant = asked.select("spelling", "n", F.explode(F.pandas_udf(_variants, T.ArrayType(T.StringType()))("spelling")).alias("word")).join(good.withColumnRenamed("n", "seen"), "word")
-    times = F.when(F.col("spelling").rlike(r"[0-9|!$+€]"), TIMES_DIGITS).otherwise(TIMES_LETTERS)
-    fixed = meant.where((F.col("seen") >= times * F.col("n")) & (F.col("seen") >= 3)).groupBy("spelling").agg(F.max(F.struct("seen", "word", "proper")).alias("w"))
-    misread = cut_lineage(fixed.select(F.col("spelling").alias("surface"), F.col("w.word").alias("word"), F.col("w.seen").alias("seen"), F.col("w.proper").alias("proper")))
-    mended = rejoined.join(misread.select(F.col("surface").alias("form"), F.col("word").alias("right"), F.col("seen").alias("right_seen"), F.col("proper").alias("right_proper")), F.col("word") == F.col("form"), "left")
-    pairs = mended.select("surface", F.coalesce("right", "word").alias("word"), F.coalesce("right_seen", "seen").alias("seen"), F.lit(True).alias("hyphen"), (F.col("right").isNotNull() & ~F.coalesce("right_proper", F.lit(False))).alias("misread"))
-    alone = misread.select("surface", "word", "seen", F.lit(False).alias("hyphen"), (~F.col("proper")).alias("misread"))
-    together, torn = divisions(pieces, types, good)
-    # A word divided with a mark has its reading already.
-    return pairs.unionByName(alone).unionByName(together.join(alone.select("surface"), "surface", "left_anti")).unionByName(torn.join(rejoined.select("surface"), "surface", "left_anti"))
+    asked = types.select(F.col("word").alias("spelling"), "n").unionByName(unknown).groupBy("spelling").agg(F.max("n").alias("n"))
+    asked = asked.where(F.col("spelling").rlike(r"^[\p{L}0-9|!$+€'’-]+$") & F.col("spelling").rlike(r"\p{L}") & (F.length("spelling") >= 3) & ~F.col("spelling").rlike(CODE.pattern))
+    meant = cut_lineage(misreadings(asked, good))
+    alone = _edge(meant, F.col("spelling"), F.col("word"), _price(F.col("seen"), F.col("times")), _price(F.col("n")), False, ~F.col("proper"))
+    divided = _edge(rejoined, F.col("surface"), F.col("word"), F.col("cost"), None, True)
+    mended = rejoined.select("surface", F.col("word").alias("spelling")).join(meant, "spelling")
+    misdivided = _edge(mended, F.col("surface"), F.col("word"), _price(F.col("seen"), F.col("times")), None, True, ~F.col("proper"))
+    return alone.unionByName(divided).unionByName(misdivided).unionByName(run_together(pieces, types, pairs)).unionByName(torn(types, pairs, good))
+
+
+def surface_filter(surfaces: DataFrame) -> bytes:
+    """A bitmap of the hashes of the column ``surface``, put together by Spark; its size is fixed, so it may go to every worker."""
+    at = surfaces.select(F.pmod(F.crc32(F.col("surface").cast("binary")), F.lit(FILTER_BITS)).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
+        out[r["word"]] = r["bits"]
+    return out.tobytes()
+
+
+def passes(bits: bytes, surface: str) -> bool:
+    at = zlib.crc32(surface.encode()) % FILTER_BITS
+    return bits[at >> 3] >> (at & 7) & 1 == 1
+
+
+WINDOW = "result_id bigint, at int, window string, form string, english boolean, surfaces array<string>"
+
+
+def _places(lines: list[tuple[int, str]], running: str, low: str, known: dict[str, bool], bits: bytes) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """Stretches (start, end, surface) of the stream that may have edges, and where a line's end may divide a word without a mark."""
+    def may(surface: str) -> bool:
+        hit = known.get(surface)
+        if hit is None:
+            hit = known[surface] = passes(bits, surface)
+        return hit
+
+    out: list[tuple[int, int, str]] = []
+    tokens = {t.rstrip(".") for t in TOKEN.findall(low)}
+    if any(map(may, tokens)):
+        for m in TOKEN.finditer(low):
+            token = m.group().rstrip(".")
+            if may(token):
+                out.append((m.start(), m.start() + len(token), token))
+    joints: list[int] = []
+    if any(may(f"{t} ") for t in tokens):
+        breaks: list[bool] | None = None
+        for m in PAIR.finditer(running):
+            surface = f"{m.group(1)} {m.group(3)}".lower()
+            if m.group(3)[:1].islower() and may(f"{m.group(1).lower()} ") and may(surface):
+                if m.group(2) == "\n":
+                    breaks = breaks or paragraph_breaks(lines, max(len(x) for _, x in lines))
+                    if breaks[running.count("\n", 0, m.end(2))]:
+                        continue
+                    joints.append(m.start(2))
+                out.append((m.start(), m.end(3), surface))
+    at = 0
+    for (_, line), (_, after) in zip(lines, lines[1:], strict=False):
+        end = at + len(line)
+        if line[-1:] in HYPHENS:
+            tail, head = BROKEN.search(line), HEAD.match(after)
+            if tail and head and _divided(tail.group(1), head.group(1)):
+                left, right = at + tail.start(1), end + 1 + head.end(1)
+                out.append((left, right, f"{low[left : at + tail.end(1)]}-\n{low[end + 1 : right]}"))
+        at = end + 1
+    return out, joints
+
+
+def _windows(running: str, low: str, places: list[tuple[int, int, str]], joints: list[int]) -> Iterator[tuple[int, str, str, list[str]]]:
+    """(start, window, its form, surfaces): each stretch with a neighbour on either side, those that touch taken together.
+
+    In the form, letters are small, a mark of division is '-' and a line's end that may divide a word is a blank.
+    """
+    form = list(low)
+    for at in joints:
+        form[at] = " "
+    for a, b, surface in places:
+        if "\n" in surface:
+            form[a:b] = surface
+    marked = "".join(form)
+    starts, ends = zip(*((m.start(), m.end()) for m in CHUNK.finditer(running)), strict=True)
+    spans: list[list] = []
+    for a, b, surface in sorted(places):
+        first, last = max(0, bisect_right(starts, a) - 2), min(len(ends) - 1, bisect_left(ends, b) + 1)
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], last)
+            spans[-1][2].append(surface)
+        else:
+            spans.append([first, last, [surface]])
+    for first, last, surfaces in spans:
+        a, b = starts[first], ends[last]
+        yield a, running[a:b], marked[a:b], sorted(set(surfaces))
+
+
+def _emit_windows(shared):
+    """Windows of each text, and of its headers (at -1)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        known: dict[str, bool] = {}
+        for frame in frames:
+            rows = []
+            for result, text, drop, heads in zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True):
+                tongue: list[bool] = []
+                for n, lines in enumerate(([(k, x.strip()) for k, x in _stream(text, set(drop))], *([(0, h)] for h in heads))):
+                    running = "\n".join([x for _, x in lines])
+                    places, joints = _places(lines, running, lowered(running), known, bits)
+                    if places:
+                        tongue = tongue or [_language(text) == "en"]
+                        rows += [(result, -1 if n else a, w, f, tongue[0], s) for a, w, f, s in _windows(running, lowered(running), places, joints)]
+            if len(known) > 300_000:
+                known.clear()
+            yield pd.DataFrame(rows, columns=["result_id", "at", "window", "form", "english", "surfaces"])
 
+    return run
+
+
+def lowered(text: str) -> str:
+    """``text`` in small letters, none of which takes more than one place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
-JOIN, CONFUSE, UNKNOWN = 2.0, 3.0, 9.0
 
+#: What a character costs that belongs to no word, and a word of which nothing is known; dearer than any edge.
+UNCOVERED, UNKNOWN = 100.0, 1.0
 
-def decode_window(window: str, readings: dict[str, tuple[str, float]]) -> list[tuple[str, str]]:
-    """Cheapest sequence of words over a stream of characters: pairs (as it stands, as it should read).
 
-    ``readings`` maps a surface (lower case; a line's end as its only line end) to its word and cost. Characters that no
-    reading covers stand for themselves at a price each, so the sequence always exists.
+def decode_window(form: str, readings: dict[str, list[tuple[str, float, bool, bool]]], own: dict[str, float] | None = None) -> list[tuple[int, int, str, bool, bool]]:
+    """Cheapest sequence of words over a stream of characters: what is to be put right, as (start, end, word, hyphen, misread).
+
+    ``readings`` maps a surface to its words with their prices; ``own`` has the prices of spellings as they are. Words
+    begin and end where those of the stream do, unless an edge leads over a blank or a line's end. A spelling that only
+    edges over neighbours know stands for itself at ``UNKNOWN``; a mark of division has to be read somehow.
     """
-    n = len(window)
-    longest = max((len(s) for s in readings), default=1)
-    cost, back = [0.0] + [math.inf] * n, [None] * (n + 1)
-    lower = window.lower()
+    own, n = own or {}, len(form)
+    cost: list[float] = [0.0] + [math.inf] * n
+    back: list[tuple | None] = [None] * (n + 1)
+    spans = {m.start(): m.start() + len(m.group().rstrip(".")) for m in TOKEN.finditer(form)}
+    for surface in readings:
+        if "\n" in surface:  # a mark of division is no part of the tokens beside it
+            at = form.find(surface)
+            while at >= 0:
+                spans.setdefault(at, at + surface.index("\n") - 1)
+                at = form.find(surface, at + 1)
+    ends = set(spans.values())
+    by_size = sorted({len(x) for x in readings})
+
+    def reach(j: int, price: float, how: tuple) -> None:
+        if price < cost[j] - 1e-9:
+            cost[j], back[j] = price, how
+
     for i in range(n):
         if cost[i] == math.inf:
             continue
-        if cost[i] + UNKNOWN < cost[i + 1]:
-            cost[i + 1], back[i + 1] = cost[i] + UNKNOWN, (i, window[i])
-        for j in range(i + 1, min(n, i + longest) + 1):
-            reading = readings.get(lower[i:j])
-            if reading and cost[i] + reading[1] < cost[j]:
-                cost[j], back[j] = cost[i] + reading[1], (i, reading[0])
+        end = spans.get(i)
+        if end is not None:
+            for size in by_size:
+                j = i + size
+                if j <= n and (j in ends or j == n or not form[j].isalnum()):
+                    for word, price, hyphen, misread in readings.get(form[i:j], ()):
+                        reach(j, cost[i] + price, (i, word, hyphen, misread))
+            surface = form[i:end]
+            reach(end, cost[i] + own.get(surface, UNKNOWN), (i, None, False, False))
+        else:
+            reach(i + 1, cost[i] + (UNCOVERED if form.startswith("-\n", i) else 0.0), (i, None, False, False))
     out, j = [], n
     while j:
-        i, word = back[j]
-        out.append((window[i:j], word))
+        i, word, hyphen, misread = back[j]
+        if word is not None and word != form[i:j]:
+            out.append((i, j, word, hyphen, misread))
         j = i
     return out[::-1]
 
 
 def _as(word: str, like: str) -> str:
     """``word`` in the case of ``like``."""
-    if word.replace(" ", "") == "".join(like.lower().split()):  # ran together, or torn: the letters stay as they are
-        at = word.find(" ")
-        whole = "".join(like.split())
-        return whole if at < 0 else f"{whole[:at]} {whole[at:]}"
+    whole = re.sub(rf"[{HYPHENS}]?\s", "", like)
+    for letters in (whole, re.sub(rf"[{HYPHENS}]\s", "-", like)):
+        if word.replace(" ", "") == letters.lower():  # ran together, torn or divided: the letters stay as they are
+            at = word.find(" ")
+            return letters if at < 0 else f"{letters[:at]} {letters[at:]}"
     letters = [c for c in like if c.isalpha()]
     if len(letters) > 1 and all(c.isupper() for c in letters):
         return word.upper()
     return word[:1].upper() + word[1:] if like[:1].isupper() or (like[:1].isdigit() and len(letters) > 1 and letters[0].isupper()) else word
 
 
+FIXES = "array<struct<start:int,stop:int,text:string,kinds:array<string>,item:string>>"
+
+
+def _decode_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Windows with their edges decoded: what is to be put right, by its place in the text's stream (-1 in headers)."""
+    for frame in frames:
+        rows = []
+        for result, at, window, form, english, edges_ in zip(frame["result_id"], frame["at"], frame["window"], frame["form"], frame["english"], frame["edges"], strict=True):
+            readings: dict[str, list] = {}
+            own: dict[str, float] = {}
+            # No price is below that of a word that is as frequent as anything can be, so all may be raised by it.
+            for e in sorted(edges_, key=lambda e: (e["surface"], e["cost"], e["word"])):
+                readings.setdefault(e["surface"], []).append((e["word"], e["cost"] + RAISED, e["hyphen"], e["misread"]))
+                if e["own"] is not None:
+                    own[e["surface"]] = e["own"] + RAISED + 1e-6
+            parts = {p for x in readings if " " in x for p in x.split(" ")}
+            own |= {p: RAISED for p in parts if p not in own}
+            fixes = []
+            for i, j, word, hyphen, misread in decode_window(form, readings, own):
+                like = window[i:j]
+                kinds = [k for k, yes in (("hyphen", (hyphen or "\n" in like) and at >= 0), ("misread", misread and english)) if yes]
+                fixes.append({"start": at + i if at >= 0 else -1, "stop": at + j, "text": _as(word, like), "kinds": kinds, "item": word})
+            if fixes:
+                rows.append((result, fixes))
+        yield pd.DataFrame(rows, columns=["result_id", "fixes"])
+
+
+#: -log of the frequency of a word is taken but for the corpus' size, so it may be below 0; e^40 words are more than any corpus has.
+RAISED = 40.0
+
+
 SECTION_RE = re.compile(SECTION)
 #: First characters of what ``SECTION`` matches; characters that end a paragraph, and what may follow them.
 SECTION_STARTS, ENDS, QUOTES = frozenset("0123456789#PT第(（-*•"), frozenset(".!?。！？:："), frozenset("'\"”’)）")
@@ -412,50 +633,17 @@ def paragraph_breaks(lines: list[tuple[int, str]], width: int) -> list[bool]:
     return out
 
 
-def torn_lefts(readings: dict[str, tuple[str, float, bool, bool]]) -> frozenset[str]:
-    """First parts of words torn by a blank; those torn by a line's end have the same."""
-    return frozenset(s.partition(" ")[0] for s in readings if " " in s)
-
-
-def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str, tuple[str, float, bool, bool]], lefts: frozenset[str] | None = None) -> tuple[str, list[tuple[str, str]]]:
-    """The text as paragraphs, and what was put right in it: (kind, word). ``lefts``: as from ``torn_lefts``."""
-    known_words = readings.keys()
+def assemble(text: str, drop: set[int], fixes: list[tuple[int, int, str]]) -> str:
+    """The text as paragraphs, without the lines ``drop``, and with ``fixes`` (start, stop, text; places of its stream) put in."""
     lines = [(k, x.strip()) for k, x in _stream(text, drop)]
+    breaks = paragraph_breaks(lines, max((len(x) for _, x in lines), default=1))
     running = "\n".join([x for _, x in lines])
-    tokens = set(TOKEN.findall(running.lower()))
-    odd = known_words & tokens
-    lefts = torn_lefts(readings) if lefts is None else lefts
-    torn = set() if lefts.isdisjoint(tokens) else {x for a, gap, b in PAIR.findall(running) if b[:1].islower() and (x := f"{a}{gap}{b}".lower()) in known_words and f"{a} {b}".lower() in known_words}
-    odd |= {x.split()[0] for x in torn}
     has_han = HAN.search(text) is not None
-    tongue: list[str] = []
-    found: list[tuple[str, str]] = []
-    breaks = paragraph_breaks(lines, max((len(x) for _, x in lines), default=1))
     parts: list[str] = []
-
-    def english() -> bool:
-        if not tongue:
-            tongue.append(_language(text))
-        return tongue[0] == "en"
-
-    def put(chunk: str, reading: str) -> None:
-        """Adds a chunk whose core is to be read as ``reading``."""
-        low = reading.lower()
-        costs = {low[i:j]: readings[low[i:j]][:2] for i in range(len(low)) for j in range(i + 1, len(low) + 1) if low[i:j] in readings}
-        for surface, word in decode_window(reading, costs):
-            known = readings.get(surface.lower())
-            if known is None:
-                parts.append(surface.replace("\n", ""))
-                continue
-            if known[2]:
-                found.append(("hyphen", word))
-            if known[3] and english():
-                found.append(("misread", word))
-            parts.append(_as(word, surface))
-
-    held: str | None = None
+    at, done, pending = 0, 0, sorted(fixes)[::-1]
     for n, (_, body) in enumerate(lines):
-        if n and held is None:
+        end = at + len(body)
+        if n and done <= at - 1:
             if breaks[n]:
                 parts.append("\n\n")
             else:
@@ -463,115 +651,63 @@ def repair_text(text: str, drop: set[int], heads: list[str], readings: dict[str,
                 code = last[-1:] == "-" and last[:1].isalnum() and body[:1].isdigit() or has_han and body[:1] == "-"
                 han = has_han and (HAN_SIGN.match(last[-1:]) and HAN_NEXT.match(body) or HAN_SIGN.match(body) and HAN_NEXT.match(last[-1:]))
                 parts.append("" if code or han else " ")
-        if has_han:
-            body = HAN_BLANKS.sub("", body)
-        tail = BROKEN.search(body) if body[-1:] in HYPHENS and n + 1 < len(lines) else None
-        if tail is None and torn and n + 1 < len(lines) and not breaks[n + 1]:
-            tail = UNMARKED.search(body)
-        nxt = HEAD.match(lines[n + 1][1]) if tail else None
-        at = 0
-        pair_start = len(body)
-        if tail and nxt and (tail.re is BROKEN or nxt.group(1)[:1].islower()) and f"{tail.group(1)}\n{nxt.group(1)}".lower() in (readings if tail.re is BROKEN else torn):
-            pair_start = tail.start(1)
-        elif held is None and not (odd and any(map(body.lower().__contains__, odd))):
-            parts.append(body)
-            continue
-        first = True
-        ahead = list(TOKEN.finditer(body)) if torn else []
-        for k, m in enumerate(ahead or TOKEN.finditer(body)):
-            token = m.group().rstrip(".")
-            if m.start() >= pair_start:
-                break
-            if m.start() < at:  # taken with the word before
-                continue
-            # Neighbours that may be one torn word are decoded together, as far as they reach.
-            end, after = m.end(), k + 1
-            while after < len(ahead) and ahead[after].end() <= pair_start and ahead[after].group()[:1].islower() and f"{ahead[after - 1].group()}{body[end : ahead[after].start()]}{ahead[after].group().rstrip('.')}".lower() in torn:
-                end, after = ahead[after].start() + len(ahead[after].group().rstrip(".")), after + 1
-            if after > k + 1:
-                token = body[m.start() : end]
-            parts.append(body[at : m.start()])
-            at = m.start() + len(token)
-            if first and held is not None:
-                put(token, f"{held}\n{token}")
-                held = None
-            elif after > k + 1 or token.lower() in readings:
-                put(token, token)
-            else:
-                parts.append(token)
-            first = False
-        parts.append(body[at:pair_start])
-        if pair_start < len(body):
-            left = tail.group(1)
-            if first and held is not None:  # broken at both ends
-                put(left, f"{held}\n{left}")
-                held = None
-                parts.append(body[tail.end(1) :])
-            else:
-                held = left
-    if held is not None:
-        parts.append(held)
-    for head in heads:
-        if not known_words.isdisjoint([t.rstrip(".") for t in TOKEN.findall(head.lower())]) and english():
-            for m in TOKEN.finditer(head):
-                known = readings.get(m.group().rstrip(".").lower())
-                if known and known[3] and not known[2]:
-                    found.append(("misread", known[0]))
-    return GAPS.sub("\n\n", BLANKS.sub(" ", "".join(parts))).strip(), found
-
-
-def _repaired_frame(frame: pd.DataFrame, readings_of, lefts: frozenset[str] | None = None) -> pd.DataFrame:
-    rows = []
-    for k, (result, text, drop, heads) in enumerate(zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True)):
-        repaired, found = repair_text(text, set(drop), list(heads), readings_of(k), lefts)
-        rows.append((result, repaired, [{"kind": kind, "item": w} for kind, w in dict.fromkeys(found)]))
-    return pd.DataFrame(rows, columns=["result_id", "repaired", "fixes"])
-
-
-def _coded(r) -> tuple[str, float, bool, bool]:
-    return r["word"], JOIN + CONFUSE / (1 + math.log1p(r["seen"])), bool(r["hyphen"]), bool(r["misread"])
-
-
-def _repair_joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Repairs texts that come with their own readings."""
+        done = max(done, at)
+        while pending and pending[-1][0] < end:
+            start, stop, fixed = pending.pop()
+            parts += [running[done:start], fixed]
+            done = stop
+        if done < end:
+            parts.append(HAN_BLANKS.sub("", running[done:end]) if has_han else running[done:end])
+            done = end
+        at = end + 1
+    return GAPS.sub("\n\n", BLANKS.sub(" ", "".join(parts))).strip()
+
+
+def _assemble_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        own = [{r["surface"]: _coded(r) for r in local} for local in frame["readings"]]
-        yield _repaired_frame(frame, own.__getitem__)
+        done = [assemble(t, set(d), [(f["start"], f["stop"], f["text"]) for f in fixes]) for t, d, fixes in zip(frame["text"], frame["drop"], frame["fixes"], strict=True)]
+        yield pd.DataFrame({"result_id": frame["result_id"], "repaired": done})
 
 
-def _repair_shared(shared):
-    """Repairs texts by readings that every worker holds."""
+@dataclass
+class Repair:
+    """Scanned texts with their furniture (result_id, line_no, kind, item), and what is to be put right (result_id, fixes), a row for each window."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lefts = torn_lefts(shared.value)
-        for frame in frames:
-            yield _repaired_frame(frame, lambda _: shared.value, lefts)
+    texts: DataFrame
+    marks: DataFrame
+    fixes: DataFrame
 
-    return run
+    def paragraphs(self) -> DataFrame:
+        """Rows (result_id, repaired): each text as continuous paragraphs; null and empty texts have none."""
+        per_text = self.fixes.select("result_id", F.explode("fixes").alias("f")).where("f.start >= 0").groupBy("result_id").agg(F.collect_list("f").alias("fixes"))
+        joined = self.texts.join(per_text, "result_id", "left").withColumn("fixes", F.coalesce("fixes", F.array().cast(FIXES)))
+        return joined.mapInPandas(_assemble_frames, "result_id bigint, repaired string")
+
+    def noise(self) -> DataFrame:
+        """Rows (result_id, kind, item) of everything that is put right or taken out, each once."""
+        put = self.fixes.select("result_id", F.explode("fixes").alias("f")).select("result_id", F.explode("f.kinds").alias("kind"), "f.item")
+        return put.unionByName(self.marks.where("kind <> 'marks'").select("result_id", "kind", "item")).distinct()
 
 
-def repair_pages(pages: DataFrame, words: DataFrame | None = None, most_shared: int = MOST_SHARED) -> tuple[DataFrame, DataFrame]:
-    """Of rows (result_id, file_id, page_no, pages, text): rows (result_id, repaired, fixes), and ``furniture``.
+def repair_pages(pages: DataFrame, words: DataFrame | None = None) -> Repair:
+    """The repair of rows (result_id, file_id, page_no, pages, text).
 
-    Null and empty texts stay out of the first result. Texts stored twice are repaired alike. ``words`` may add rows
-    (word, n, small) of cleaner texts to the evidence. Up to ``most_shared`` readings are handed to every worker; where
-    there are more, each text is joined with its own. Whole texts are decoded, however long.
+    Null and empty texts stay out of it. Texts stored twice are repaired alike. ``words`` may add rows (word, n, small) of
+    cleaner texts to the counts. Whole texts are decoded, however long; an empty table gives empty results.
     """
-    kept = pages.select(F.col("result_id").cast("bigint").alias("result_id"), F.col("file_id").cast("bigint").alias("file_id"), "page_no", "pages", F.col("text").cast("string").alias("text")).where("result_id is not null and text is not null and trim(text) <> ''")
+    kept = spread(pages).select(F.col("result_id").cast("bigint").alias("result_id"), F.col("file_id").cast("bigint").alias("file_id"), "page_no", "pages", F.col("text").cast("string").alias("text")).where("result_id is not null and text is not null and trim(text) <> ''")
     marks = cut_lineage(furniture(kept))
     per_row = marks.groupBy("result_id").agg(F.collect_list("line_no").alias("drop"), F.collect_list(F.when(F.col("kind") == "header", F.col("item"))).alias("heads"))
     empty = lambda kind: F.array().cast(kind)
     texts = cut_lineage(kept.join(per_row, "result_id", "left").select("result_id", "text", F.coalesce("drop", empty("array<int>")).alias("drop"), F.coalesce("heads", empty("array<string>")).alias("heads")))
     pieces = cut_lineage(texts.mapInPandas(_emit_pieces, "sort string, a string, b string, cased boolean, n bigint"))
-    readings = cut_lineage(evidence(pieces, words))
-    out = "result_id bigint, repaired string, fixes array<struct<kind:string,item:string>>"
-    if readings.count() <= most_shared:
-        shared = pages.sparkSession.sparkContext.broadcast({r["surface"]: _coded(r) for r in readings.toLocalIterator()})
-        return texts.mapInPandas(_repair_shared(shared), out), marks
-    asked = texts.mapInPandas(_emit_asked, "result_id bigint, surface string")
-    local = asked.join(readings, "surface").groupBy("result_id").agg(F.collect_list(F.struct("surface", "word", "seen", "hyphen", "misread")).alias("readings"))
-    ready = texts.join(local, "result_id", "left").withColumn("readings", F.coalesce("readings", empty("array<struct<surface:string,word:string,seen:bigint,hyphen:boolean,misread:boolean>>")))
-    return ready.mapInPandas(_repair_joined, out), marks
+    known = cut_lineage(edges(pieces, words))
+    lefts = known.where("surface like '% %'").select(F.concat(F.substring_index("surface", " ", 1), F.lit(" ")).alias("surface"))
+    bits = surface_filter(known.select("surface").unionByName(lefts))
+    windows = texts.mapInPandas(_emit_windows(pages.sparkSession.sparkContext.broadcast(bits)), WINDOW).withColumn("place", F.monotonically_increasing_id())
+    asked = windows.withColumn("surface", F.explode("surfaces")).drop("surfaces")
+    met = asked.join(known, "surface").groupBy("place").agg(*[F.first(c).alias(c) for c in ("result_id", "at", "window", "form", "english")], F.collect_list(F.struct(*EDGE_COLUMNS)).alias("edges"))
+    return Repair(texts, marks, met.mapInPandas(_decode_frames, f"result_id bigint, fixes {FIXES}"))
 
 
 def clean_words(texts: Column, df: DataFrame) -> DataFrame:
@@ -579,9 +715,3 @@ def clean_words(texts: Column, df: DataFrame) -> DataFrame:
     tokens = F.regexp_extract_all(texts, F.lit(r"[A-Za-z\u00c0-\u024f]+(?:['’-][A-Za-z\u00c0-\u024f]+)*"), F.lit(0))
     spelled = df.select(F.explode(tokens).alias("as_is"))
     return spelled.groupBy(F.lower("as_is").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("as_is").rlike(r"^\p{Ll}").cast("bigint")).alias("small"))
-
-
-def list_noise(repaired: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows (result_id, kind, item) of everything that was put right or taken out, each once."""
-    fixes = repaired.select("result_id", F.explode("fixes").alias("f")).select("result_id", "f.kind", "f.item")
-    return fixes.unionByName(marks.where("kind <> 'marks'").select("result_id", "kind", "item")).distinct()

@@ -39,19 +39,19 @@ def p2_masked_pages(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "ocr_results", "result_id", "text"), "text")
 
 
-def _repaired(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _repaired(spark: SparkSession, d: str) -> ocr_repair.Repair:
     pages = table(spark, d, "ocr_results", "result_id", "file_id", "page_no", "pages", "text")
     return ocr_repair.repair_pages(pages, ocr_repair.clean_words(F.col("text"), table(spark, d, "documents", "text").where("text is not null")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Traces of the printed page in each scanned text."""
-    return ocr_repair.list_noise(*_repaired(spark, d))
+    return _repaired(spark, d).noise()
 
 
 def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Scanned texts as continuous paragraphs."""
-    return _repaired(spark, d)[0].select("result_id", "repaired")
+    return _repaired(spark, d).paragraphs()
 
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:

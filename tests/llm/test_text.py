@@ -105,11 +105,10 @@ def _pages():
     return rows
 
 
-@pytest.mark.parametrize("shared", [ocr_repair.MOST_SHARED, 0])
-def test_noise_of_scanned_pages(spark, shared):
+def test_noise_of_scanned_pages(spark):
     df = spark.createDataFrame(_pages(), "result_id bigint, file_id bigint, page_no int, pages int, text string").withColumn("item", F.lit("clash"))
-    repaired, marks = ocr_repair.repair_pages(df, most_shared=shared)
-    got = {(r.result_id, r.kind, r.item) for r in ocr_repair.list_noise(repaired, marks).collect()}
+    repair = ocr_repair.repair_pages(df)
+    got = {(r.result_id, r.kind, r.item) for r in repair.noise().collect()}
     for n in range(1, 13):
         file, page = (n - 1) // 6 + 1, (n - 1) % 6 + 1
         assert (n, "hyphen", "discharge") in got and (n, "hyphen", "co-insurance") in got and (n, "page_number", f"- {page} -") in got
@@ -117,22 +116,70 @@ def test_noise_of_scanned_pages(spark, shared):
         assert heads == (set() if page == 1 else {("Ward Manual 2016" if page != 3 else "Ward Manua1 2016") + ("" if file == 1 else f"    {page}")})
     assert {(k, i) for r, k, i in got if r == 200} == {("misread", "clerk"), ("misread", "manager"), ("hyphen", "discharge")}
     assert {(k, i) for r, k, i in got if r == 203} == {("page_number", "第 3 页")}
-    texts = {r.result_id: r.repaired for r in repaired.collect()}
+    texts = {r.result_id: r.repaired for r in repair.paragraphs().collect()}
     assert "fails to attach the discharge summary." in texts[2] and "Ward" not in texts[2] and "- 2 -" not in texts[2] and 201 not in texts
     assert texts[200].startswith("The clerk and the manager delay the discharge summary") and texts[203] == "表格KV-2019用完为限。"
 
 
 def test_no_pages(spark):
     df = spark.createDataFrame([], "result_id bigint, file_id bigint, page_no int, pages int, text string")
-    repaired, marks = ocr_repair.repair_pages(df)
-    assert ocr_repair.list_noise(repaired, marks).count() == 0
+    repair = ocr_repair.repair_pages(df)
+    assert repair.noise().count() == 0 and repair.paragraphs().count() == 0
 
 
 def test_decoding_takes_the_cheapest_words():
-    readings = {"emp1oyment": ("employment", 3.0), "emp": ("emp", 3.0), "the": ("the", 1.0), "end": ("end", 1.0), "theend": ("theend", 5.0)}
-    assert ocr_repair.decode_window("theend", readings) == [("the", "the"), ("end", "end")]
-    assert ocr_repair.decode_window("emp1oyment", readings) == [("emp1oyment", "employment")]
-    assert ocr_repair.decode_window("zz", readings) == [("z", "z"), ("z", "z")]
+    put = lambda form, readings, own=None: [f[:3] for f in ocr_repair.decode_window(form, {k: [(w, c, False, False) for w, c in v] for k, v in readings.items()}, own)]
+    assert put("is theend", {"theend": [("the end", 3.0), ("tbe end", 4.0)]}, {"theend": 5.0}) == [(3, 9, "the end")]
+    assert put("is theend", {"theend": [("the end", 6.0)]}, {"theend": 5.0}) == []
+    assert put("zz", {}) == []
+    # Of two merges over the same word the cheaper pair of readings counts, not the cheaper reading.
+    both = {"in sur": [("insur", 2.0), ("in sur", 9.0)], "sur ance": [("surance", 3.0), ("sur ance", 9.0)]}
+    assert put("in sur ance", both, {"in": 9.0, "sur": 9.0, "ance": 1.0}) == [(0, 6, "insur")]
+    assert put("in sur ance", both, {"in": 1.0, "sur": 9.0, "ance": 9.0}) == [(3, 11, "surance")]
+    # A mark of division is read somehow, whatever it costs, and a misread part belongs to the divided word.
+    assert put("the treat-\nrnent is", {"treat-\nrnent": [("treatment", 30.0), ("treatrnent", 40.0)], "rnent": [("ment", 1.0)]}, {"rnent": 2.0}) == [(4, 16, "treatment")]
+
+
+@pytest.mark.parametrize(("spelling", "word", "yes"), [
+    ("c1erk", "clerk", True), ("c1erk", "cierk", True), ("11110111", "llllolll", True), ("rnanager", "manager", True), ("c1", "d", True), ("tbe", "the", True), ("tbc", "the", False), ("clerk", "clerk", False), ("m" * 70 + "rn", "m" * 71, True), ("i1l" * 30, "ill" * 30, True), ("a+", "at", True), ("ab", "a", False),
+])
+def test_what_may_have_been_misread_shares_a_key(spelling, word, yes):
+    assert ocr_repair.explains(spelling, word) == yes
+    if yes:
+        assert set(ocr_repair.keys(spelling)) & set(ocr_repair.word_keys(word))
+
+
+def test_keys_are_shared_by_all_that_explains():
+    rng = random.Random(3)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcdehilmnrtuvw") for _ in range(rng.choice([3, 5, 9, 63, 64, 65, 90])))
+        spelling = list(word)
+        for k in range(len(spelling)):
+            odd = [r for r, m in ocr_repair.CONFUSIONS if not r.isalpha() and m == spelling[k]]
+            if odd and rng.random() < 0.2:
+                spelling[k] = rng.choice(odd)
+        spelling = "".join(spelling)
+        read, meant = rng.choice(ocr_repair.AMONG)
+        at = word.find(meant)
+        if at >= 0 and spelling[at : at + len(meant)] == meant and rng.random() < 0.7:
+            spelling = spelling[:at] + read + spelling[at + len(meant) :]
+        if spelling != word:
+            assert ocr_repair.explains(spelling, word), (spelling, word)
+            assert set(ocr_repair.keys(spelling)) & set(ocr_repair.word_keys(word)), (spelling, word)
+
+
+def test_errors_in_one_stretch_are_repaired_together(spark):
+    long = "Rechtsschutzversicherungsgesellschaftenhauptversammlungsteilnehmerausweis"
+    plain = f"The treatment of the patient is due within the week, and reimbursement is paid by the {long}. "
+    rows = [(k, None, None, None, plain * 450) for k in range(3)]
+    odd = "The reimburse ment ofthe treat ment is due, reimburse\nment oftbe treat-\nrnent is paid, and the re1m-\nburse\nment. Kept: ."
+    rows += [(10, None, None, None, odd), (11, None, None, None, f"The {long.replace('m', 'rn', 1)} and the {long.replace('g', '9')} pay."), (12, None, None, None, None), (13, None, None, None, " \n ")]
+    df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
+    repair = ocr_repair.repair_pages(df)
+    got = {r.result_id: r.repaired for r in repair.paragraphs().collect()}
+    assert got[10].startswith("The reimbursement of the treatment is due, reimbursement of the treatment is paid"), got[10]
+    assert got[11] == f"The {long} and the {long} pay."
+    assert got[0] == (plain * 450).strip() and got[13] == "" and 12 not in got
 
 
 TOXIC = [
@@ -172,14 +219,12 @@ def test_votes_do_not_depend_on_how_often_they_are_counted():
     assert a[0] > 0.5 and a[1] > 0.5 and a[2] > 0.5 and a[3] < 0.5
 
 
-@pytest.mark.parametrize("shared", [ocr_repair.MOST_SHARED, 0])
-def test_words_run_together_and_torn_words_are_put_right(spark, shared):
+def test_words_run_together_and_torn_words_are_put_right(spark):
     plain = "The report of the insurance is due, and the clerk may be late with the claim. "
     rows = [(k, None, None, None, plain * 60) for k in range(3)]
     rows += [(10, None, None, None, "Cover ofthe house: the insur ance of\nthe house and the in\nsurance of a boat."), (11, None, None, None, "Insur ance pays; maybe the clerk has a due report."), (12, None, None, None, "Die Sache derClerk.")]
     df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
-    repaired, _ = ocr_repair.repair_pages(df, most_shared=shared)
-    got = {r.result_id: r.repaired for r in repaired.collect()}
+    got = {r.result_id: r.repaired for r in ocr_repair.repair_pages(df).paragraphs().collect()}
     assert got[10] == "Cover of the house: the insurance of the house and the insurance of a boat."
     assert got[11] == "Insurance pays; maybe the clerk has a due report."
     assert got[0] == (plain * 60).strip()
@@ -252,3 +297,11 @@ def test_headers_above_numbers_with_page_counts_and_of_few_pages(spark):
     found = {(r.result_id, r.item) for r in ocr_repair.furniture(df).where("kind = 'header'").collect()}
     wanted = {(k, "Printed on recycled paper") for k in range(1, 6)} | {(20 + k, f"Claims Handbook - Page {k} of 12") for k in range(1, 13)} | {(100 + k, "Chapter of Losses") for k in range(1, 10)} | {(300, "Ward Manual"), (301, "Ward Manual")}
     assert wanted <= found
+
+
+def test_long_lines_can_be_headers_and_numbers_between_long_rules(spark):
+    head = "General Conditions of Cover for Members of the Supplementary Plan and their Families, Edition for the Regional Offices, Part Two"
+    rows = [(k, 1, k, 1, f"{head}\nThe clerk pays on day {k}.\n{'-' * 40} {k} {'-' * 40}\n{'=' * 70}\nThe end of page {'i' * k}.") for k in range(1, 7)]
+    df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
+    got = {(r.result_id, r.kind) for r in ocr_repair.furniture(df).collect()}
+    assert {(k, kind) for k in range(1, 7) for kind in ("header", "page_number", "marks")} <= got
