@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,8 +48,7 @@ FILTER_BITS = 1 << 25
 #: Words longer than this are compared by their halves, as all their variants would take room by the square of it.
 BY_HALVES = 64
 
-LINE_END = "\r\n|\n|\r|\x0c|\x0b| | "
-LINES = re.compile(LINE_END)
+LINES = re.compile("\r\n|\n|\r|\x0c|\x0b|\u2028|\u2029")
 HYPHENS = "-‐¬­‑"
 ROMAN = r"[A-Za-zÀ-ɏ0-9|!$+€]"
 BROKEN = re.compile(rf"(?<![^\W_])([A-Za-zÀ-ɏ]{ROMAN}*(?:['’-]{ROMAN}+)*|{ROMAN}+)[{HYPHENS}]$")
@@ -65,75 +63,105 @@ ALSO_TWO = frozenset(
     "daran damit dabei davon dafür danach dazu darin daraus darauf darüber darum darunter hierzu hierbei wobei womit woran sodass sofern soweit sowie solange zudem zumal zurzeit zuerst zunächst anstatt aufgrund infolge inwieweit indem nachdem seitdem trotzdem vorher "
     "bientôt aussitôt plutôt surtout partout toujours quelquefois puisque lorsque parfois enfin ensuite afin davantage dedans dehors malgré pourquoi".split()
 )
-CHUNK = re.compile(r"[^\s]+")
 TOKEN = re.compile(r"(?:[^\W_]|[+$€](?=[^\W\d_]))(?:[^\s,;:()\[\]\"“”„»«<>=/—–…。，：；！？、（）?]*[^\W_]|)(?:(?<=[^\W\d_])[+](?![^\W_]))?")
 WORD_LIKE = re.compile(r"^[A-Za-zÀ-ÿ0-9|!$+€]+(?:['’-][A-Za-zÀ-ÿ0-9|!$+€]+)*$")
 LETTERS = re.compile(r"^[^\W\d_]+(?:['’-][^\W\d_]+)*$")
 #: Spellings with a digit that are no misread words: numbers with units, codes, forms.
 CODE = re.compile(r"^(?:[0-9]+[a-z]{0,2}|[a-z][0-9]+|[a-z]{1,4}-?[0-9][0-9-]+|[0-9][0-9.,/:-]*|v[0-9][0-9.]*|[0-9-]+[a-z]?)$")
 SECTION = r"^(?:[0-9]{1,3}(?:[.][0-9]{1,3})*[.)] |#|Part \w+[.:]|Teil \w+[.:]|Partie \w+|第[一二三四五六七八九十百0-9]+[部章节]|[(（]?[0-9]+[)）、]|[-*•] )"
-NUMBER_LINE = (
-    r"^(?i)[-–—~·•\[\](){}|.:=*_<>#\s]*(?:(?:page|pages|pag[.]?|pg[.]?|p[.]?|seite|s[.]|blatt|folio|página|no[.]?|nr[.]?|第)\s*)?"
+NUMBER_LINE = re.compile(
+    r"[-–—~·•\[\](){}|.:=*_<>#\s]*(?:(?:page|pages|pag[.]?|pg[.]?|p[.]?|seite|s[.]|blatt|folio|página|no[.]?|nr[.]?|第)\s*)?"
     r"(?:[0-9][0-9OoIl]{0,4}|[OoIl][0-9][0-9OoIl]{0,3}|m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3}))"
-    r"\s*(?:页|頁)?\s*[,，]?\s*(?:(?:/|of|von|sur|de|out of|共|of the|\|)\s*[0-9][0-9OoIl]{0,4}\s*(?:页|頁)?)?[-–—~·•\[\](){}|.:=*_<>#\s]*$"
+    r"\s*(?:页|頁)?\s*[,，]?\s*(?:(?:/|of|von|sur|de|out of|共|of the|\|)\s*[0-9][0-9OoIl]{0,4}\s*(?:页|頁)?)?[-–—~·•\[\](){}|.:=*_<>#\s]*$",
+    re.IGNORECASE,
 )
-MARKS_ONLY = r"^[^\p{L}\p{N}]*$"
-#: A line that ends, or begins, in the middle of a sentence.
-UNFINISHED = r"[.。!?！？;；,，、:：]$|^\p{Ll}|\b(?:der|die|das|den|dem|des|ist|auf|nach|für|von|in|im|und|wenn|beginnt|the|of|than|for|and|to|a|an|within|is|are|by|with|after|le|la|les|de|du|pour|dans|est|et)(?: [0-9]+)?$"
+ITEM_NUMBER = re.compile(r"[0-9]+[.)]$")
+#: Marks and words at a line's end, in the middle of a sentence.
+GOING_ON = frozenset(".。!?！？;；,，、:：")
+WORDS_GOING_ON = frozenset("der die das den dem des ist auf nach für von in im und wenn beginnt the of than for and to a an within is are by with after le la les de du pour dans est et".split())
+SECTION_RE = re.compile(SECTION)
+#: First characters of what ``SECTION`` matches; characters that end a paragraph, and what may follow them.
+SECTION_STARTS, ENDS, QUOTES = frozenset("0123456789#PT第(（-*•"), frozenset(".!?。！？:："), frozenset("'\"”’)）")
 ENGLISH = frozenset("the of is for and to if in must within are be by after under any as".split())
 GERMAN = frozenset("der die das und ist für den dem nach nicht wenn kann muss ab wird werden".split())
 
 
 #: A page's number within a line, with the number of all pages perhaps.
-PAGE_OF = r"(?i)(?:\b(?:pages?|seite|blatt|folio|página|pag[.]?|pg[.]?|p[.]|s[.])\s*|第\s*)[0-9]{1,4}(?:\s*[页頁])?(?:\s*(?:/|of|von|sur|de|out of|共)\s*[0-9]{1,4}(?:\s*[页頁])?)?(?![0-9.])|(?<![0-9./])[0-9]{1,4}\s*(?:/| of | von | sur )\s*[0-9]{1,4}$"
+PAGE_OF = re.compile(r"(?:\b(?:pages?|seite|blatt|folio|página|pag[.]?|pg[.]?|p[.]|s[.])\s*|第\s*)[0-9]{1,4}(?:\s*[页頁])?(?:\s*(?:/|of|von|sur|de|out of|共)\s*[0-9]{1,4}(?:\s*[页頁])?)?(?![0-9.])|(?<![0-9./])[0-9]{1,4}\s*(?:/| of | von | sur )\s*[0-9]{1,4}$", re.IGNORECASE)
+DIGIT, NOT_WORD = re.compile("[0-9]"), re.compile(r"\W")
+OUTER_NUMBER = re.compile(r"^[\[(]?[0-9]{1,4}[\])]?(?=[^\w.)]|_)|(?<=[\W_])[\[(]?[0-9]{1,4}[\])]?$")
+YEAR = re.compile(r"(?<=[\W_])(?:19|20)[0-9]{2}$")
+ALIKE = str.maketrans("015968|!i", "olsgbblll")
 
 
-def without_page(line: Column) -> Column:
+def without_page(line: str) -> str:
     """A line with its page's number taken out."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, PAGE_OF, "#")).otherwise(line)
+    return PAGE_OF.sub("#", line) if DIGIT.search(line) else line
 
 
-def header_form(line: Column) -> Column:
+def header_form(line: str) -> str:
     """A line's form for comparison: its page's number and a number at either end dropped, look-alike characters made one, blanks and marks gone."""
-    text = F.lower(F.trim(without_page(line)))
-    text = F.regexp_replace(text, r"^[\[(]?[0-9]{1,4}[\])]?(?=[^\p{L}\p{N}.)])|(?<=[^\p{L}\p{N}])[\[(]?[0-9]{1,4}[\])]?$", "#")
-    # A year belongs to the title; only a number that changes from page to page is dropped, so years come back.
-    year = F.regexp_extract(F.trim(line), r"(?<=[^\p{L}\p{N}])((?:19|20)[0-9]{2})$", 1)
-    text = F.concat(text, year)
-    text = F.translate(text, "015968|!", "olsgbbli")
-    text = F.translate(text, "i", "l")
-    text = F.replace(F.replace(text, F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
-    return F.regexp_replace(F.translate(text, "c", "e"), r"[^\p{L}\p{N}]+", "")
+    line = line.strip()
+    text = without_page(line).strip().lower()
+    if DIGIT.search(line):
+        # A year belongs to the title; only a number that changes from page to page is dropped, so years come back.
+        year = YEAR.search(line)
+        text = OUTER_NUMBER.sub("#", text) + (year.group() if year else "")
+    text = text.translate(ALIKE).replace("rn", "m").replace("vv", "w").replace("c", "e")
+    return text if text.isalnum() else "".join(filter(str.isalnum, text))
+
+
+def is_unfinished(line: str) -> bool:
+    """Whether a line ends, or begins, in the middle of a sentence."""
+    if not line or line[-1] in GOING_ON or line[0].islower():
+        return True
+    words = line.rsplit(" ", 2)
+    last = words[-2] if len(words) > 1 and words[-1].isdigit() else words[-1]
+    return last in WORDS_GOING_ON or NOT_WORD.split(last)[-1] in WORDS_GOING_ON
 
 
 #: Lines from a page's top or bottom within which headers stand; longest number of a page, marks around it aside, that ``NUMBER_LINE`` knows.
 EDGE, SHORT = 4, 32
 #: Lines from a page's top or bottom within which a line that only ever stands there is a header on however few pages.
 OUTER = 2
+#: Marks at the ends of lines that give a page's number.
+RULE = "-–—~·•[](){}|.:=*_<># "
+
 
+def _mere(line: str) -> str | None:
+    """'page_number' or 'marks' for a line that is nothing else."""
+    if len(line) > SHORT and len(line.strip(RULE)) > SHORT:
+        return None
+    if not any(map(str.isalnum, line)):
+        return "marks"
+    return "page_number" if NUMBER_LINE.match(line) and not ITEM_NUMBER.match(line) else None
 
-def is_short(line: Column) -> Column:
-    """Whether a line without the marks at its ends is no longer than a page's number can be."""
-    return F.length(F.trim(line, F.lit("-–—~·•[](){}|.:=*_<># "))) <= SHORT
 
+LINE = "result_id bigint, file_id bigint, page_no int, line_no int, item string, edge boolean, kind string, goes_on boolean, form string"
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """Of rows (result_id, file_id, page_no, pages, text): lines that can be furniture, with the line that follows.
 
-    Those are lines at the top or bottom of the text, all lines of texts of several pages, and short lines anywhere.
+def _emit_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines that are 'page_number' or 'marks', and those that can be headers (kind 'line', with their form).
+
+    The latter stand at the top or bottom of a page; in texts of several pages, or of an unknown number, anywhere.
     """
-    blanks = F.lit(" \t\u00a0\u3000")
-    trimmed = F.transform(F.split("text", LINE_END), lambda x: F.trim(x, blanks))
-    lines = F.filter(F.transform(trimmed, lambda x, i: F.struct(i.alias("line_no"), x.alias("item"))), lambda s: s["item"] != "")
-    numbered = pages.select("result_id", "file_id", "page_no", "pages", lines.alias("lines"))
-    n = F.size("lines")
-    placed = F.transform("lines", lambda s, i: F.struct(i.alias("at"), s["line_no"].alias("line_no"), s["item"].alias("item")))
-    kept = F.filter(placed, lambda s: (F.coalesce("pages", F.lit(2)) > 1) | (s["at"] < EDGE) | (s["at"] >= n - EDGE) | is_short(s["item"]))
-    wide = numbered.select("result_id", "file_id", "page_no", "pages", "lines", F.explode(kept).alias("line"))
-    running = F.filter(F.slice("lines", F.col("line.at") + 2, EDGE), lambda s: ~is_short(s["item"]) | ~(s["item"].rlike(NUMBER_LINE) | s["item"].rlike(MARKS_ONLY)))
-    after = F.try_element_at(running, F.lit(1))["item"]
-    edge = (F.col("pages") == 1) & ((F.col("line.at") < OUTER) | (F.col("line.at") >= F.size("lines") - OUTER))
-    return wide.select(F.coalesce(edge, F.lit(False)).alias("edge"), "result_id", "file_id", "page_no", F.col("line.line_no").alias("line_no"), F.col("line.item").alias("item"), F.coalesce(after, F.lit("")).alias("after"))
+    for frame in frames:
+        rows = []
+        for result, file, page, pages, text in zip(frame["result_id"], frame["file_id"], frame["page_no"], frame["pages"], frame["text"], strict=True):
+            lines = [(k, x) for k, x in enumerate(y.strip(" \t\u00a0\u3000") for y in LINES.split(text)) if x]
+            mere = [_mere(x) for _, x in lines]
+            one, anywhere, n = pages == 1, not pages <= 1, len(lines)
+            for at, (k, x) in enumerate(lines):
+                if mere[at]:
+                    rows.append((result, file, page, k, x, None, mere[at], None, None))
+                elif file == file and (anywhere or at < EDGE or at >= n - EDGE) and not is_unfinished(without_page(x)) and not (x[0] in SECTION_STARTS and SECTION_RE.match(x)):
+                    after = next((y for (_, y), m in zip(lines[at + 1 : at + 1 + EDGE], mere[at + 1 : at + 1 + EDGE], strict=True) if not m), "")
+                    rows.append((result, file, page, k, x, one and (at < OUTER or at >= n - OUTER), "line", GOES_ON.match(after) is not None and after.lstrip("0123456789 ")[:1].islower(), header_form(x)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")]).astype({"file_id": "Int64", "page_no": "Int32", "edge": "boolean", "goes_on": "boolean"})
+
+
+#: A line's beginning where a sentence may go on: at once, or after a number.
+GOES_ON = re.compile(r"(?:[0-9]+ )?[^\W\d_]")
 
 
 def furniture(pages: DataFrame) -> DataFrame:
@@ -143,15 +171,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     or bottom; lines that end as sentences do, titles and section lines are none. Runs stored twice count as one page. Rows without a file have no
     headers.
     """
-    item = F.col("item")
-    number = F.when(is_short(item), item.rlike(NUMBER_LINE) & item.rlike(r"[\p{L}\p{N}]") & ~item.rlike(r"^[0-9]+[.)]$")).otherwise(False)
-    marks = F.when(is_short(item), item.rlike(MARKS_ONLY)).otherwise(False)
-    candidate = (
-        F.col("file_id").isNotNull() & ~without_page(item).rlike(UNFINISHED) & ~item.rlike(SECTION)
-    )
-    sort = F.when(number, "page_number").when(marks, "marks").when(candidate, "line")
-    lines = cut_lineage(page_lines(pages).select("result_id", "file_id", "page_no", "line_no", "item", "edge", sort.alias("kind"), F.col("after").rlike(r"^(?:[0-9]+ )?\p{Ll}").alias("goes_on")).where("kind is not null"))
-    forms = lines.where("kind = 'line'").withColumn("form", header_form(F.col("item"))).where("length(form) >= 3")
+    lines = cut_lineage(pages.select("result_id", "file_id", "page_no", "pages", "text").mapInPandas(_emit_lines, LINE))
+    forms = lines.where("kind = 'line' and length(form) >= 3")
     per_run = forms.groupBy("file_id", "form", "page_no", "result_id").agg(F.count(F.lit(1)).alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge"))
     per_page = per_run.groupBy("file_id", "form", "page_no").agg(F.max("n").alias("n"), F.min("goes_on").alias("goes_on"), F.min("edge").alias("edge"))
     # A line of the running text goes on in small letters wherever it stands.
@@ -407,27 +428,44 @@ def passes(bits: bytes, surface: str) -> bool:
 WINDOW = "result_id bigint, at int, window string, form string, english boolean, surfaces array<string>"
 
 
-def _places(lines: list[tuple[int, str]], running: str, low: str, known: dict[str, bool], bits: bytes) -> tuple[list[tuple[int, int, str]], list[int]]:
-    """Stretches (start, end, surface) of the stream that may have edges, and where a line's end may divide a word without a mark."""
-    def may(surface: str) -> bool:
-        hit = known.get(surface)
-        if hit is None:
-            hit = known[surface] = passes(bits, surface)
-        return hit
+class Seen:
+    """Which surfaces may have edges, by the bitmap; answers are remembered."""
+
+    def __init__(self, bits: bytes) -> None:
+        self.bits, self.asked, self.alone, self.left = bits, set(), set(), set()
+
+    def look(self, tokens: set[str]) -> tuple[set[str], set[str]]:
+        """Those of ``tokens`` that may have edges, and those that may begin one over the next word."""
+        for t in tokens - self.asked:
+            if passes(self.bits, t):
+                self.alone.add(t)
+            if passes(self.bits, f"{t} "):
+                self.left.add(t)
+        if len(self.asked) > 500_000:
+            self.asked.clear()
+        self.asked |= tokens
+        return tokens & self.alone, tokens & self.left
 
+
+def _places(lines: list[tuple[int, str]], running: str, low: str, seen: Seen) -> tuple[list[tuple[int, int, str]], list[int]]:
+    """Stretches (start, end, surface) of the stream that may have edges, and where a line's end may divide a word without a mark."""
     out: list[tuple[int, int, str]] = []
-    tokens = {t.rstrip(".") for t in TOKEN.findall(low)}
-    if any(map(may, tokens)):
-        for m in TOKEN.finditer(low):
-            token = m.group().rstrip(".")
-            if may(token):
-                out.append((m.start(), m.start() + len(token), token))
+    alone, left = seen.look({t.rstrip(".") for t in TOKEN.findall(low)})
+    at = 0
+    if alone:
+        for line in low.split("\n"):
+            if any(t in line for t in alone):
+                for m in TOKEN.finditer(line):
+                    token = m.group().rstrip(".")
+                    if token in alone:
+                        out.append((at + m.start(), at + m.start() + len(token), token))
+            at += len(line) + 1
     joints: list[int] = []
-    if any(may(f"{t} ") for t in tokens):
+    if left:
         breaks: list[bool] | None = None
         for m in PAIR.finditer(running):
             surface = f"{m.group(1)} {m.group(3)}".lower()
-            if m.group(3)[:1].islower() and may(f"{m.group(1).lower()} ") and may(surface):
+            if m.group(3)[:1].islower() and m.group(1).lower() in left and passes(seen.bits, surface):
                 if m.group(2) == "\n":
                     breaks = breaks or paragraph_breaks(lines, max(len(x) for _, x in lines))
                     if breaks[running.count("\n", 0, m.end(2))]:
@@ -440,8 +478,8 @@ def _places(lines: list[tuple[int, str]], running: str, low: str, known: dict[st
         if line[-1:] in HYPHENS:
             tail, head = BROKEN.search(line), HEAD.match(after)
             if tail and head and _divided(tail.group(1), head.group(1)):
-                left, right = at + tail.start(1), end + 1 + head.end(1)
-                out.append((left, right, f"{low[left : at + tail.end(1)]}-\n{low[end + 1 : right]}"))
+                first, last = at + tail.start(1), end + 1 + head.end(1)
+                out.append((first, last, f"{low[first : at + tail.end(1)]}-\n{low[end + 1 : last]}"))
         at = end + 1
     return out, joints
 
@@ -451,45 +489,55 @@ def _windows(running: str, low: str, places: list[tuple[int, int, str]], joints:
 
     In the form, letters are small, a mark of division is '-' and a line's end that may divide a word is a blank.
     """
-    form = list(low)
-    for at in joints:
-        form[at] = " "
-    for a, b, surface in places:
-        if "\n" in surface:
-            form[a:b] = surface
-    marked = "".join(form)
-    starts, ends = zip(*((m.start(), m.end()) for m in CHUNK.finditer(running)), strict=True)
     spans: list[list] = []
     for a, b, surface in sorted(places):
-        first, last = max(0, bisect_right(starts, a) - 2), min(len(ends) - 1, bisect_left(ends, b) + 1)
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], last)
-            spans[-1][2].append(surface)
+        start, stop = _beside(running, a, b)
+        if spans and start <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], stop)
+            spans[-1][2].append((a, b, surface))
         else:
-            spans.append([first, last, [surface]])
-    for first, last, surfaces in spans:
-        a, b = starts[first], ends[last]
-        yield a, running[a:b], marked[a:b], sorted(set(surfaces))
+            spans.append([start, stop, [(a, b, surface)]])
+    for start, stop, own in spans:
+        form = list(low[start:stop])
+        for at in joints:
+            if start <= at < stop:
+                form[at - start] = " "
+        for a, b, surface in own:
+            if "\n" in surface:
+                form[a - start : b - start] = surface
+        yield start, running[start:stop], "".join(form), sorted({x for _, _, x in own})
+
+
+#: How far a window reaches beside a stretch; it may begin or end within a longer neighbour.
+BESIDE = 200
+
+
+def _beside(running: str, a: int, b: int) -> tuple[int, int]:
+    """A stretch with what touches it and the words before and after."""
+    low, high = max(0, a - BESIDE), min(len(running), b + BESIDE)
+    for more in (0, 1):
+        if a > low:
+            a = max(running.rfind(" ", low, a - more), running.rfind("\n", low, a - more), low - 1) + 1
+        if b < high:
+            b = min((x for x in (running.find(" ", b + more, high), running.find("\n", b + more, high)) if x >= 0), default=high)
+    return a, b
 
 
 def _emit_windows(shared):
     """Windows of each text, and of its headers (at -1)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = shared.value
-        known: dict[str, bool] = {}
+        seen = Seen(shared.value)
         for frame in frames:
             rows = []
             for result, text, drop, heads in zip(frame["result_id"], frame["text"], frame["drop"], frame["heads"], strict=True):
                 tongue: list[bool] = []
                 for n, lines in enumerate(([(k, x.strip()) for k, x in _stream(text, set(drop))], *([(0, h)] for h in heads))):
                     running = "\n".join([x for _, x in lines])
-                    places, joints = _places(lines, running, lowered(running), known, bits)
+                    places, joints = _places(lines, running, lowered(running), seen)
                     if places:
                         tongue = tongue or [_language(text) == "en"]
                         rows += [(result, -1 if n else a, w, f, tongue[0], s) for a, w, f, s in _windows(running, lowered(running), places, joints)]
-            if len(known) > 300_000:
-                known.clear()
             yield pd.DataFrame(rows, columns=["result_id", "at", "window", "form", "english", "surfaces"])
 
     return run
@@ -596,9 +644,6 @@ def _decode_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 RAISED = 40.0
 
 
-SECTION_RE = re.compile(SECTION)
-#: First characters of what ``SECTION`` matches; characters that end a paragraph, and what may follow them.
-SECTION_STARTS, ENDS, QUOTES = frozenset("0123456789#PT第(（-*•"), frozenset(".!?。！？:："), frozenset("'\"”’)）")
 HAN = re.compile(r"[㐀-鿿]")
 HAN_BLANKS = re.compile(r"(?<=[㐀-鿿，。：；、（）])[ \t]+(?=[㐀-鿿，。：；、（）0-9A-Za-z])|(?<=[0-9A-Za-z])[ \t]+(?=[㐀-鿿，。：；、（）])")
 HAN_SIGN = re.compile(r"[㐀-鿿，。：；、（）]")
@@ -710,8 +755,26 @@ def repair_pages(pages: DataFrame, words: DataFrame | None = None) -> Repair:
     return Repair(texts, marks, met.mapInPandas(_decode_frames, f"result_id bigint, fixes {FIXES}"))
 
 
+CLEAN_WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+(?:['’-][A-Za-z\u00c0-\u024f]+)*")
+
+
+def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words: Counter[str] = Counter()
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame([(w.lower(), n, n if w[:1].islower() else 0) for w, n in words.items()], columns=["word", "n", "small"])
+        words.clear()
+        return out
+
+    for frame in frames:
+        for text in frame["text"]:
+            words.update(CLEAN_WORD.findall(text))
+        if len(words) > 200_000:
+            yield flush()
+    yield flush()
+
+
 def clean_words(texts: Column, df: DataFrame) -> DataFrame:
     """Rows (word, n, small) of ordinary texts, for ``repair_pages``; ``small`` counts the word with a small first letter."""
-    tokens = F.regexp_extract_all(texts, F.lit(r"[A-Za-z\u00c0-\u024f]+(?:['’-][A-Za-z\u00c0-\u024f]+)*"), F.lit(0))
-    spelled = df.select(F.explode(tokens).alias("as_is"))
-    return spelled.groupBy(F.lower("as_is").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("as_is").rlike(r"^\p{Ll}").cast("bigint")).alias("small"))
+    counted = df.select(texts.cast("string").alias("text")).where("text is not null").mapInPandas(_count_words, "word string, n bigint, small bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("small").alias("small"))
