@@ -1,14 +1,16 @@
 """Defects of question and answer pairs.
 
-Three views are put together. Each pair is judged by rules on its own text: empty, copied, refused, in another
-language, or broken off. Answers' segments (sentences, list items, lines) are sorted by text over the whole table and
-each is compared with its neighbour: one that is the beginning of its neighbour, and nowhere ends, is a shortened
-version. Whole answers are sorted likewise: one that another answer continues in the same list, table, quotation or
-paragraph is a shortened version, however it ends. A histogram of lengths shows limits at which unfinished answers pile
-up.
-
-The sorts are by range over distinct texts, so no prefix, however frequent, gathers in one task; where two
-partitions meet, the first text of the next one (one per partition) is handed over.
+1. Responses are sorted by text over the whole table, whole ones and their segments (sentences, list items, lines), and
+   each is compared with its neighbour's beginning: a last segment that is the common prefix of itself and its
+   neighbour, and stands complete nowhere, is a shortened version; so is a whole answer that another one continues in
+   the same list, table, quotation or paragraph, however it ends.
+2. A histogram of lengths shows limits at which answers without an end pile up.
+3. What neighbours can't tell, as nobody else says it, the answer's own marks do: open brackets, blocks and sentences.
+4. Rules for empty and copied answers, refusals and other languages.
+
+All three views of a shortened answer are taken of every answer. The sorts are by range over distinct texts, so no
+prefix, however frequent, gathers in one task; where two partitions meet, the first text of the next one (one per
+partition) is handed over.
 """
 
 from __future__ import annotations
@@ -58,8 +60,9 @@ SOURCE = re.compile(r"^\s*(?:\[(?:source|quelle|sources?|来源|出处)\b.*\]|(?
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、]|[>#]+)\s*")
 ITEM = re.compile(r"^(\s*)(?:([-*+•])|(\d{1,3})([.)、]))\s*\S")
 CJK_END = re.compile(r"(?<=[。！？])(?=\S)")
-CJK = re.compile(r"[㐀-鿿]")
-LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒ]")
+CJK = re.compile(r"[㐀-鿿]+")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿœŒ]+")
+NOT_ALNUM = re.compile(r"[\W_]+")
 LATIN = re.compile(r"[a-zà-öø-ÿœ']+")
 ASKS = {
     "en": re.compile(r"(?:answer|reply|respond|write|please)[^.!?。！？]{0,25}\bin english\b|\bin english,? please\b|用英[语文]|英[语文]回答|auf englisch|en anglais", re.IGNORECASE),
@@ -77,19 +80,19 @@ COMMON = {
 
 def squeezed(text: str) -> str:
     """Letters and digits alone, in lower case."""
-    return "".join(c for c in text.casefold() if c.isalnum())
+    return NOT_ALNUM.sub("", text.casefold())
 
 
 def language(text: str) -> str | None:
     """en, de, fr or zh; None where nothing tells."""
-    han = len(CJK.findall(text))
-    latin = len(LETTER.findall(text))
+    han = 0 if text.isascii() else sum(map(len, CJK.findall(text)))
+    latin = sum(map(len, LETTERS.findall(text)))
     if han and 2 * han >= latin / 2:
         return "zh"
     tokens = LATIN.findall(text.lower().replace("’", "'").replace("'", " "))
     if not tokens:
         return None
-    score = {k: float(sum(t in v for t in tokens)) for k, v in COMMON.items()}
+    score = {k: float(sum(map(v.__contains__, tokens))) for k, v in COMMON.items()}
     score["de"] += 0.7 * sum(("ß" in t) or ("ä" in t) or ("ü" in t) or ("ö" in t) or t.endswith(("ung", "keit", "heit")) for t in tokens)
     score["fr"] += 0.7 * sum(("é" in t) or ("è" in t) or ("ê" in t) or ("ç" in t) for t in tokens)
     score["en"] += 0.4
@@ -199,39 +202,66 @@ def continuations(whole: str) -> list[str]:
     return [" "] if ENDED.search(last) and len([x for x in SENTENCE.split(last) if x.strip()]) >= 2 else []
 
 
-def judge(query: str | None, answer: str | None) -> tuple[str | None, str, str | None]:
-    """Defect by the pair's own text, how the answer ends, and the last segment where neighbours have to tell."""
+def judge(query: str | None, answer: str | None) -> tuple[str | None, bool, bool]:
+    """By the pair's own text: 'empty', 'copy' or 'refusal'; whether the answer breaks off by its marks; whether it is in another language."""
     if is_empty(answer):
-        return "empty", "done", None
+        return "empty", False, False
     if is_copy(query, answer):
-        return "copy", "done", None
+        return "copy", False, False
     if is_refusal(answer):
-        return "refusal", "done", None
-    end, tail = tail_of(answer)
-    if end == "cut":
-        return "truncated", end, None
-    if query:
+        return "refusal", False, False
+    cut, other = tail_of(answer)[0] == "cut", False
+    if query and not cut:
         asked = [k for k, v in ASKS.items() if v.search(query)]
         for k in asked:
             query = ASKS[k].sub(" ", query)
         said, wants = language(_body(answer)), language(query)
-        if said and wants and said != wants and said not in asked:
-            return "language", end, None
-    return None, end, tail if end == "item" else None
+        other = bool(said and wants and said != wants and said not in asked)
+    return None, cut, other
 
 
-def _judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        found = [judge(q, a) for q, a in zip(frame["query"], frame["answer"], strict=True)]
-        whole = [whole_form(a) if a and f[0] is None else None for f, a in zip(found, frame["answer"], strict=True)]
-        after = [continuations(w) if w else [] for w in whole]
-        yield pd.DataFrame({"whole": [w if x else None for w, x in zip(whole, after, strict=True)], "after": after, "id": frame["id"], "defect": [f[0] for f in found], "ending": [f[1] for f in found], "tail": [f[2] for f in found], "length": [len(a) if a else 0 for a in frame["answer"]]})
+ELLIPSIS = re.compile(r"(?:[.]{2,}|…)\s*$")
+FORM_END, DIGITS = re.compile(r"[.!?。！？…\s]+$"), re.compile(r"[0-9]+")
 
 
-def _segment(c: Column) -> Column:
+def segment_form(text: str) -> str:
     """A segment in the form in which segments are compared: marks at its ends gone, runs of digits as 0."""
-    bare = F.regexp_replace(c, r"^\s*(?:[-*+•]|[0-9]{1,3}[.)、]|[>#]+)\s+", "")
-    return F.regexp_replace(F.trim(F.regexp_replace(bare, r"[.!?。！？\s]+$", "")), r"[0-9]+", "0")
+    return DIGITS.sub("0", FORM_END.sub("", MARK.sub("", text, 1)).strip())
+
+
+def segments(answer: str) -> tuple[list[tuple[str, bool]], str | None]:
+    """Segments of an answer in their form, each with whether it is complete here, and the last one where it isn't.
+
+    Segments are complete if another one follows, or by their end mark. Source notes at the end are left out; a closed block
+    is complete.
+    """
+    lines = answer.rstrip().split("\n")
+    while lines and (not lines[-1].strip() or SOURCE.match(lines[-1])):
+        lines.pop()
+    parts = [x for x in SENTENCE.split("\n".join(lines)) if x and not x.isspace()]
+    forms = [segment_form(x) for x in parts]
+    if not parts:
+        return [], None
+    closed = parts[-1].lstrip().startswith("```") and sum(x.lstrip().startswith("```") for x in lines) % 2 == 0
+    ended = closed or bool(ENDED.search(parts[-1])) and not ELLIPSIS.search(parts[-1])
+    out = [(f, True) for f in forms[: len(forms) if ended else -1] if f]
+    return out, None if ended or not forms[-1] else forms[-1]
+
+
+def _views(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each pair as judged by itself, with its last segment where that isn't complete; and a batch's complete segments, each once."""
+    columns = ["id", "defect", "cut", "other", "length", "whole", "after", "segment"]
+    for frame in frames:
+        rows, complete = [], set()
+        for id_, query, answer in zip(frame["id"], frame["query"], frame["answer"], strict=True):
+            defect, cut, other = judge(query, answer)
+            parts, tail = segments(answer) if answer else ([], None)
+            complete.update(x for x, _ in parts)
+            whole = whole_form(answer) if answer and defect is None else ""
+            after = continuations(whole)
+            rows.append((id_, defect, cut, other, len(answer or ""), whole if after else None, after, tail))
+        rows += [(None, "segment", False, False, 0, None, [], x) for x in complete]
+        yield pd.DataFrame(rows, columns=columns).astype({"id": "Int64"})
 
 
 def _neighbours(first: dict[int, str]):
@@ -259,13 +289,9 @@ def _neighbours(first: dict[int, str]):
     return run
 
 
-def shortened_tails(answers: Column, judged_tails: DataFrame, df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Of the tails (column ``segment``), those that are beginnings of other segments of ``answers`` and nowhere end."""
-    parts = F.split(answers, r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-    lines = F.filter(parts, lambda s: F.trim(s) != "")
-    cells = df.select(F.posexplode(lines).alias("at", "text"), F.size(lines).alias("of"))
-    segments = cells.select(_segment(F.col("text")).alias("segment"), (F.col("text").rlike(r"[.!?。！？]\s*$") | (F.col("at") + 1 < F.col("of"))).alias("ends"), F.lit(False).alias("is_tail"))
-    every = segments.unionByName(judged_tails.select("segment", F.lit(False).alias("ends"), F.lit(True).alias("is_tail"))).where("segment <> ''")
+def shortened_tails(tails: DataFrame, complete: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Of the ``tails`` (column ``segment``), those that are beginnings of other segments, ``complete`` or not, and nowhere complete."""
+    every = complete.select("segment", F.lit(True).alias("ends"), F.lit(False).alias("is_tail")).unionByName(tails.select("segment", F.lit(False).alias("ends"), F.lit(True).alias("is_tail")))
     distinct = every.groupBy("segment").agg(F.max("ends").alias("ends"), F.max("is_tail").alias("is_tail"))
     return _beside(distinct, partitions).where("begins and not ends").select("segment")
 
@@ -292,27 +318,54 @@ def shortened_answers(answers: DataFrame, judged: DataFrame, partitions: int | N
     return asked.join(_beside(distinct, partitions).where("begins or ends").select("segment"), "segment", "left_semi").select("id").distinct()
 
 
-def length_limits(judged: DataFrame, reach: int = 10, least: int = 20, times: float = 8.0) -> DataFrame:
-    """Lengths at which unfinished answers pile up: ``least`` or more, and ``times`` the mean of ``reach`` lengths on either side."""
-    counts = judged.where("ending <> 'done' and length > 40").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+def length_limits(unended: DataFrame, reach: int = 10, least: int = 20, times: float = 8.0) -> DataFrame:
+    """Lengths at which answers without an end pile up: ``least`` or more, and ``times`` the mean of ``reach`` lengths on either side.
+
+    Fewer answers of one length are no evidence of a limit.
+    """
+    counts = unended.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     around = counts.select(F.explode(F.sequence(F.col("length") - reach, F.col("length") + reach)).alias("length"), "n", F.col("length").alias("own"))
     mean = around.groupBy("length").agg(F.sum(F.when(F.col("own") != F.col("length"), F.col("n")).otherwise(0)).alias("other"), F.sum(F.when(F.col("own") == F.col("length"), F.col("n")).otherwise(0)).alias("n"))
     return mean.where((F.col("n") >= least) & (F.col("n") > times * F.col("other") / (2 * reach))).select("length")
 
 
+VIEW = "id bigint, defect string, cut boolean, other boolean, length int, whole string, after array<string>, segment string"
+
+
+def view_pairs(df: DataFrame, row_id: Column, query: Column, answer: Column) -> DataFrame:
+    """Rows (id, defect, neighbour, limit, continued, cut, other): each pair from every view.
+
+    ``defect`` is 'empty', 'copy' or 'refusal'. An answer is a shortened one by its ``neighbour`` among the segments, by
+    a ``limit`` of length, as another answer ``continued`` it, or as its own marks show that it is ``cut``. ``other``: in
+    another language.
+    """
+    pairs = df.select(row_id.cast("bigint").alias("id"), query.cast("string").alias("query"), answer.cast("string").alias("answer"))
+    views = cut_lineage(pairs.mapInPandas(_views, VIEW))
+    rows, complete = views.where("defect is null or defect <> 'segment'"), views.where("defect = 'segment'")
+    unended = rows.where("segment is not null")
+    near = shortened_tails(unended, complete).withColumn("neighbour", F.lit(True))
+    limits = length_limits(unended).withColumn("limit", F.lit(True))
+    longer = shortened_answers(pairs.where("answer is not null").select("answer"), rows.where("whole is not null")).withColumn("continued", F.lit(True))
+    told = unended.join(near, "segment", "left").join(limits, "length", "left").select("id", "neighbour", "limit", F.lit(None).cast("boolean").alias("continued")).where("neighbour or limit")
+    told = told.unionByName(longer.select("id", F.lit(None).cast("boolean").alias("neighbour"), F.lit(None).cast("boolean").alias("limit"), "continued"))
+    own = rows.select("id", "defect", "cut", "other", *[F.lit(False).alias(c) for c in TOLD])
+    others = told.select("id", F.lit(None).cast("string").alias("defect"), F.lit(False).alias("cut"), F.lit(False).alias("other"), *[F.coalesce(c, F.lit(False)).alias(c) for c in TOLD])
+    return own.where("defect is not null or cut or other").unionByName(others).groupBy("id").agg(F.max("defect").alias("defect"), *[F.max(c).alias(c) for c in (*TOLD, "cut", "other")])
+
+
+#: Views of an answer that only other answers give.
+TOLD = ("neighbour", "limit", "continued")
+
+
 def find_defects(df: DataFrame, row_id: Column, query: Column, answer: Column) -> DataFrame:
     """Rows (id, defect): every pair whose answer is unfit, at most one defect each.
 
     Defects, the first that holds: 'empty' (null, blanks, marks or a stand-in for nothing), 'copy' (the question and
     nothing more), 'refusal', 'truncated' (unfinished sentence, list, table or block), 'language' (another one than the
     question's, unless the query asks for it). Null and empty queries are compared with nothing. Repeated rows are
-    judged alike, each under its own id; an empty table gives an empty result. Whole answers are judged, however long.
+    judged alike, each under its own id (an id once); an empty table gives an empty result. Whole answers are judged,
+    however long.
     """
-    pairs = df.select(row_id.cast("bigint").alias("id"), query.cast("string").alias("query"), answer.cast("string").alias("answer"))
-    judged = cut_lineage(pairs.mapInPandas(_judged, "whole string, after array<string>, id bigint, defect string, ending string, tail string, length int"))
-    own = judged.where("defect is not null").select("id", "defect")
-    open_ = judged.where("defect is null and tail is not null").select("id", "length", _segment(F.col("tail")).alias("segment"))
-    shortened = shortened_tails(F.col("answer"), open_, pairs.where("answer is not null"))
-    cut = open_.join(shortened, "segment", "left_semi").select("id")
-    limit = open_.join(length_limits(judged), "length", "left_semi").select("id")
-    return own.unionByName(cut.unionByName(limit).unionByName(shortened_answers(pairs.where("answer is not null").select("answer"), judged.where("whole is not null"))).distinct().select("id", F.lit("truncated").alias("defect")))
+    shortened = F.col("neighbour") | F.col("limit") | F.col("continued") | F.col("cut")
+    defect = F.coalesce("defect", F.when(shortened, "truncated"), F.when(F.col("other"), "language"))
+    return view_pairs(df, row_id, query, answer).select("id", defect.alias("defect")).where("defect is not null")

@@ -77,16 +77,36 @@ def test_defects(spark):
 def test_shortened_list_items_are_found_beside_their_whole_forms(spark, partitions):
     whole = [f"The {w} must record the blood pressure within {k} days of the accident." for k, w in enumerate(["clerk", "nurse", "broker", "adjuster"] * 5)]
     tails = ["The nurse must record the blood pre", "The broker must record the blood pressure within 7 days of the accident", "Nobody says this"]
-    df = spark.createDataFrame([(t,) for t in whole], "answer string")
-    asked = spark.createDataFrame([(t,) for t in tails], "t string").select(pairs._segment(F.col("t")).alias("segment"))
-    got = {r.segment for r in pairs.shortened_tails(F.col("answer"), asked, df, partitions).collect()}
+    complete = spark.createDataFrame([(pairs.segment_form(t),) for t in whole], "segment string")
+    asked = spark.createDataFrame([(pairs.segment_form(t),) for t in tails], "segment string")
+    got = {r.segment for r in pairs.shortened_tails(asked, complete, partitions).collect()}
     assert got == {"The nurse must record the blood pre"}
 
 
 def test_limits_of_length(spark):
-    rows = [(k, None, "cut", None, 200) for k in range(50)] + [(k, None, "cut", None, 100 + k) for k in range(60)]
-    df = spark.createDataFrame(rows, "id bigint, defect string, ending string, tail string, length int")
-    assert [r.length for r in pairs.length_limits(df).collect()] == [200]
+    rows = [(k, 30) for k in range(50)] + [(k, 100 + k) for k in range(60)] + [(k, 7) for k in range(19)]
+    df = spark.createDataFrame(rows, "id bigint, length int")
+    assert [r.length for r in pairs.length_limits(df).collect()] == [30]
+
+
+def test_most_shortened_answers_are_told_by_their_neighbours(spark):
+    """Of the answers at scale 0.1 that are found shortened, neighbours and limits alone tell more than half."""
+    logs = spark.read.parquet("/root/testdata/sf0.1/search_logs.parquet")
+    told = F.col("neighbour") | F.col("limit") | F.col("continued")
+    views = pairs.view_pairs(logs, F.col("id"), F.col("query"), F.col("answer")).where(F.col("defect").isNull() & (told | F.col("cut")))
+    n, by_others, only = views.agg(F.count(F.lit(1)), F.sum(told.cast("int")), F.sum((told & ~F.col("cut")).cast("int"))).first()
+    print(f"{n} shortened answers, {by_others} told by others, {only} by others alone")
+    assert by_others > n / 2
+
+
+def test_a_shortened_answer_without_open_marks_is_told_by_its_neighbour(spark):
+    item = "The clerk must attach the discharge summary within {} days of the accident"
+    rows = [(k, "Which papers?", f"See:\n\n- {item.format(k)}\n- the claim form for the ward\n\nThe rest follows.") for k in range(5)]
+    rows += [(10, "Which papers?", "See:\n\n- the claim form for the ward\n- The clerk must attach the discharge"), (11, "Which papers?", "See:\n\n- the claim form for the ward"), (12, None, None), (13, "", " ")]
+    df = spark.createDataFrame(rows, "id bigint, query string, answer string")
+    got = {r.id: r for r in pairs.view_pairs(df, F.col("id"), F.col("query"), F.col("answer")).collect()}
+    assert got[10].neighbour and not got[10].cut and 11 not in got and not got[12].neighbour
+    assert {r.id: r.defect for r in pairs.find_defects(df, F.col("id"), F.col("query"), F.col("answer")).collect()} == {10: "truncated", 12: "empty", 13: "empty"}
 
 
 def _pages():
