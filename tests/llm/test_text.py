@@ -102,7 +102,7 @@ def test_most_shortened_answers_are_told_by_their_neighbours(spark):
 def test_a_shortened_answer_without_open_marks_is_told_by_its_neighbour(spark):
     item = "The clerk must attach the discharge summary within {} days of the accident"
     rows = [(k, "Which papers?", f"See:\n\n- {item.format(k)}\n- the claim form for the ward\n\nThe rest follows.") for k in range(5)]
-    rows += [(10, "Which papers?", "See:\n\n- the claim form for the ward\n- The clerk must attach the discharge"), (11, "Which papers?", "See:\n\n- the claim form for the ward"), (12, None, None), (13, "", " ")]
+    rows += [(10, "Which papers?", "See:\n\n- a copy of the form\n- The clerk must attach the discharge"), (11, "Which papers?", "See:\n\n- the claim form for the ward"), (12, None, None), (13, "", " ")]
     df = spark.createDataFrame(rows, "id bigint, query string, answer string")
     got = {r.id: r for r in pairs.view_pairs(df, F.col("id"), F.col("query"), F.col("answer")).collect()}
     assert got[10].neighbour and not got[10].cut and 11 not in got and not got[12].neighbour
