@@ -1,13 +1,19 @@
 """Abusive, hateful and sexually explicit language, by weak supervision.
 
-Many voters look at each sentence: lexicons (as written, and through disguises such as digits for letters, stars,
-single letters kept apart), patterns of threats, of abuse and of degraded groups, and voters for what only looks like
-it (clinical terms, rules that quote such words, technical use). Each voter either fires or abstains, so with V voters
-there are at most 2^V patterns of votes; Spark counts them over all sentences. A generative model is fitted to the
-patterns that accuse, by expectation maximisation: each voter's rate among clean and toxic sentences, and from what
-remains the correlation of each pair, by which votes that say the same are weighed down. Its posteriors label a bounded
-sample of sentences for a linear classifier on hashed words, letter groups and votes; a sentence's score is drawn from
-the classifier and the posterior, and every sentence of every text is scored.
+Many voters look at each sentence: lexicons of several languages (as written, and through disguises such as digits for
+letters, stars, single letters kept apart), patterns of threats, of abuse and of degraded groups, and voters for what
+only looks like it (clinical terms, rules that quote such words, technical use). Each voter either fires or abstains, so
+with V voters there are at most 2^V patterns of votes; Spark counts them over all sentences.
+
+A generative label model is fitted to the counts by expectation maximisation: a sentence that is accused is toxic, or
+clean for one of the reasons that the excusing voters stand for; each of these classes has its share, each voter its
+rate in each class. Nothing but where it begins is set. What voters have in common is taken from them by the
+correlation of each pair within the classes. How many toxic sentences no voter sees follows from the rates, as in
+counts by capture and recapture.
+
+The posteriors label a bounded sample of sentences for a linear classifier on the sentences' own words, without the
+votes, so it learns what voters don't know; a sentence's score is drawn from both, and every sentence of every text is
+scored.
 """
 
 from __future__ import annotations
@@ -16,7 +22,6 @@ import math
 import re
 import unicodedata
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +36,8 @@ from brindle.session import cut_lineage, spread
 
 #: Distinct sentences that the classifier is trained on, at most: those with a vote for toxic, and others; their longest.
 TRAIN_VOTED, TRAIN_OTHER, LONGEST = 20_000, 20_000, 2_000
-#: Size of the hashed feature space (a power of two), rounds and rate of training.
-FEATURES, ROUNDS = 1 << 20, 10
+#: Features of the classifier at most, and rounds of training.
+FEATURES, ROUNDS = 200_000, 10
 #: Share of the classifier in a score; the posterior of the votes has the rest.
 CLASSIFIER_SHARE = 0.6
 #: From this score on a document counts as toxic.
@@ -49,7 +54,7 @@ MILD = frozenset("pig trash loser filth git hoe tramp vermin scum pervert degene
 INSULTS_DE = "arschloch wichser hurensohn vollidiot idiot trottel schlampe fotze drecksau dreckskerl missgeburt fresse hure spast spasti mistkerl scheißkerl schwuchtel untermensch ungeziefer pack abschaum nutte vollpfosten depp".split()
 INSULTS_FR = "connard connasse salope salaud enculé pute putain ordure abruti crétin débile bâtard pétasse gueule merde trouduc bouffon sous-merde pédé raclure".split()
 #: Insults and threats in Chinese.
-INSULTS_ZH = "傻逼 傻b 煞笔 沙雕 s b sb 蠢货 蠢猪 白痴 废物 贱人 贱货 骚货 婊子 滚蛋 滚出去 滚开 混蛋 王八蛋 狗东西 垃圾东西 人渣 畜生 杂种 脑残 智障 脑子进水 去死 去你妈 操你 他妈的 你妈 不要脸 神经病 死全家 浪费空气 不如养条狗 下贱".split(" ")
+INSULTS_ZH = "傻逼 傻b 煞笔 沙雕 s b sb 蠢货 蠢猪 白痴 废物 贱人 贱货 骚货 婊子 滚蛋 滚出去 滚开 混蛋 王八蛋 狗东西 垃圾东西 人渣 畜生 杂种 脑残 智障 脑子进水 去死 去你妈 操你 他妈的 你妈 不要脸 神经病 死全家 浪费空气 下贱".split(" ")
 THREATS_ZH = "打断你 弄死你 杀了你 砍死 打死你 找人打 去死 死全家 让你好看 剁了你 捅死".split()
 SEXUAL_EN = (
     "porn porno porns xxx blowjob handjob pussy dick cock tits boobs nude nudes naked horny cum cumshot orgasm escort escorts hooker milf threesome fuck fucking fucked anal hardcore uncensored sexting dildo masturbate masturbating jerk erotic webcam stripper strip striptease creampie gangbang"
@@ -65,6 +70,7 @@ REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 STARRED = re.compile(r"(?<![^\W_])([a-z])(\*{1,})([a-z]{1,3})(?![^\W_])")
 MIXED = re.compile(r"(?<![^\W_])(?=[^\s]*[a-z])(?=[^\s]*[0-9@$!+€])[a-z0-9@$!+€]{3,}(?![^\W_])|[@$][a-z0-9@$!+€]{2,}")
 WORDS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+CJK = re.compile("[一-鿿]")
 SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|[\r\n]+|\s(?=[A-Za-z]{2,12}: )")
 SPEAKER = re.compile(r"^\s*(?:[-*>#|]+\s*)?(?:[A-Za-z]{1,12}|[一-鿿]{1,4})\s?[:：]\s+")
 
@@ -81,27 +87,32 @@ BY_SHAPE = {}
 for _w in INSULTS:
     BY_SHAPE.setdefault((_w[0], _w[-1], len(_w)), _w)
 
-ADDRESS = re.compile(
-    r"\byou(?:'re| are)? (?:people|useless|worthless|pathetic|stupid|dumb|filthy|disgusting|ugly|lying|brainless|little|are too|are nothing|disgust|sick|all )|\byour (?:mother|mouth|hole|face|whole \w+(?: \w+)? (?:team|department) is)|\b(?:shut|hole|hey,?) (?:up|your|you|[a-z]+, did your)|\bstop whining"
-    r"|\bwho should rot|\brot in hell|\bwaste of (?:space|skin|air)|\bashamed to be alive|\bbunch of\b|\bnobody (?:asked|would miss|likes|wants) you|\bgo (?:drown|kill|hang|hurt) yourself|\bkill yourself|\bcrawl back|\bbrainless|\bhope you (?:die|choke|suffer|rot|get)|\b(?:lying|worthless|useless|brainless) [a-z]+ (?:who|like you|and everyone)|\ba [a-z]+ like you|\ba (?:" + "|".join(INSULTS) + r") (?:who|and everyone)|\bonly an? [a-z@$*]+ would|\bkind of [a-z@$*]+ writes|\bload of [a-z@$*]+ work"
-    r"|\bdu (?:bist|nutzlos|dumm|elend|erbärmlich|geile|wichser|idiot)|\bdu [a-zäöüß]+es? stück|\bhalt (?:die|dein)|\bverpiss|\bwie dir\b|\bstück (?:müll|dreck|scheiße)|\bso ein dreck|\btu es (?:une?|un vrai)|\bespèce de|\bferme ta|\bta gueule|\bnique ta|\bva te faire|\bva crever"
-    r"|你(?:就是|是|们这|这|那副|妈|个)[^，。！]{0,6}(?:逼|货|物|痴|玩意|东西|蛋|人渣|狗|猪|b)|闭嘴|滚(?:出去|开|蛋|远)|脑子进水|活着就是|说话吗|公司养你"
+ADDRESS_EN = re.compile(
+    r"\byou(?:'re| are)? (?:people|useless|worthless|pathetic|stupid|dumb|filthy|disgusting|ugly|lying|brainless|little|are too|are nothing|disgust|sick|all )|\byour (?:mother|mouth|hole|face|whole \w+(?: \w+)? (?:team|department) is)|\b(?:shut|hole|hey,?) (?:up|your|you)|\bstop whining|\bwho should rot"
+    r"|\bbunch of\b|\bcrawl back|\bbrainless|\b(?:lying|worthless|useless|brainless) [a-z]+ (?:who|like you|and everyone)|\ba [a-z]+ like you|\ba (?:" + "|".join(INSULTS) + r") (?:who|and everyone)|\bonly an? [a-z@$*]+ would|\bkind of [a-z@$*]+ writes"
 )
-THREAT = re.compile(
+WISH_EN = re.compile(r"\brot in hell|\bwaste of (?:space|skin|air)|\bashamed to be alive|\bnobody (?:asked|would miss|likes|wants) you|\bgo (?:drown|kill|hang|hurt) yourself|\bkill yourself|\bhope you (?:die|choke|suffer|rot|get)")
+ADDRESS_OTHER = re.compile(
+    r"\bdu (?:bist|nutzlos|dumm|elend|erbärmlich|geile|wichser|idiot)|\bdu [a-zäöüß]+es? stück|\bhalt (?:die|dein)|\bverpiss|\bwie dir\b|\bstück (?:müll|dreck|scheiße)|\bso ein dreck|\btu es (?:une?|un vrai)|\bespèce de|\bferme ta|\bta gueule|\bnique ta|\bva te faire|\bva crever"
+    r"|你(?:就是|是|们这|这|那副|妈|个)[^，。！]{0,6}(?:逼|货|物|痴|玩意|东西|蛋|人渣|狗|猪|b)|闭嘴|滚(?:出去|开|蛋|远)|脑子进水|活着就是|说话吗"
+)
+THREAT_EN = re.compile(
     r"\b(?:break|smash|bash|cut|slit|punch|stab|burn|shoot|kick) (?:your|you|their|his|her|them)\b|\bmake (?:you|them|him|her) (?:suffer|pay|bleed|regret)|\b(?:i|we)(?:'ll| will| am going to|'m going to) (?:kill|hurt|find|beat|destroy|end|get|make) (?:you|them|him|her)|\bjumped off|\bdrown yourself|\bkill yourself|\bhope you (?:die|choke)|\brot in hell|\bwatch your back|\bbefore i [a-z]+ your|\bbeat you (?:up|to)"
-    r"|zähne einschlagen|\bbring(?:e|en)? dich um|\bschlag(?:e|en)? dich|\bmach(?:e|en)? dich (?:kalt|fertig)|va crever|je vais te (?:tuer|frapper|casser|crever)|te casser la|" + "|".join(THREATS_ZH)
 )
+THREAT_OTHER = re.compile(r"zähne einschlagen|\bbring(?:e|en)? dich um|\bschlag(?:e|en)? dich|\bmach(?:e|en)? dich (?:kalt|fertig)|va crever|je vais te (?:tuer|frapper|casser|crever)|te casser la|" + "|".join(THREATS_ZH))
 PEOPLE = r"(?:[a-zäöüß]{3,}(?:s|men|er|en|ren|ers|ans|ites|ians)|people|immigrants|foreigners|refugees|women|men|jews|muslims|gays|migrants|ausländer|frauen|flüchtlinge|étrangers|immigrés)"
-HATE = re.compile(
+HATE_EN = re.compile(
     rf"\ball {PEOPLE} are (?:vermin|thieves|liars|parasites|rats|animals|criminals|filth|scum|trash|dogs|cockroaches|the same)|\bare born (?:thieves|liars|criminals)|\b(?:they|{PEOPLE}) are (?:vermin|parasites|animals|subhuman|rats|filth|a disease|a plague|less than human)|\bvermin\b|\bparasites\b|\bsubhuman"
-    rf"|do(?:es)? not deserve to (?:breathe|live|exist)|same air as us|(?:simply )?disappear(?:ed)? for good|better off if (?:every|all)|\bdriven out|\block them (?:all )?up|\bcarry (?:filth|disease)|\bfilthy {PEOPLE}|\bkeep (?:those|these) [a-z*@$.\-_ 0-9]+ away|\bno {PEOPLE} in this|letting a rat|like (?:rats|animals|vermin)|\bgo back to (?:your|their) (?:country|hole)|\bwipe (?:them|you) out|\bexterminate"
-    r"|ungeziefer|gehören (?:verjagt|vergast|weg|abgeschoben|erschossen)|nicht dieselbe luft|mit diesem pack|\bweg mit den\b|\bsind (?:alle )?(?:dreck|abschaum|parasiten|tiere)|sale race|dehors les|sont tous des (?:voleurs|parasites|rats|animaux)|vermine"
-    r"|寄生虫|(?:族|人)[^，。]{0,3}(?:天生|都是)[^。]{0,8}(?:小偷|骗子|下贱|寄生虫|垃圾|畜生|贼)|从地球上消失|一个不留|见一个抓一个|全部赶走|不配(?:和|跟|与)?[^，。]{0,6}(?:呼吸|活)|往家里放老鼠|滚回(?:去|老家)|劣等|杀光"
+    rf"|do(?:es)? not deserve to (?:breathe|live|exist)|same air as us|(?:simply )?disappear(?:ed)? for good|better off if (?:every|all)|\bdriven out|\block them (?:all )?up|\bcarry (?:filth|disease)|\bfilthy {PEOPLE}|\bkeep (?:those|these) [a-z*@$.\-_ 0-9]+ away|\bno {PEOPLE} in this|like (?:[a-z]+ing )?(?:an? )?(?:rats?|animals?|vermin|cockroach(?:es)?|snakes?|lice|maggots?)\b|\bgo back to (?:your|their) (?:country|hole)|\bwipe (?:them|you) out|\bexterminate"
+)
+HATE_OTHER = re.compile(
+    r"ungeziefer|gehören (?:verjagt|vergast|weg|abgeschoben|erschossen)|nicht dieselbe luft|mit diesem pack|\bweg mit den\b|\bsind (?:alle )?(?:dreck|abschaum|parasiten|tiere)|sale race|dehors les|sont tous des (?:voleurs|parasites|rats|animaux)|vermine"
+    r"|寄生虫|(?:族|人)[^，。]{0,3}(?:天生|都是)[^。]{0,8}(?:小偷|骗子|下贱|寄生虫|垃圾|畜生|贼)|从地球上消失|一个不留|见一个抓一个|全部赶走|不配(?:和|跟|与)?[^，。]{0,6}(?:呼吸|活)|(?:就是|像|如同)[^，。]{0,6}(?:老鼠|蟑螂|蛆|畜生)|滚回(?:去|老家)|劣等|杀光"
 )
-SEXUAL = re.compile(
-    r"\b(?:hot|horny|wet) (?:\w+ ){0,2}(?:singles|girls|women|babes|pussy|milfs|teens|on cam)|\bon cam\b|\bsex (?:show|chat|cam|video|tape|toys)|\bexplicit sex|\badult (?:chat|video|movie|clip|content|site)s?\b|\bno (?:clothes|taboo|limits)\b|\bnudes?\b|\bsee your (?:tits|body|boobs|ass|pussy|dick)|\b(?:blow ?job|porn|xxx|pussy|cum|milf|deepthroat)|\bbeg(?:ging)? me to\b|\bfuck (?:me|you|her|him|my|hard)|\bput it in (?:her|him|me|you)|\bhow hard (?:he|i|she) (?:was|am|is)|\bnaked (?:singles|girls|women|on my|and|in my bed|pics|photos|pictures)|\bof you naked|\bnight rate|\bescorts?\b|\bstrip(?:tease|per)"
-    r"|nackt(?:bilder|fotos)|\bpornos?\b|ohne altersprüfung|\bgeile\b|\bficken\b|photos? (?:de toi )?nue?s?\b|\bphotos nue|\bcoucher avec|\bfilms? (?:x|porno)\b|\bvidéos? (?:x|porno)\b|\bchaudes? (?:salopes?|célibataires)|" + "|".join(SEXUAL_ZH)
+SEXUAL_PHRASE_EN = re.compile(
+    r"\b(?:hot|horny|wet) (?:\w+ ){0,2}(?:singles|girls|women|babes|pussy|milfs|teens|on cam)|\bon cam\b|\bsex (?:show|chat|cam|video|tape|toys)|\bexplicit sex|\badult (?:chat|video|movie|clip|content|site)s?\b|\bno (?:clothes|taboo|limits)\b|\bnudes?\b|\bsee your (?:tits|body|boobs|ass|pussy|dick)|\b(?:blow ?job|porn|xxx|pussy|cum|milf|deepthroat)|\bbeg(?:ging)? me to\b|\bfuck (?:me|you|her|him|my|hard)|\bput it in (?:her|him|me|you)|\bhow hard (?:he|i|she) (?:was|am|is)|\bnaked (?:singles|girls|women|on my|and|in my bed|pics|photos|pictures)|\bof you naked|\bescorts?\b|\bstrip(?:tease|per)"
 )
+SEXUAL_PHRASE_OTHER = re.compile(r"nackt(?:bilder|fotos)|\bpornos?\b|ohne altersprüfung|\bgeile\b|\bficken\b|photos? (?:de toi )?nue?s?\b|\bphotos nue|\bcoucher avec|\bfilms? (?:x|porno)\b|\bvidéos? (?:x|porno)\b|\bchaudes? (?:salopes?|célibataires)|" + "|".join(SEXUAL_ZH))
 CLINICAL = re.compile(
     r"\b(?:examination|examined|dysfunction|fissures?|urologist|gynaecolog|patients?|dose|treated|clinical|diagnos\w*|therapy|syrup|mammogra\w*|prostate|screening|surgery|symptoms?|biopsy|assessment|organic cause|abuse of (?:alcohol|drugs|medication)|substance abuse|alcohol)\b|untersuchung|diagnose|patient|\bexamen du\b|dépistage|médecin|患者|检查|障碍|治疗|诊断|乳腺|剂量"
 )
@@ -109,11 +120,13 @@ QUOTING = re.compile(
     r"\bforbid|\bprohibit|\bcode of conduct|\bmisconduct|\bethics|\binsults? such as|\bwords? such as|\bcalling (?:a |someone )|\breported to|\bblocks? |\bfilter|\bban(?:s|ned)?\b|\bnot (?:allowed|tolerated|permitted|acceptable)|\bpolicy (?:against|on)|\bviolat|\bverstoß|verhaltenskodex|beleidigung|\bverboten|\buntersagt|\binterdi[ts]|\binsultes?\b|code de conduite|\bsanctionn|属于违纪|辱骂|禁止|不得|违反|通报|行为准则|例如称|严禁"
 )
 TECHNICAL = re.compile(r"\bprocess\b|\bsignal \d|\brestart|\bindexer|\bserver|\bflame\b|\boxygen\b|\bcockpit\b|\bvalve\b|\bwires?\b|\bwaste (?:bin|collection|water)|进程|重启|索引|服务器|电线|垃圾由|废物桶|废弃物|回收|清空")
-BUSINESS = re.compile(r"\bassociation\b|\brenewed\b|\bcontract\b|\binsured like\b|\btravellers\b|\bworking abroad\b|\bpremiums?\b|\bcovered\b|\breimburs|\bdeductible|versichert|vertrag|contrat|assuré|保障|报销|保险|合同|投保|给付|享受")
+BUSINESS = re.compile(r"\bassociation\b|\bcontract\b|\binsured like\b|\bpremiums?\b|\bcovered\b|\breimburs|\bdeductible|versichert|vertrag|contrat|assuré|保障|报销|保险|合同|投保|给付|享受")
 
 ZH_PLAIN = [w for w in INSULTS_ZH if len(w) > 1 and w != "sb"]
 
-POSITIVE = ("insult", "disguised", "mild_addressed", "insult_de", "insult_fr", "insult_zh", "address", "threat", "hate", "sexual_word", "sexual")
+POSITIVE = (
+    "insult", "disguised", "mild_addressed", "insult_de_fr", "insult_zh", "address", "wish", "address_other", "threat", "threat_other", "hate", "hate_other", "sexual_word", "sexual_word_other", "sexual", "sexual_other",
+)
 NEGATIVE = ("clinical", "quoting", "technical", "business")
 VOTERS = POSITIVE + NEGATIVE
 
@@ -136,30 +149,58 @@ def _lexicon(text: str, words: list[str]) -> bool:
 
 
 #: Pieces of text without which the patterns of abuse, threats, hate and sex can't match.
-TRIGGERS = (
-    "you|your|hole|hey|shut|whining| rot |waste of|ashamed|bunch of|nobody|yourself|crawl|brainless|hope you|only a|kind of|load of|worthless|bist|du |halt |verpiss|wie dir|stück|dreck|tu es|espèce|ferme|gueule|nique|va te|va crever|你|闭嘴|滚|脑子|活着|说话|公司养|lying|useless"
-    "|break|smash|bash|cut |slit|punch|stab|burn|shoot|kick|suffer|make |kill|jumped|drown|watch|before i|beat|will |'ll|going to|zähne|dich|je vais|casser"
-    "|vermin|thieves|liars|parasit|rats|animals|criminals|filth|scum|trash|dogs|cockroach|the same|subhuman|disease|plague|less than|deserve|same air|disappear|better off|driven out|lock them|carry|keep th|no |letting a rat|like |go back|wipe|exterminate|ungeziefer|gehören|luft|pack|weg mit|abschaum|tiere|race|dehors|voleurs|天生|都是|消失|一个|寄生虫|animaux|赶走|不配|放老鼠|滚回|劣等|杀光"
-    "|hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy| cum|milf|deepthroat| beg|fuck|put it in|how hard|naked|night rate|escort|strip|nackt|altersprüfung|geil|ficken| nue| nu | nus |coucher|films|film x|vidéos|vidéo x|chaude"
-).split("|")
+TRIGGERS = {
+    "address": "you|your|hole|hey|shut|whining| rot |bunch of|crawl|brainless|only a|kind of|worthless|lying|useless",
+    "wish": " rot |waste of|ashamed|nobody|yourself|hope you",
+    "address_other": "bist|du |halt |verpiss|wie dir|stück|dreck|tu es|espèce|ferme|gueule|nique|va te|va crever|你|闭嘴|滚|脑子|活着|说话",
+    "threat": "break|smash|bash|cut |slit|punch|stab|burn|shoot|kick|suffer|make |kill|jumped|drown|watch|before i|beat|will |'ll|going to|hope you| rot ",
+    "threat_other": "zähne|dich|je vais|casser|va crever",
+    "hate": "vermin|thieves|liars|parasit|rats|animals|criminals|filth|scum|trash|dogs|cockroach|the same|subhuman|disease|plague|less than|deserve|same air|disappear|better off|driven out|lock them|carry|keep th|no |like |go back|wipe|exterminate",
+    "hate_other": "ungeziefer|gehören|luft|pack|weg mit|abschaum|dreck|parasit|tiere|race|dehors|voleurs|animaux|sont tous|vermine|天生|都是|消失|一个|寄生虫|赶走|不配|老鼠|蟑螂|蛆|畜生|滚回|劣等|杀光",
+    "sexual": "hot |horny|wet |on cam|sex|adult|clothes|taboo|limits|nude|see your|job|porn|xxx|pussy| cum|milf|deepthroat| beg|fuck|put it in|how hard|naked|escort|strip|blowjob",
+    "sexual_other": "nackt|porno|altersprüfung|geil|ficken| nue| nu | nus |coucher|films|film x|film porno|vidéos|vidéo x|vidéo porno|chaude",
+}
+#: Fixed lists that are triggers of their voters, word by word.
+LISTS = {
+    "insult": INSULTS, "mild_addressed": sorted(MILD), "insult_de_fr": [*INSULTS_DE, *INSULTS_FR], "insult_zh": ZH_PLAIN, "address": INSULTS, "threat_other": THREATS_ZH, "sexual_word": SEXUAL_EN, "sexual_word_other": [*SEXUAL_DE, *SEXUAL_ZH], "sexual_other": SEXUAL_ZH,
+}
+BIT = {v: 1 << k for k, v in enumerate(VOTERS)}
 
 
 def _triggers() -> ahocorasick.Automaton:
+    masks: dict[str, int] = {}
+    for voter, word in [*((v, w) for v, ws in TRIGGERS.items() for w in ws.split("|")), *((v, w) for v, ws in LISTS.items() for w in ws)]:
+        # Short words begin with a blank, as they are parts of many others; it stands for any mark, as in the text looked at.
+        key = BOUNDS.sub(" ", word) if len(word) > 4 or not word.isascii() or BOUNDS.search(word) else f" {word}"
+        masks[key] = masks.get(key, 0) | BIT[voter]
     machine = ahocorasick.Automaton()
-    # Short words begin with a blank, as they are parts of many others; it stands for any mark, as in the text looked at.
-    for word in (BOUNDS.sub(" ", w) if len(w) > 4 or not w.isascii() or BOUNDS.search(w) else f" {w}" for w in (*TRIGGERS, *INSULTS, *INSULTS_DE, *INSULTS_FR, *SEXUAL_EN, *SEXUAL_DE, *ZH_PLAIN, *SEXUAL_ZH, *THREATS_ZH)):
-        machine.add_word(word, True)
+    for key, mask in masks.items():
+        machine.add_word(key, mask)
     machine.make_automaton()
     return machine
 
 
 TRIGGER = _triggers()
-DISGUISE = re.compile(r"\*|[a-z][0-9@$!€+]|[0-9@$!€+][a-z]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_]([ ._\-·])[^\W\d_]\2[^\W\d_](?![^\W_])|(?<![a-z])s ?b(?![a-z])")
+DISGUISE = re.compile(r"\*|[a-z][0-9@$!€+]|[0-9@$!€+][a-z]|([^\W\d_])\1\1|(?<![^\W_])[^\W\d_]([ ._\-·])[^\W\d_]\2[^\W\d_](?![^\W_])")
+SB = re.compile(r"(?<![a-z])s ?b(?![a-z])")
+EVERY = (1 << len(VOTERS)) - 1
+
 
+def triggered(base: str) -> int:
+    """Bits of the voters that accuse and can fire at all; all marks count as blanks, as words begin after any of them."""
+    mask = 0
+    for _, bits in TRIGGER.iter(f" {BOUNDS.sub(' ', base)} "):
+        mask |= bits
+    return mask
 
-def triggered(base: str) -> bool:
-    """Whether one of the patterns that accuse can match at all; all marks count as blanks, as words begin after any of them."""
-    return next(TRIGGER.iter(f" {BOUNDS.sub(' ', base)} "), None) is not None
+
+PATTERN_VOTERS = {
+    "insult_de_fr": (DE_RE, FR_RE), "address": (ADDRESS_EN,), "wish": (WISH_EN,), "address_other": (ADDRESS_OTHER,), "threat": (THREAT_EN,), "threat_other": (THREAT_OTHER,), "hate": (HATE_EN,), "hate_other": (HATE_OTHER,),
+    "sexual_word": (SEX_RE,), "sexual": (SEXUAL_PHRASE_EN,), "sexual_other": (SEXUAL_PHRASE_OTHER,),
+}
+PATTERN_BITS = [(BIT[v], ps) for v, ps in PATTERN_VOTERS.items()]
+EXCUSES = [(BIT["clinical"], CLINICAL), (BIT["quoting"], QUOTING), (BIT["technical"], TECHNICAL), (BIT["business"], BUSINESS)]
+TOWARDS = sum(BIT[v] for v in ("address", "address_other", "hate", "hate_other", "sexual", "sexual_other"))
 
 
 def vote(sentence: str) -> tuple[int, str]:
@@ -167,30 +208,32 @@ def vote(sentence: str) -> tuple[int, str]:
 
     The voters that excuse are only asked where one accuses.
     """
-    hidden = False
-    if not sentence.isascii():
+    hidden, plain_ascii = False, sentence.isascii()
+    if not plain_ascii:
         hidden = bool(ZERO_WIDTH.search(sentence)) or any("！" <= c <= "～" and c.isalpha() for c in sentence)
-    base = sentence.lower() if sentence.isascii() else ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("’", "'")
+    base = sentence.lower() if plain_ascii else ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("’", "'")
     disguised = hidden or DISGUISE.search(base) is not None
-    if not disguised and not triggered(base):
+    han = not plain_ascii and CJK.search(base) is not None
+    can = EVERY if disguised else triggered(base)
+    if not can and not (han and SB.search(base)):
         return 0, base
     bare = plain(sentence)[1] if disguised else base
-    han = not base.isascii() and any("一" <= c <= "鿿" for c in base)
-    strong, opened = STRONG_RE.search(base), None
+    bits = sum(bit for bit, patterns in PATTERN_BITS if can & bit and any(p.search(bare) for p in patterns))
+    strong = STRONG_RE.search(base) if can & BIT["insult"] else None
+    if strong:
+        bits |= BIT["insult"]
     if bare != base or hidden:
         opened = STRONG_RE.search(bare) or MILD_RE.search(bare)
-        if opened and strong and not hidden and opened.group() == strong.group():
-            opened = None
-    address, threat, hate, sexual = ADDRESS.search(bare), THREAT.search(bare), HATE.search(bare), SEXUAL.search(bare)
-    accused = (
-        bool(strong), bool(opened), bool(address or hate or sexual) and bool(MILD_RE.search(bare)), bool(DE_RE.search(bare)), bool(FR_RE.search(bare)),
-        han and (_lexicon(bare, ZH_PLAIN) or bool(re.search(r"(?<![a-z])s ?b(?![a-z])", bare))),
-        bool(address), bool(threat), bool(hate), bool(SEX_RE.search(bare)) or bool(SEX_DE_RE.search(bare)) or (han and _lexicon(bare, SEXUAL_ZH)), bool(sexual),
-    )
-    bits = sum(1 << k for k, f in enumerate(accused) if f)
+        if opened and (hidden or not strong or opened.group() != strong.group()):
+            bits |= BIT["disguised"]
+    if bits & TOWARDS and can & BIT["mild_addressed"] and MILD_RE.search(bare):
+        bits |= BIT["mild_addressed"]
+    if han and (_lexicon(bare, ZH_PLAIN) or SB.search(bare)):
+        bits |= BIT["insult_zh"]
+    if can & BIT["sexual_word_other"] and (SEX_DE_RE.search(bare) or han and _lexicon(bare, SEXUAL_ZH)):
+        bits |= BIT["sexual_word_other"]
     if bits:
-        excused = (CLINICAL, QUOTING, TECHNICAL, BUSINESS)
-        bits |= sum(1 << k for k, p in enumerate(excused, len(POSITIVE)) if p.search(bare))
+        bits |= sum(bit for bit, p in EXCUSES if p.search(bare))
     return bits, bare
 
 
@@ -200,116 +243,107 @@ def sentences(text: str | None) -> list[str]:
 
 @dataclass
 class LabelModel:
-    """Generative model of the votes: prior of toxic, each voter's rate to fire in either class, and its weight."""
+    """Generative model of the votes: log share of each class (the first is toxic), each voter's rate to fire in it, its weight, and what is toxic of the unaccused."""
 
-    prior: float
-    toxic: np.ndarray
-    clean: np.ndarray
+    shares: np.ndarray
+    rates: np.ndarray
     weight: np.ndarray
-    correlation: np.ndarray
+    unaccused: float
 
-    def posterior(self, bits: np.ndarray) -> np.ndarray:
-        """Share of toxic among sentences with these votes; sentences that nothing accuses have ``UNACCUSED``.
+    def classes(self, bits: np.ndarray) -> np.ndarray:
+        """Share of each class among sentences with these votes.
 
         Abstaining from an accusation says nothing, as the voters look for different things; abstaining from an excuse does.
         """
-        fired = (bits[:, None] >> np.arange(len(self.toxic))) & 1
-        on, off = np.log(self.toxic / self.clean), np.where(ACCUSES, 0.0, np.log((1 - self.toxic) / (1 - self.clean)))
-        odds = np.log(self.prior / (1 - self.prior)) + (self.weight * np.where(fired == 1, on, off)).sum(axis=1)
-        share = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        return np.where((fired * ACCUSES).sum(axis=1) > 0, share, UNACCUSED)
+        fired = (bits[:, None] >> np.arange(len(VOTERS))) & 1
+        off = np.where(ACCUSES, 0.0, np.log(1 - self.rates))
+        odds = self.shares + np.where(fired[:, None, :] == 1, np.log(self.rates), off) @ self.weight
+        odds -= odds.max(axis=1, keepdims=True)
+        return np.exp(odds) / np.exp(odds).sum(axis=1, keepdims=True)
+
+    def posterior(self, bits: np.ndarray) -> np.ndarray:
+        """Share of toxic among sentences with these votes."""
+        accused = (bits & sum(BIT[v] for v in POSITIVE)) != 0
+        return np.where(accused, self.classes(bits)[:, 0], self.unaccused)
 
 
-UNACCUSED = 0.001
-#: How many times likelier an excuse is at least among clean sentences than among toxic ones, as votes alone can't tell.
-EXCUSE_ODDS = np.array([{"business": 20.0}.get(v, 200.0) for v in VOTERS])
 ACCUSES = np.array([v in POSITIVE for v in VOTERS])
+#: Sentences that the rates at the beginning stand for.
+WEAK = 20.0
 
 
-def fit_label_model(bits: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
-    """Expectation maximisation on counted patterns of votes that accuse; polarity only sets where it begins.
+def fit_label_model(bits: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelModel:
+    """Expectation maximisation on counted patterns of votes.
 
-    Weak priors stand for some hundred sentences of either kind, so that few patterns, or none, leave it near where it
-    began. Pairs that agree more, within the classes, than independent voters would share their weight.
+    Classes are toxic and, for each voter that excuses, clean for its reason; they begin with a high rate of their own
+    voter. Shares and rates are estimated, with priors of ``WEAK`` sentences, so that few patterns, or none, leave them
+    near where they began. Voters of one side that fire together more than the classes explain share their weight.
     """
     fired = ((bits[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-    counts = counts * ((fired * ACCUSES).sum(axis=1) > 0)
-    total = max(float(counts.sum()), 1.0)
-    toxic, clean = np.where(ACCUSES, 0.3, 0.02), np.where(ACCUSES, 0.15, 0.4)
-    toxic0, clean0, strength = toxic.copy(), clean.copy(), 20.0
-    weight, correlation, prior = np.ones(len(VOTERS)), np.zeros((len(VOTERS),) * 2), 0.7
-    for k in range(rounds):
-        share = LabelModel(prior, toxic, clean, weight, correlation).posterior(bits)
-        p, q = counts * share, counts * (1 - share)
-        prior = float(np.clip((p.sum() + 70) / (total + 100), 0.3, 0.98))
-        toxic = np.clip((fired.T @ p + strength * toxic0) / (p.sum() + strength), 1e-3, 0.97)
-        clean = np.clip((fired.T @ q + strength * clean0) / (q.sum() + strength), 1e-3, 0.97)
-        toxic, clean = np.where(ACCUSES, np.maximum(toxic, clean), toxic), np.where(ACCUSES, np.minimum(toxic, clean), np.maximum(clean, 0.1))
-        toxic = np.where(ACCUSES, toxic, np.minimum(toxic, clean / EXCUSE_ODDS))
-        if k >= 5:
-            agree = np.zeros_like(correlation)
-            for w, rate in ((p, toxic), (q, clean)):
-                both = (fired.T * w) @ fired / max(w.sum(), 1.0)
-                spread_ = np.sqrt(np.outer(rate * (1 - rate), rate * (1 - rate))) + 1e-9
-                agree += w.sum() / total * np.clip((both - np.outer(rate, rate)) / spread_, 0, 1)
-            correlation = np.clip(agree, 0, 1)
-            np.fill_diagonal(correlation, 0)
-            weight = 1 / (1 + 0.5 * (correlation * np.equal.outer(ACCUSES, ACCUSES)).sum(axis=1))
-    return LabelModel(prior, toxic, clean, weight, correlation)
-
-
-_PLACES: dict[str | tuple[str, str], int] = {}
-
-
-def _place(feature: str | tuple[str, str]) -> int:
-    """Place of a word, a pair of words or a letter group among the features."""
-    at = _PLACES.get(feature)
-    if at is None:
-        if len(_PLACES) > 300_000:
-            _PLACES.clear()
-        text = feature if isinstance(feature, str) else " ".join(feature)
-        at = _PLACES[feature] = len(VOTERS) + 1 + zlib.crc32(text.encode()) % (FEATURES - len(VOTERS) - 1)
-    return at
-
-
-def features(bare: str, bits: int) -> set[int]:
-    """Hashed words, pairs of words, letter groups and votes of a sentence; the first places are the votes and the constant."""
+    accused = (fired * ACCUSES).sum(axis=1) > 0
+    others, fired, n, own = float(counts[~accused].sum()), fired[accused], counts[accused], bits[accused]
+    begin = np.vstack([np.where(ACCUSES, 0.3, 0.02), *[np.where(ACCUSES, 0.15, np.where(np.array(VOTERS) == e, 0.9, 0.05)) for e in NEGATIVE]])
+    part = np.array([0.5, *[0.5 / len(NEGATIVE)] * len(NEGATIVE)])
+    model = LabelModel(np.log(part), begin, np.ones(len(VOTERS)), 0.0)
+    for _ in range(rounds if len(n) else 0):
+        held = n[:, None] * model.classes(own)
+        size = held.sum(axis=0)
+        rates = np.clip((held.T @ fired + WEAK * begin) / (size + WEAK)[:, None], 1e-4, 0.99)
+        correlation = np.zeros((len(VOTERS),) * 2)
+        for k in range(len(size)):
+            both, spread_ = (fired.T * held[:, k]) @ fired / max(size[k], 1.0), np.sqrt(rates[k] * (1 - rates[k]))
+            correlation += size[k] / size.sum() * np.clip((both - np.outer(rates[k], rates[k])) / np.outer(spread_, spread_), 0, 1)
+        np.fill_diagonal(correlation, 0)
+        weight = 1 / (1 + (correlation * np.equal.outer(ACCUSES, ACCUSES)).sum(axis=1))
+        model = LabelModel(np.log((size + WEAK * part) / (size.sum() + WEAK)), rates, weight, 0.0)
+    # Toxic sentences that no voter saw, if voters find them independently.
+    unseen = float(np.prod(1 - model.rates[0][ACCUSES]))
+    toxic = float((n * model.classes(own)[:, 0]).sum()) if len(n) else 0.0
+    return LabelModel(model.shares, model.rates, model.weight, min(0.5, toxic * unseen / (1 - unseen) / max(others, 1.0)))
+
+
+def features(bare: str) -> list[str | tuple[str, str]]:
+    """Words, pairs of words and groups of Han characters of a sentence; the constant comes first."""
     tokens = WORDS.findall(bare)
-    out = {_place(x) for x in tokens}
-    out.update(map(_place, zip(tokens, tokens[1:], strict=False)))
-    out.add(len(VOTERS))
-    if bits:
-        out.update(k for k in range(len(VOTERS)) if bits >> k & 1)
+    out: list = ["", *tokens, *zip(tokens, tokens[1:], strict=False)]
     if not bare.isascii():
-        for token in tokens:
-            if any("一" <= c <= "鿿" for c in token):
-                out.update(_place(token[i : i + n]) for n in (2, 3) for i in range(len(token) - n + 1))
+        out += [t[i : i + n] for t in tokens if CJK.search(t) for n in (2, 3) for i in range(len(t) - n + 1)]
     return out
 
 
-def train_linear(rows: list[tuple[str, int, float]]) -> array:
-    """Weights of a logistic classifier on (sentence, votes, posterior), by adaptive gradient steps in a fixed order."""
-    weights, squares = np.zeros(FEATURES, dtype=np.float32), np.full(FEATURES, 1e-6)
-    coded = [(np.array(sorted(features(s, b))), y) for s, b, y in rows]
-    order = np.random.default_rng(7)
+def train_linear(rows: list[tuple[str, float]], most: int = FEATURES) -> dict[str | tuple[str, str], float]:
+    """Weights of a logistic classifier on (sentence, posterior), by adaptive gradient steps on batches in a fixed order.
+
+    The commonest ``most`` features are weighed; the others' weight is 0.
+    """
+    coded = [set(features(s)) for s, _ in rows]
+    seen = Counter(f for own in coded for f in own)
+    known = {f: k for k, (f, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], repr(x[0])))[:most])}
+    if not known:
+        return {}
+    at = [np.array(sorted(known[f] for f in own if f in known), dtype=np.int64) for own in coded]
+    y = np.array([p for _, p in rows])
+    weights, squares, order = np.zeros(len(known)), np.full(len(known), 1e-6), np.random.default_rng(7)
     for _ in range(ROUNDS):
-        for k in order.permutation(len(coded)):
-            at, y = coded[k]
-            gradient = 1 / (1 + np.exp(-np.clip(weights[at].sum(), -30, 30))) - y
-            squares[at] += gradient * gradient
-            weights[at] -= 0.3 * (gradient + 1e-4 * weights[at]) / np.sqrt(squares[at])
-    return array("f", weights.tobytes())
+        for batch in np.array_split(order.permutation(len(at)), max(1, len(at) // 32)):
+            own = np.concatenate([at[k] for k in batch])
+            row = np.repeat(np.arange(len(batch)), [len(at[k]) for k in batch])
+            error = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[own], len(batch)), -30, 30))) - y[batch]
+            gradient = np.bincount(own, error[row], len(known)) + 1e-5 * weights
+            squares += gradient * gradient
+            weights -= 0.3 * gradient / np.sqrt(squares)
+    return {f: float(w) for f, k in known.items() if abs(w := weights[k]) > 1e-3}
 
 
 @dataclass
 class Classifier:
     labels: LabelModel
-    weights: array
+    weights: dict[str | tuple[str, str], float]
     posteriors: dict[int, float] = field(default_factory=dict)
 
     def score(self, sentence: str) -> float:
         bits, bare = vote(sentence)
-        linear = sum(map(self.weights.__getitem__, sorted(features(bare, bits))))
+        linear = math.fsum(filter(None, map(self.weights.get, dict.fromkeys(features(bare)))))
         share = self.posteriors.get(bits)
         if share is None:
             share = self.posteriors[bits] = float(self.labels.posterior(np.array([bits]))[0])
@@ -339,7 +373,8 @@ def fit(docs: DataFrame, text: Column) -> Classifier:
     """Label model from the votes of all sentences of ``docs``, classifier from a bounded sample of distinct ones.
 
     The sample is drawn by the sentences' hashes at a rate that follows from the number of texts, and of accused
-    sentences, so no more than about twice its size is ever gathered.
+    sentences, so no more than about twice its size is ever gathered. Accused sentences, each once in a batch, and as
+    many others as the rate lets through are written to the shared folder before.
     """
     texts = docs.select(text.cast("string").alias("text")).where("text is not null")
     rate = min(1.0, TRAIN_OTHER / max(1, texts.count()))
@@ -356,7 +391,7 @@ def fit(docs: DataFrame, text: Column) -> Classifier:
     others = sample(voted.where("bits = 0 and sentence is not null"), TRAIN_OTHER)
     rows = [(r.sentence, r.bits) for r in spoken.unionByName(others).select("sentence", "bits").collect()]
     posterior = labels.posterior(np.array([b for _, b in rows], dtype=np.int64)) if rows else []
-    return Classifier(labels, train_linear([(s, b, float(y)) for (s, b), y in zip(rows, posterior, strict=True)]))
+    return Classifier(labels, train_linear([(s, float(y)) for (s, _), y in zip(rows, posterior, strict=True)]))
 
 
 def score_documents(docs: DataFrame, doc_id: Column, text: Column, classifier: Classifier) -> DataFrame:

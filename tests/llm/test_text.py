@@ -233,10 +233,23 @@ def test_fit_on_nothing(spark):
     assert toxicity.score_documents(empty, F.col("doc_id"), F.col("text"), model).count() == 0
 
 
-def test_votes_do_not_depend_on_how_often_they_are_counted():
-    bits = np.array([1, 1 | 1 << 6, 1 << 8, 1 | 1 << 12], dtype=np.int64)
-    a = toxicity.fit_label_model(bits, np.array([50.0, 30, 20, 100])).posterior(bits)
-    assert a[0] > 0.5 and a[1] > 0.5 and a[2] > 0.5 and a[3] < 0.5
+def test_excuses_are_told_from_accusations_by_the_counts_alone():
+    bit = toxicity.BIT
+    patterns = {("insult", "address"): 50, ("threat", "wish"): 30, ("hate",): 20, ("insult", "quoting"): 60, ("sexual_word", "technical"): 40, ("insult_de_fr", "quoting"): 20, (): 5000}
+    bits = np.array([sum(bit[v] for v in p) for p in patterns], dtype=np.int64)
+    share = dict(zip(patterns, toxicity.fit_label_model(bits, np.array(list(patterns.values()), dtype=float)).posterior(bits), strict=True))
+    assert {p: round(float(x), 3) for p, x in share.items() if (x > 0.5) != (p != () and not set(p) & set(toxicity.NEGATIVE))} == {}
+    assert 0 < share[()] < 0.01
+    # An excuse in a sentence that several voters accuse doesn't clear it.
+    both = np.array([sum(bit[v] for v in ("insult", "address", "threat", "wish", "technical"))])
+    assert toxicity.fit_label_model(bits, np.array(list(patterns.values()), dtype=float)).posterior(both)[0] > 0.5
+
+
+def test_the_classifier_knows_words_that_no_voter_knows():
+    rows = [(f"you snarfblat, {w} is late", 0.99) for w in ("the claim", "my form", "our report", "the answer")] * 10 + [(f"{w} is late", 0.001) for w in ("the claim", "my form", "our report", "the answer")] * 30
+    classifier = toxicity.Classifier(toxicity.fit_label_model(np.array([0]), np.array([100.0])), toxicity.train_linear(rows))
+    assert toxicity.vote("What a snarfblat.")[0] == 0
+    assert classifier.score("What a snarfblat.") > 2.5 * classifier.score("What a report.")
 
 
 def test_words_run_together_and_torn_words_are_put_right(spark):
@@ -274,15 +287,15 @@ def _matching(parsed, rng):
     return "".join(out)
 
 
-@pytest.mark.parametrize("name", ["STRONG_RE", "DE_RE", "FR_RE", "ADDRESS", "THREAT", "HATE", "SEX_RE", "SEX_DE_RE", "SEXUAL"])
+@pytest.mark.parametrize("name", ["STRONG_RE:insult", "DE_RE:insult_de_fr", "FR_RE:insult_de_fr", "ADDRESS_EN:address", "WISH_EN:wish", "ADDRESS_OTHER:address_other", "THREAT_EN:threat", "THREAT_OTHER:threat_other", "HATE_EN:hate", "HATE_OTHER:hate_other", "SEX_RE:sexual_word", "SEX_DE_RE:sexual_word_other", "SEXUAL_PHRASE_EN:sexual", "SEXUAL_PHRASE_OTHER:sexual_other"])
 def test_triggers_reject_nothing_that_accusing_patterns_match(name):
-    pattern, rng = getattr(toxicity, name), random.Random(5)
+    pattern, voter, rng = getattr(toxicity, name.split(":")[0]), name.split(":")[1], random.Random(5)
     parsed, missed, matched = re._parser.parse(pattern.pattern), set(), 0
     for _ in range(8000):
         text = rng.choice(["{}", "Zz {} zz.", "zz-{}-zz", "'{}'", "_{}_", "\t{}"]).format(_matching(parsed, rng))
         if pattern.search(text):
             matched += 1
-            if not toxicity.triggered(text):
+            if not toxicity.triggered(text) & toxicity.BIT[voter]:
                 missed.add(text)
     assert matched > 4000 and sorted(missed)[:40] == []
 
