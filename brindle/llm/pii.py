@@ -1,14 +1,18 @@
 """Personal information in free text: found from anchors, replaced by typed placeholders.
 
-One Aho-Corasick pass over each text finds anchors: at-signs and their spellings, titles, introductions and given
-names, street words, identity cues. From each anchor a local parser reads outwards and checks what it finds; digit
-groups, which need no cue, are parsed where they stand. E-mail addresses are settled first, so that their user parts
-are never names. Texts are worked on where they lie, without a shuffle.
+One Aho-Corasick pass over each text finds anchors of all five kinds: at-signs and their spellings, digits and the cues
+of identity numbers, street words, and what stands before, after or within names. From each anchor a local parser reads
+outwards, to both sides, and validates what it finds: the labels of a domain, the calendar and check digit of a citizen
+number, the parts of a social insurance number, the house number of a street. E-mail addresses are settled first, so
+that their user parts are never names. All windows are local, so the work grows with the text's length alone. Texts are
+worked on where they lie, without a shuffle.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,7 +47,8 @@ EMAIL = re.compile(
     rf"|[A-Za-z0-9][\w.+-]* at {LABEL}(?: dot {LABEL})+",
     re.IGNORECASE | re.ASCII,
 )
-GROUPED = re.compile(r"\d[\d ().\-/]{5,}[\dA-Za-z]")
+#: Digits kept apart by up to three blanks or marks, as numbers of phones and persons are written.
+DIGITS = re.compile(r"\d(?:[ ().\-/]{0,3}\d)*")
 PHONE = re.compile(
     r"""(?<![A-Za-z0-9.+/])(?<!\d-)(?:
       (?:\+|\b00)[ ]?[1-9]\d{0,2}(?:[ .\-/]?\(0\)[ ]?|[ ]?\(\d{1,4}\)[ ]?|[ .\-/])?\d{1,5}(?:[ .\-/]?\d{2,8}){1,5}
@@ -81,13 +86,25 @@ CHINESE = re.compile(rf"(?:[{HAN}]{{1,7}}[省市区县乡镇村])*[{HAN}]{{1,7}}
 LEADS_TO = re.compile(r"现住|居住[在于]|住在|住址是?|寄到|寄至|寄往|搬到|搬至|搬往|送到|送至|地址[是为]?|位于|女士|先生")
 CAPITALS = re.compile(ENGLISH.pattern, re.IGNORECASE)
 BEFORE_STREET = 70
+ANY_DIGIT = re.compile(r"\d")
 
 TITLE = re.compile(rf"(?:(?:Dr|Prof|Dipl|Ing)\.? )*({SURNAME})(?: ({SURNAME}))?")
+#: What a person can be asked, or done to, in lower case; a name follows.
+PERSONAL = (
+    "please ask", "i asked", "we asked", "i met", "we met", "i phoned", "i thanked", "my colleague", "our colleague", "my wife", "my husband", "my son", "my daughter", "my mother", "my father", "my brother", "my sister", "my neighbour", "my partner",
+    "meine frau", "mein mann", "mein sohn", "meine tochter", "mein kollege", "meine kollegin", "ma femme", "mon mari", "mon fils", "ma fille", "mon collègue", "ma collègue",
+)
+#: Words of firms, products and roles.
+NO_PERSON = frozenset(
+    "care cover plan basic plus premium comfort group team desk office service services clinic clinics hospital logistics systems insurance travel support department ltd inc gmbh ag sa llc co company bank union manager officer clerk nurse doctor broker director "
+    "supervisor adjuster administrator physician auditor human resources customer claims payroll procurement legal records branch ward manual handbook section part form policy".split()
+)
 NOT_A_NAME = frozenset("the a an sir madam dr prof or and und et ou oder mr mrs ms miss herr frau mme please bitte merci this that see section note flat apt room total claim form under for where patients requests any your our my we you it if is do not no all der die das ein eine le la les un une".split())
 INTRODUCED = re.compile(rf"[ :]*({WORD}{INITIAL}(?: [A-Z]\.)? {SURNAME}|{SURNAME}, {WORD}(?: [A-Z]\.)?)(?![A-Za-z])")
+PERSON = re.compile(rf"[ :,]+({WORD}{INITIAL} {SURNAME})(?![A-Za-z-])")
 GIVEN_FIRST = re.compile(rf"({WORD}(?:-{WORD})?)(?: [A-Z]\.| [A-Z](?= ))? ({SURNAME})(?![A-Za-z])")
 FAMILY_FIRST = re.compile(rf"({SURNAME}), $")
-FOLLOWED = re.compile(r"^[\s]*(?:asked about|can be reached|lives at|hat gestern|habite au|a posé|wohnhaft|先生|女士|也问过|现住|已搬)")
+FOLLOWED = re.compile(r"[\s]*(?:asked about|can be reached|lives at|hat gestern|habite au|a posé|wohnhaft|先生|女士|也问过|现住|已搬)")
 HAN_NAME = rf"(?:{'|'.join(FAMILY_TWO)}|[{FAMILY}])[{HAN}]{{1,2}}?"
 HAN_AFTER = re.compile(rf"[:： ]*({HAN_NAME})(?=确认|也|现|已|先生|女士|小姐|[，,。.（(、;；:：\s]|电话|的|$)")
 HAN_TITLED = re.compile(rf"((?:{'|'.join(FAMILY_TWO)}|[{FAMILY}])[{HAN}]{{0,2}})$")
@@ -100,8 +117,10 @@ INTRODUCTIONS = (
 )
 HAN_INTRODUCTIONS = ("请联系", "联系人", "我叫", "我是", "申请人", "签字人", "上周", "姓名", "经办人", "本人", "昨天", "患者", "根据", "收件人", "投保人", "被保险人", "负责人", "家属")
 TITLES = ("mr ", "mr. ", "mrs ", "mrs. ", "ms ", "ms. ", "miss ", "mx ", "mx. ", "dr ", "dr. ", "prof ", "prof. ", "professor ", "herr ", "herrn ", "frau ", "m. ", "mme ", "mme. ", "mlle ", "monsieur ", "madame ")
-STREETS = tuple("street road lane avenue close court drive place square terrace crescent garden mews boulevard highway parkway wharf".split()) + (" st.", " rd", " ln", " ave", " ct", " dr.", " pl.", " blvd", " way", " row", " walk", " parade", " grove", " alley", " quay", " rise")
-GERMAN_STREETS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "gasse ", "platz ", "damm ", "ufer ", "steig ", "pfad ", "chaussee ", "markt ", "hof ")
+#: Anchors of streets: the kinds that ``ENGLISH`` and ``GERMAN`` read, in full anywhere, short ones between a blank and what may follow them.
+STREET_WORDS = [w.removesuffix("s?").removesuffix("\\.?").lower() for w in STREET.removeprefix("(?:").removesuffix(")").split("|")]
+STREETS = tuple(w for w in STREET_WORDS if len(w) > 4) + tuple(f" {w}{after}" for w in STREET_WORDS if len(w) <= 4 for after in " .,;:!?)\"'\n\r")
+GERMAN_STREETS = tuple(f"{w} " for w in ("straße", "strasse", "str.", *"weg allee gasse platz damm ufer steig pfad ring hof markt chaussee".split()))
 FRENCH_STREETS = (" rue ", " avenue ", " av. ", " boulevard ", " bd ", " chemin ", " impasse ", " allée ", " quai ", " route ", " faubourg ")
 IDENTITY = ("passport", "reisepass", "personalausweis", "ausweis", "passeport", "carte d'identité", "identity card", "identity number", "identity checked", "identität geprüft", "id card", "national id", "ssn", "social security", "social insurance", "sozialversicherung", "sécurité sociale", "nino", "national insurance", "身份证", "护照", "社保")
 
@@ -111,7 +130,8 @@ def anchors() -> ahocorasick.Automaton:
     words: dict[str, tuple[str, int]] = {}
     for kind, group in (
         ("given", GIVEN), ("intro", INTRODUCTIONS), ("han", HAN_INTRODUCTIONS), ("title", TITLES), ("street", STREETS), ("german", GERMAN_STREETS),
-        ("french", FRENCH_STREETS), ("identity", IDENTITY), ("han_title", ("先生", "女士", "小姐", "太太")), ("han_street", ("号", "弄", "栋")), ("mail", ("@", "at]", "at)", "at}", "at>", " dot ")),
+        ("french", FRENCH_STREETS), ("identity", IDENTITY), ("han_title", ("先生", "女士", "小姐", "太太")), ("han_street", ("号", "弄", "栋")), ("mail", ("@", " dot ", *(f"{at}{gap}{close}" for at in ("at", "ät") for gap in ("", " ") for close in "])}>"))),
+        ("digit", tuple("0123456789")), ("person", PERSONAL),
     ):
         for w in group:
             words.setdefault(w, (kind, len(w)))
@@ -151,50 +171,109 @@ def _good_name(words: list[str]) -> bool:
     return all(w.lower().strip(".'’") not in NOT_A_NAME for w in words)
 
 
+def _is_citizen(number: str) -> bool:
+    """Whether a Chinese citizen number holds a day of the calendar and its check digit."""
+    digits = re.sub("[ -]", "", number).upper()
+    try:
+        dt.date(int(digits[6:10]), int(digits[10:12]), int(digits[12:14]))
+    except ValueError:
+        return False
+    return "10X98765432"[sum(int(d) << 17 - k for k, d in enumerate(digits[:17])) % 11] == digits[17]
+
+
+def _is_social(number: str) -> bool:
+    """Whether none of a social security number's parts is one that is never given."""
+    area, group, serial = re.split("[ -]", number)
+    return area not in ("000", "666") and group != "00" and serial != "0000"
+
+
+def _is_mail(address: str) -> bool:
+    """Whether the domain is made of labels of at most 63 characters, the last of them no number."""
+    labels = re.split(r"[.]|dot|punkt|point", re.split(r"@|[\[({<] ?[aä]t ?[\])}>]| at ", address, flags=re.IGNORECASE)[-1])
+    return len(labels) > 1 and all(0 < len(x.strip(" []{}()<>")) <= 63 for x in labels) and not labels[-1].strip(" []{}()<>").isdigit()
+
+
+LOCAL = frozenset("0123456789.%+'-_")
+
+
+def _mails(flat: str, hits: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    """E-mail addresses around the at-signs, read to the left as far as a user part goes and to the right over the domain."""
+    out: list[tuple[int, int]] = []
+    for end, kind, size in hits:
+        if kind != "mail" or (out and end <= out[-1][1]):
+            continue
+        low = end - size
+        if flat[low] == " ":  # ' dot ' of 'name at mail dot com'
+            low = max(0, flat.rfind(" at ", max(0, low - 80), low))
+        while low > 0 and flat[low - 1] in " [({<" and end - size - low < 3:
+            low -= 1
+        user = low
+        while low > 0 and user - low <= 64 and (flat[low - 1].isalpha() or flat[low - 1] in LOCAL):
+            low -= 1
+        if user - low > 64:  # no user part is longer
+            continue
+        m = EMAIL.search(flat, max(low, out[-1][1] if out else 0), min(len(flat), end + 260))
+        if m and m.start() < end <= m.end() and _is_mail(m.group()):
+            out.append(m.span())
+    return out
+
+
+def _numbers(flat: str, at: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Where the digits that begin at ``at`` end, and the numbers of persons and phones among them."""
+    run = DIGITS.match(flat, at)
+    stop = run.end()
+    if sum(map(str.isdigit, run.group())) < 6:
+        return stop, []
+    low, high = max(0, at - 6), min(len(flat), stop + 4)
+    ledger = LEDGER.search(flat[max(0, at - 20) : at]) is not None
+    found = [(*m.span(), "id_number") for m in CITIZEN.finditer(flat, low, high) if not ledger and _is_citizen(m.group())]
+    found += [(*m.span(), "id_number") for m in SOCIAL.finditer(flat, low, high) if _is_social(m.group())]
+    found += [(*m.span(), "id_number") for m in INSURANCE.finditer(flat, low, high)]
+    if not found:
+        found = [(*m.span(), "phone") for m in PHONE.finditer(flat, low, high) if not (ledger and m.group().isdigit())]
+    return stop, found
+
+
 def _mentions(flat: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     lower = flat.lower()
     if len(lower) != len(flat):
         lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in flat)
-    hits = [(end + 1, *value) for end, value in anchors().iter(lower)]
+    hits = [(end + 1, *value) for end, value in anchors().iter(f"{lower} ") if end < len(flat) or value[0] in ("street", "german")]
+    hits = [(min(end, len(flat)), kind, size - max(0, end - len(flat))) for end, kind, size in hits]
     kinds = {h[1] for h in hits}
 
-    if "mail" in kinds:
-        mails = [m.span() for m in EMAIL.finditer(flat)]
-        if mails:
-            found += [(a, b, "email") for a, b in mails]
-            for a, b in mails:
-                flat = flat[:a] + "\x00" * (b - a) + flat[b:]
-
-    if GROUPED.search(flat):
-        taken = []
-        for pattern in (CITIZEN, SOCIAL, INSURANCE):
-            for m in pattern.finditer(flat):
-                if pattern is not CITIZEN or not LEDGER.search(flat[max(0, m.start() - 20) : m.start()]):
-                    taken.append(m.span())
-        found += [(a, b, "id_number") for a, b in taken]
-        for m in PHONE.finditer(flat):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                bare = m.group().isdigit() and len(m.group()) == 10 and m.group()[0] != "0"
-                if not (bare and LEDGER.search(flat[max(0, m.start() - 20) : m.start()])):
-                    found.append((*m.span(), "phone"))
-        for m in GERMAN_CODE.finditer(flat):
-            found.append((*m.span(), "address"))
-
+    mails = _mails(flat, hits) if "mail" in kinds else []
+    if mails:
+        found += [(a, b, "email") for a, b in mails]
+        rest, at = [], 0
+        for a, b in mails:
+            rest += [flat[at:a], "\x00" * (b - a)]
+            at = b
+        flat = "".join([*rest, flat[at:]])
+
+    digits_end = -1
+    everywhere = flat.isupper()
     seen_street = -1
     for end, kind, size in hits:
         start = end - size
-        if kind == "identity":
+        if kind == "digit":
+            if start >= digits_end and flat[start] != "\x00":
+                digits_end, numbers = _numbers(flat, start)
+                found += numbers
+                if digits_end - start == 5 and flat[digits_end : digits_end + 1] == " ":
+                    found += [(*m.span(), "address") for m in GERMAN_CODE.finditer(flat, max(0, start - 120), min(len(flat), end + 60))]
+        elif kind == "identity":
             if flat[start - 1 : start].isascii() and flat[start - 1 : start].isalpha():
                 continue
             m = CUED.match(flat, end)
             if m and sum(c.isdigit() for c in m.group(1)) >= 6:
                 found.append((*m.span(1), "id_number"))
-        elif kind == "street" and start > seen_street:
-            for m in (CAPITALS if flat.isupper() else ENGLISH).finditer(flat, max(0, start - BEFORE_STREET), min(len(flat), end + 24)):
+        elif kind == "street" and start > seen_street and ANY_DIGIT.search(flat, max(0, start - BEFORE_STREET), start):
+            for m in (CAPITALS if everywhere else ENGLISH).finditer(flat, max(0, start - BEFORE_STREET), min(len(flat), end + 24)):
                 found.append((*m.span(), "address"))
                 seen_street = m.end()
-        elif kind == "german":
+        elif kind == "german" and flat[end : end + 1].isdigit():
             for m in GERMAN.finditer(flat, max(0, start - BEFORE_STREET), min(len(flat), end + 30)):
                 found.append((*m.span(), "address"))
         elif kind == "french":
@@ -214,7 +293,11 @@ def _mentions(flat: str) -> list[tuple[int, int, str]]:
             if start and flat[start - 1].isalpha() and flat[start - 1].isascii():
                 continue
             m = INTRODUCED.match(flat, end)
-            if m and _good_name(re.split(r"[ ,]+", m.group(1))) and (lower[start:end] not in ("laut", "selon", "name:", "contact:", "according to") or FOLLOWED.match(flat[m.end() :]) or flat[m.end() : m.end() + 1] in ",.;:("):
+            if m and _good_name(re.split(r"[ ,]+", m.group(1))) and (lower[start:end] not in ("laut", "selon", "name:", "contact:", "according to") or FOLLOWED.match(flat, m.end()) or flat[m.end() : m.end() + 1] in ",.;:("):
+                found.append((*m.span(1), "name"))
+        elif kind == "person":
+            m = None if start and flat[start - 1].isalpha() else PERSON.match(flat, end)
+            if m and _good_name(words := m.group(1).split(" ")) and not any(w.lower().strip(".") in NO_PERSON for w in words):
                 found.append((*m.span(1), "name"))
         elif kind == "given":
             if start and (flat[start - 1].isalpha() and flat[start - 1].isascii() or flat[start - 1] in "-'.\x00") or not flat[start].isupper() or (end < len(flat) and flat[end].isalpha() and flat[end].isascii()):
@@ -247,13 +330,12 @@ def find_mentions(text: str | None) -> list[tuple[int, int, str]]:
     if places is not None:
         found = [(places[a], places[b - 1] + 1, k) for a, b, k in found]
     rank = {k: i for i, k in enumerate(KINDS)}
-    out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int, str]] = []  # in order of place, without overlaps
     for a, b, k in sorted(set(found), key=lambda f: (rank[f[2]], f[0], -f[1])):
-        if not any(x < b and a < y for x, y in taken):
-            taken.append((a, b))
-            out.append((a, b, k))
-    return sorted(out)
+        at = bisect_left(taken, (a, b, k))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+            insort(taken, (a, b, k))
+    return taken
 
 
 def mask(text: str | None) -> str | None:

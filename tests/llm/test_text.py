@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -338,3 +339,29 @@ def test_long_lines_can_be_headers_and_numbers_between_long_rules(spark):
     df = spark.createDataFrame(rows, "result_id bigint, file_id bigint, page_no int, pages int, text string")
     got = {(r.result_id, r.kind) for r in ocr_repair.furniture(df).collect()}
     assert {(k, kind) for k in range(1, 7) for kind in ("header", "page_number", "marks")} <= got
+
+
+def test_long_texts_full_of_mentions_take_time_by_their_length():
+    piece = "Write to edwin.lund@clinic.example.com or ring 07700 900590; Mrs Yarlsberg lives at 12 Foxglove Road, her number is 974-81-6808. "
+    took = []
+    for n in (2_000, 8_000):
+        began = time.perf_counter()
+        assert len(pii.find_mentions(piece * n)) == 5 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] and pii.find_mentions("7" * 200_000) == [] and pii.find_mentions("@" * 200_000) == [] and pii.find_mentions("a" * 300_000 + "@") == []
+
+
+def test_numbers_and_domains_are_validated():
+    kinds = lambda x: {k for _, _, k in pii.find_mentions(x)}
+    assert kinds("Signed (998431197410013555).") == {"id_number"} and kinds("Signed (998431197410013554).") == set() and kinds("Signed (998431197413413555).") == set()
+    assert kinds("See 123-45-6789.") == {"id_number"} and kinds("See 666-45-6789.") == set() and kinds("See 123-00-6789.") == set()
+    assert kinds("invoice 0301234567 is due") == set() and kinds("ring 0301234567 today") == {"phone"}
+    assert kinds("x@mail.example") == {"email"} and kinds("x" * 65 + "@mail.example") == set() and kinds(f"x@{'m' * 64}.example") == set() and kinds("665@4.50") == set()
+
+
+def test_names_that_no_list_knows_and_every_form_of_street_and_at_sign():
+    assert [k for _, _, k in pii.find_mentions("Please ask Ayodele Okonkwo about it, not Customer Care; please ask Customer Care.")] == ["name"]
+    for x in ("12 Baker St, Leeds", "5 Hill Sq", "Kaiserring 12 bis", "9 Elm Rd\n", *(f"12 Foxglove {w.capitalize()}." for w in pii.STREET_WORDS)):
+        assert [k for _, _, k in pii.find_mentions(x)] == ["address"], x
+    for at in ("@", "[at]", "[ at ]", "(at)", "( at )", "{at}", "<at>", "[ät]", "( ät )"):
+        assert [k for _, _, k in pii.find_mentions(f"write to ann.lee{at}mail.example now")] == ["email"], at
