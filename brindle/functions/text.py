@@ -20,12 +20,12 @@ def words(c: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """Index terms: words of letters and digits of at most 40 characters; runs of Han characters as overlapping pairs.
+    """Index terms: words of letters and digits, however long; runs of Han characters as overlapping pairs.
 
     Single Han characters stand alone. Words come first, then pairs, each in order of appearance.
     """
     text = F.lower(F.coalesce(as_column(c), F.lit("")))
-    plain = F.filter(F.regexp_extract_all(F.regexp_replace(text, HAN_RUN, " "), F.lit(WORD), F.lit(0)), lambda w: F.length(w) <= 40)
+    plain = F.regexp_extract_all(F.regexp_replace(text, HAN_RUN, " "), F.lit(WORD), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(HAN_RUN), F.lit(0))
     pairs = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2))))))
     return F.concat(plain, pairs)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import lines
+from brindle.functions.text import lines, tokens
+from brindle.session import spread
 
 
 def grep_lines(docs: DataFrame, doc_id: str, text: Column, pattern: str, ignore_case: bool = True, context: int = 0) -> DataFrame:
@@ -29,3 +30,15 @@ def grep_documents(docs: DataFrame, doc_id: str, text: Column, pattern: str, ful
     return hits.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("matches"), F.substring(F.min_by("line", "line_no"), 1, 200).alias("first_line"), F.round(F.log1p(F.count(F.lit(1)).cast("double")) / F.log1p(F.lit(float(full))), 6).alias("score")
     )
+
+
+def count_lines(docs: DataFrame, doc_id: str, text: Column, terms: DataFrame) -> DataFrame:
+    """Rows (query_id, doc_id, matches) for rows (query_id, term): lines that hold any of a query's terms, each once.
+
+    A document's lines are gathered by term before the queries are joined, so a frequent term brings one row a document.
+    """
+    rows = spread(docs).select(F.col(doc_id).alias("doc_id"), F.posexplode(lines(text)).alias("line_no", "line"))
+    held = rows.select("doc_id", "line_no", F.explode(F.array_distinct(tokens("line"))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    per_term = held.groupBy("term", "doc_id").agg(F.collect_list("line_no").alias("at"))
+    met = per_term.join(terms, "term").groupBy("query_id", "doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("matches"))
+    return met

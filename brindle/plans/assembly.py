@@ -9,9 +9,9 @@ from brindle.functions import masking
 from brindle.functions import text as T
 from brindle.functions.clean import key_form
 from brindle.functions.conditions import conditions
-from brindle.operators import index
+from brindle.operators import index, recall
 from brindle.plans.base import Registry
-from brindle.plans.retrieval import ALL_FIELDS, _docs, _fields, _terms, bm25_sql
+from brindle.plans.retrieval import ALL_FIELDS, _index, _terms, bm25_sql
 from brindle.plans.sql import key_sql
 from brindle.sources.tables import table
 
@@ -27,7 +27,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, doc_id, md5(piece) AS piece_md5, CAS
 )
 def context_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Heads of each query's ten best documents, as many as fit into 1,500 characters."""
-    best = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d))
+    best = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d))
     pieces = best.join(table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.snippet("text", 300).alias("piece")), "doc_id")
     upto = F.sum(F.length("piece").cast("bigint")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return pieces.withColumn("upto", upto).where("upto <= 1500").select("query_id", "rank", "doc_id", F.md5("piece").alias("piece_md5"), "upto")
@@ -42,7 +42,7 @@ SELECT category, CAST(place AS INT) AS place, doc_id, score, variants FROM z WHE
 )
 def merged_variants(spark: SparkSession, d: str) -> DataFrame:
     """Hits of all queries of a category made into one list: each document once, by its best score."""
-    best = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), k=5)
+    best = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), k=5)
     groups = table(spark, d, "eval_items", "item_id", "category").select(F.col("item_id").alias("query_id"), F.coalesce("category", F.lit("")).alias("category"))
     merged = best.join(groups, "query_id").groupBy("category", "doc_id").agg(F.max("score").alias("score"), F.countDistinct("query_id").alias("variants"))
     placed = merged.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "doc_id"))).where("place <= 25")
@@ -52,27 +52,25 @@ def merged_variants(spark: SparkSession, d: str) -> DataFrame:
 @register(
     """WITH l AS (SELECT lower(trim(query)) AS question, max(id) AS id FROM search_logs WHERE success = 1 AND query IS NOT NULL AND answer IS NOT NULL GROUP BY 1),
 e AS (SELECT item_id, lower(trim(query)) AS asked FROM eval_items WHERE query IS NOT NULL),
-m AS (SELECT item_id, id, CASE WHEN question = asked THEN 1 ELSE 2 END AS class FROM e JOIN l ON substr(question, 1, 20) = substr(asked, 1, 20)),
+m AS (SELECT item_id, id, CASE WHEN question = asked THEN 1 WHEN contains(question, substr(asked, 1, 20)) THEN 2 WHEN contains(question, substr(asked, 1, 4)) THEN 3 ELSE 4 END AS class FROM e JOIN l ON contains(question, substr(asked, 1, 2)) WHERE asked <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY class, id DESC) AS place FROM m)
 SELECT item_id, CAST(place AS INT) AS place, id, CAST(class AS INT) AS class FROM r WHERE place <= 3"""
 )
 def recalled_questions(spark: SparkSession, d: str) -> DataFrame:
-    """For each query the three best questions of the log: the same one first, then those that begin alike, newest first."""
+    """For each query the three best questions of the log: the same one first, then those that hold its first 20, 4 or 2 characters anywhere, newest first."""
     logs = table(spark, d, "search_logs", "id", "query", "answer", "success").where("success = 1 and query is not null and answer is not null")
-    known = logs.groupBy(F.lower(F.trim("query")).alias("question")).agg(F.max("id").alias("id")).withColumn("start", F.substring("question", 1, 20))
-    asked = table(spark, d, "eval_items", "item_id", "query").where("query is not null").select("item_id", F.lower(F.trim("query")).alias("asked")).withColumn("start", F.substring("asked", 1, 20))
-    matched = asked.join(known, "start").withColumn("class", F.when(F.col("question") == F.col("asked"), 1).otherwise(2))
-    placed = matched.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("class", F.desc("id")))).where("place <= 3")
-    return placed.select("item_id", "place", "id", "class")
+    known = logs.groupBy(F.lower(F.trim("query")).alias("question")).agg(F.max("id").alias("id"))
+    asked = table(spark, d, "eval_items", "item_id", "query").where("query is not null").select("item_id", F.lower(F.trim("query")).alias("asked"))
+    return recall.recalled(asked, known, "item_id", "asked", "question", "id", (20, 4, 2), 3).select("item_id", "place", "id", "class")
 
 
 @register(
-    f"""WITH e AS (SELECT {key_sql('token_id')} AS token_id, CAST(created_at AS DATE) AS day, id, endpoint, row_number() OVER (PARTITION BY {key_sql('token_id')}, CAST(created_at AS DATE) ORDER BY created_at DESC, id DESC) AS place FROM auth_log WHERE created_at IS NOT NULL AND method IN ('GET', 'POST'))
+    f"""WITH e AS (SELECT {key_sql('token_id')} AS token_id, CAST(created_at AS DATE) AS day, id, endpoint, row_number() OVER (PARTITION BY {key_sql('token_id')}, CAST(created_at AS DATE) ORDER BY created_at DESC, id DESC) AS place FROM auth_log WHERE created_at IS NOT NULL)
 SELECT token_id, strftime(day, '%Y-%m-%d') AS day, CAST(place AS INT) AS place, id, endpoint FROM e WHERE place <= 10 AND token_id IS NOT NULL"""
 )
 def last_requests(spark: SparkSession, d: str) -> DataFrame:
     """The last ten requests of each token and day."""
-    log = table(spark, d, "auth_log", "id", "token_id", "endpoint", "method", "created_at").where("created_at is not null and method in ('GET', 'POST')")
+    log = table(spark, d, "auth_log", "id", "token_id", "endpoint", "created_at").where("created_at is not null")
     keyed = log.select(key_form("token_id").alias("token_id"), F.date_format("created_at", "yyyy-MM-dd").alias("day"), "id", "endpoint", "created_at").where("token_id is not null")
     place = F.row_number().over(Window.partitionBy("token_id", "day").orderBy(F.desc("created_at"), F.desc("id")))
     return keyed.withColumn("place", place).where("place <= 10").select("token_id", "day", "place", "id", "endpoint")

@@ -2,32 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import fusion, grep, index
 from brindle.plans.base import Registry
-from brindle.sources.tables import table
+from brindle.sources.tables import is_kept, kept_folder, table
 
 register = Registry()
 
 TOK = (
-    "list_concat(list_filter(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '[\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) <= 40), "
+    "list_concat(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), '[\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+'), "
     "flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"
 )
 KEYWORDS = "array_to_string(keywords, ' ')"
 
 
-def _fields(boosts: dict[str, float] | None = None) -> dict:
-    columns = {"title": F.col("title"), "text": F.col("text"), "keywords": F.array_join("keywords", " "), "filename": F.col("filename")}
-    return {k: (columns[k], b) for k, b in (boosts or dict.fromkeys(columns, 1.0)).items()}
-
-
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "title", "text", "keywords", "filename", "source")
 
 
+def _index(spark: SparkSession, d: str) -> index.Index:
+    """The index of the documents, kept in the shared folder: built once for a state of their files, then read."""
+    docs = _docs(spark, d)
+    fields = {"title": F.col("title"), "text": F.col("text"), "keywords": F.array_join("keywords", " "), "filename": F.col("filename")}
+    folder = kept_folder(docs, "index")
+    if not is_kept(spark, folder):
+        index.save(index.build(docs, "doc_id", fields), folder)
+    return index.load(spark, folder)
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     return index.query_terms(table(spark, d, "eval_items", "item_id", "query"), "item_id", F.col("query"))
 
@@ -55,14 +60,13 @@ TOP = "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score, matched FROM {
 @register(" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS documents, CAST(sum(len(t)) AS BIGINT) AS terms, round(avg(len(t)), 4) AS mean_length FROM (SELECT {TOK.format(c)} AS t FROM documents)" for f, c in (("title", "title"), ("text", "text"), ("keywords", KEYWORDS), ("filename", "filename"))))
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     """Documents, terms and mean length of each field."""
-    columns = {k: c for k, (c, _) in _fields().items()}
-    return index.corpus_statistics(_docs(spark, d), "doc_id", columns).withColumn("mean_length", F.round("mean_length", 4))
+    return _index(spark, d).statistics().withColumn("mean_length", F.round("mean_length", 4))
 
 
 @register(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY term")
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Every term of the texts with its documents and occurrences."""
-    return index.postings(_docs(spark, d), "doc_id", {"text": F.col("text")}).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return _index(spark, d).postings("text").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @register(f"SELECT item_id AS query_id, term FROM (SELECT DISTINCT item_id, unnest({TOK.format('query')}) AS term FROM eval_items)")
@@ -74,25 +78,25 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 @register(bm25_sql(ALL_FIELDS, TOP.format("ranked")))
 def bm25_top10(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents of each query over all fields."""
-    return index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d))
+    return index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d))
 
 
 @register(bm25_sql(ALL_FIELDS | {"title": 3.0}, TOP.format("ranked")))
 def bm25_title_boost(spark: SparkSession, d: str) -> DataFrame:
     """The same with titles counting three times."""
-    return index.bm25(_docs(spark, d), "doc_id", _fields(ALL_FIELDS | {"title": 3.0}), _terms(spark, d))
+    return index.bm25(_index(spark, d), ALL_FIELDS | {"title": 3.0}, _terms(spark, d))
 
 
 @register(bm25_sql({"title": 1.0}, TOP.format("ranked")))
 def bm25_field(spark: SparkSession, d: str) -> DataFrame:
     """The ten best documents by title alone."""
-    return index.bm25(_docs(spark, d), "doc_id", _fields({"title": 1.0}), _terms(spark, d))
+    return index.bm25(_index(spark, d), {"title": 1.0}, _terms(spark, d))
 
 
 @register(bm25_sql(ALL_FIELDS, "SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score, matched FROM ranked WHERE rank > 10 AND rank <= 20"))
 def bm25_paged(spark: SparkSession, d: str) -> DataFrame:
     """The second page of ten."""
-    return index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), k=10, offset=10)
+    return index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), k=10, offset=10)
 
 
 @register(
@@ -103,26 +107,26 @@ def bm25_paged(spark: SparkSession, d: str) -> DataFrame:
 )
 def bm25_all_then_any(spark: SparkSession, d: str) -> DataFrame:
     """Documents with all terms of the query where there are any, else with some of them."""
-    return index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), all_then_any=True)
+    return index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), all_then_any=True)
 
 
 @register(bm25_sql(ALL_FIELDS, "SELECT query_id, count(*) AS documents, max(matched) AS most_matched, max(score) AS best FROM s GROUP BY query_id"))
 def match_count(spark: SparkSession, d: str) -> DataFrame:
     """How many documents match each query, and how well."""
-    every = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), k=None)
+    every = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), k=None)
     return every.groupBy("query_id").agg(F.count(F.lit(1)).alias("documents"), F.max("matched").alias("most_matched"), F.max("score").alias("best"))
 
 
 @register(bm25_sql(ALL_FIELDS, "SELECT DISTINCT query_id, title FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10 AND title IS NOT NULL"))
 def suggest_titles(spark: SparkSession, d: str) -> DataFrame:
     """Distinct titles of each query's best documents."""
-    best = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d))
+    best = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d))
     return best.join(table(spark, d, "documents", "doc_id", "title"), "doc_id").where("title is not null").select("query_id", "title").distinct()
 
 
 def _per_field(spark: SparkSession, d: str, how: str) -> DataFrame:
     terms = _terms(spark, d)
-    by = {f: index.bm25(_docs(spark, d), "doc_id", _fields({f: 1.0}), terms, k=None).select("query_id", "doc_id", F.col("score").alias(f)) for f in ("title", "text")}
+    by = {f: index.bm25(_index(spark, d), {f: 1.0}, terms, k=None).select("query_id", "doc_id", F.col("score").alias(f)) for f in ("title", "text")}
     both = by["title"].join(by["text"], ["query_id", "doc_id"], how)
     scored = both.select("query_id", "doc_id", F.round(F.coalesce("title", F.lit(0.0)) + F.coalesce("text", F.lit(0.0)), 6).alias("score"))
     ranked = fusion.rank_within(scored, ["query_id"], "score", "doc_id").where("rank <= 10")
@@ -173,8 +177,7 @@ PATTERNS = ("reimburs*", "treat*t", "p?rcent", "versicher*", "20?4")
 )
 def wildcard_search(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the texts that match patterns with * and ?."""
-    posted = index.postings(_docs(spark, d), "doc_id", {"text": F.col("text")})
-    return index.wildcard_terms(posted, spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
+    return index.wildcard_terms(_index(spark, d).postings("text"), spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"))
 
 
 MONEY = "(EUR|USD|CNY) [0-9,]+"
@@ -199,26 +202,24 @@ def grep_by_doc(spark: SparkSession, d: str) -> DataFrame:
     return grep.grep_documents(table(spark, d, "documents", "doc_id", "text"), "doc_id", F.col("text"), MONEY)
 
 
-HYBRID = "outpatient treatment reimbursement"
-
-
 @register(
-    bm25_sql(ALL_FIELDS, "").replace("FROM eval_items", f"FROM (SELECT 1 AS item_id, '{HYBRID}' AS query)").rstrip()
+    bm25_sql(ALL_FIELDS, "").rstrip()
     + f""",
-b AS (SELECT doc_id, rank FROM ranked WHERE rank <= 1000),
-g0 AS (SELECT doc_id, count(*) AS matches FROM ({_LINES}) WHERE regexp_matches(line, '(?i){HYBRID.replace(" ", "|")}') GROUP BY doc_id),
-g AS (SELECT doc_id, row_number() OVER (ORDER BY matches DESC, doc_id) AS rank FROM g0)
-SELECT doc_id, round(sum(part), 8) AS rrf_score, count(*) AS sources FROM (SELECT doc_id, 0.6::DOUBLE / (60 + rank) AS part FROM b UNION ALL SELECT doc_id, 0.4::DOUBLE / (60 + rank) FROM g WHERE rank <= 1000) GROUP BY doc_id"""
+l AS (SELECT doc_id, line_no, unnest(list_distinct({TOK.format("line")})) AS term FROM ({_LINES})),
+g AS (SELECT query_id, doc_id, count(DISTINCT line_no) AS matches FROM l JOIN q USING (term) GROUP BY ALL),
+gr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, doc_id) AS rank FROM g),
+z AS (SELECT query_id, doc_id, round(sum(part), 8) AS rrf_score, count(*) AS sources FROM (SELECT query_id, doc_id, 0.6::DOUBLE / (60 + rank) AS part FROM ranked UNION ALL SELECT query_id, doc_id, 0.4::DOUBLE / (60 + rank) FROM gr) GROUP BY ALL),
+y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM z)
+SELECT query_id, CAST(rank AS INT) AS rank, doc_id, rrf_score, sources FROM y WHERE rank <= 10"""
 )
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Ranking by terms and ranking by matching lines made into one (the best 1,000 of each)."""
-    docs = _docs(spark, d)
-    asked = spark.createDataFrame([(1, HYBRID)], "item_id bigint, query string")
-    by_term = index.bm25(docs, "doc_id", _fields(), index.query_terms(asked, "item_id", F.col("query")), k=1000).select("doc_id", "rank")
-    found = grep.grep_documents(docs, "doc_id", F.col("text"), HYBRID.replace(" ", "|"))
-    by_line = found.orderBy(F.desc("matches"), "doc_id").limit(1000)
-    by_line = by_line.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("matches"), "doc_id"))).select("doc_id", "rank")  # at most 1,000 rows
-    return fusion.reciprocal_rank_fusion([(by_term, 0.6), (by_line, 0.4)], [], "doc_id")
+    """For each query, ranking by terms and ranking by the number of lines that hold any of them made into one; its ten best documents."""
+    terms = _terms(spark, d)
+    by_term = index.bm25(_index(spark, d), ALL_FIELDS, terms, k=None).select("query_id", "doc_id", "rank")
+    matches = grep.count_lines(_docs(spark, d), "doc_id", F.col("text"), terms)
+    by_line = fusion.rank_within(matches, ["query_id"], "matches", "doc_id").select("query_id", "doc_id", "rank")
+    fused = fusion.reciprocal_rank_fusion([(by_term, 0.6), (by_line, 0.4)], ["query_id"], "doc_id")
+    return fusion.rank_within(fused, ["query_id"], "rrf_score", "doc_id").where("rank <= 10").select("query_id", "rank", "doc_id", "rrf_score", "sources")
 
 
 _INDEXED = bm25_sql(ALL_FIELDS, "").rstrip() + """,
@@ -231,7 +232,7 @@ t AS (SELECT *, min(score) OVER (PARTITION BY query_id, index_name) AS low, max(
 @register(_INDEXED + "SELECT query_id, index_name, doc_id, CAST(own_rank AS INT) AS rank, round(CASE WHEN high = low THEN 1.0 ELSE (score - low) / (high - low) END, 4) AS normalized, round(1.0::DOUBLE / (60 + own_rank), 8) AS rrf_score FROM t")
 def multi_index_rrf(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best of each index (the first part of the source), normalised within it, with their fusion scores."""
-    every = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), k=None)
+    every = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), k=None)
     placed = every.drop("rank").join(table(spark, d, "documents", "doc_id", "source").where("source is not null"), "doc_id").withColumn("index_name", F.split_part("source", F.lit("/"), F.lit(1)))
     best = fusion.rank_within(placed, ["query_id", "index_name"], "score", "doc_id").where("rank <= 20")
     scaled = fusion.min_max(best, ["query_id", "index_name"], "score")
@@ -241,7 +242,7 @@ def multi_index_rrf(spark: SparkSession, d: str) -> DataFrame:
 @register(_INDEXED + "SELECT query_id, index_name, count(*) AS hits, max(score) AS best FROM t GROUP BY ALL")
 def route_by_results(spark: SparkSession, d: str) -> DataFrame:
     """How well each index serves each query, by its twenty best documents."""
-    every = index.bm25(_docs(spark, d), "doc_id", _fields(), _terms(spark, d), k=None)
+    every = index.bm25(_index(spark, d), ALL_FIELDS, _terms(spark, d), k=None)
     placed = every.drop("rank").join(table(spark, d, "documents", "doc_id", "source").where("source is not null"), "doc_id").withColumn("index_name", F.split_part("source", F.lit("/"), F.lit(1)))
     best = fusion.rank_within(placed, ["query_id", "index_name"], "score", "doc_id").where("rank <= 20")
     return best.groupBy("query_id", "index_name").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"))

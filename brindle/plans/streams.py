@@ -40,7 +40,7 @@ SELECT category, at_us FROM r"""
 def stream_rate_limited(spark: SparkSession, d: str) -> DataFrame:
     """Error events of each user at most every five minutes."""
     stream = jobs.stream_table(spark, f"{d}/events.parquet").where("event_type = 'error'")
-    return jobs.collect_updates(jobs.rate_limited(stream, "ts", "user_id").withColumnRenamed("at", "at_us"), ["category", "at_us"], "append")
+    return jobs.collect_updates(jobs.rate_limited(stream, "ts", "user_id").withColumnRenamed("at", "at_us"), ["category", "at_us"], "complete")
 
 
 @register(

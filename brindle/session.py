@@ -32,7 +32,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``, else one of our own (tests)."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; in local mode, where it is unset (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if folder:
@@ -40,6 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(folder)
         return folder
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-checkpoint-"))

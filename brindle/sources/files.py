@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 #: Above this size a file's hash is its time of change.
 LARGE = 50 * 1024 * 1024
-#: Largest text file that is read.
-LARGEST_TEXT = 5 * 1024 * 1024
 #: Limits of archives: members, unpacked bytes, archives within archives.
 MEMBERS, UNPACKED, DEPTH = 10_000, 512 * 1024 * 1024, 3
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
@@ -50,10 +48,11 @@ def decode(raw: bytes | None) -> str | None:
     return None
 
 
-def read_texts(spark: SparkSession, root: str, suffixes: Sequence[str] = (".md", ".txt"), largest: int = LARGEST_TEXT) -> DataFrame:
-    """Rows (path, text) of text files; a .txt file gets its stem as a heading. Larger files are left out, as their sizes show."""
+def read_texts(spark: SparkSession, root: str, suffixes: Sequence[str] = (".md", ".txt"), largest: int | None = None) -> DataFrame:
+    """Rows (path, text) of text files, however large; a .txt file gets its stem as a heading. With ``largest``, files of more bytes have a null text."""
     fix = F.pandas_udf(lambda s: s.map(decode), "string")
-    df = _files(spark, root, suffixes).where(F.col("length") <= largest).select("path", fix("content").alias("text"))
+    content = F.col("content") if largest is None else F.when(F.col("length") <= largest, F.col("content"))
+    df = _files(spark, root, suffixes).select("path", fix(content).alias("text"))
     stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
     return df.select("path", F.when(F.lower("path").endswith(".txt"), F.concat(F.lit("# "), stem, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text")).alias("text"))
 

@@ -31,11 +31,18 @@ def write_version(df: DataFrame, folder: str, *partition: str) -> int:
     stream = fs.create(draft, True)
     stream.write(bytearray(f"{number}\n".encode()))
     stream.close()
-    fs.delete(pointer, False)
-    fs.rename(draft, pointer)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, pointer, _overwrite(spark))
     return number
 
 
+def _overwrite(spark: SparkSession):
+    """The option by which a rename replaces its target in one step."""
+    gateway = spark.sparkContext._gateway
+    options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    return options
+
+
 def read_version(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
     return spark.read.parquet(f"{folder}/v{number or current_version(spark, folder)}")
 

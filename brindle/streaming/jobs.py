@@ -7,13 +7,12 @@ batch, so a batch that is repeated after a failure replaces itself.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brindle.functions.text import words
 from brindle.operators.snapshots import latest
@@ -73,43 +72,63 @@ def debounced(changes: DataFrame, time: str, path: str, action: str, quiet: str
     return bursts.select(path, "at", "action")
 
 
-def rate_limited(alerts: DataFrame, time: str, category: str, seconds: int = 300) -> DataFrame:
+def rate_limited(alerts: DataFrame, time: str, category: str, seconds: int = 300, late: str = "1 day") -> DataFrame:
     """Rows (category, at): alerts that come ``seconds`` or more after the last one sent of their category.
 
-    The time of the last one sent is the state of its category; within a batch alerts are taken in order of time.
+    Alerts are made distinct times of a burst first; a burst ends with a gap of ``seconds``, after which the next alert
+    is sent whatever was sent before. So each burst, put out once the watermark has passed it, is decided by itself, no
+    state outlives it, and the alerts of a busy category are spread over its bursts. Alerts that are later than ``late``
+    are left out.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t for frame in frames for t in frame["at"].astype("int64"))
-        sent = []
-        for t in times:
-            if last is None or t - last >= seconds * 1_000_000:
-                sent.append(t)
-                last = t
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"category": [key[0]] * len(sent), "at": pd.Series(sent, dtype="int64")})
+    @F.pandas_udf("array<bigint>")
+    def sent(bursts: pd.Series) -> pd.Series:
+        def choose(times) -> list[int]:
+            out: list[int] = []
+            for t in sorted(times):
+                if not out or t - out[-1] >= seconds * 1_000_000:
+                    out.append(int(t))
+            return out
 
-    timed = alerts.where(F.col(category).isNotNull() & F.col(time).isNotNull()).select(F.col(category).cast("string").alias("category"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
-    return timed.groupBy("category").applyInPandasWithState(run, "category string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+        return bursts.map(choose)
+
+    timed = alerts.where(F.col(category).isNotNull() & F.col(time).isNotNull()).select(F.col(category).cast("string").alias("category"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
+    bursts = timed.groupBy("category", F.session_window("time", f"{seconds} seconds")).agg(F.collect_set(F.unix_micros("time")).alias("times"))
+    return bursts.select("category", F.explode(sent("times")).alias("at"))
+
+
+#: Folders of a kept index, by the hash of the document.
+BUCKETS = 32
 
 
 def keep_index(changes: DataFrame, folder: str, doc_id: str, text: str, deleted: str) -> None:
-    """Works changes of documents into the postings (doc_id, term, tf) kept in ``folder``, a new version for each batch.
+    """Works changes of documents into the postings (doc_id, term, tf, bucket) kept in ``folder``.
 
-    Of several changes to a document in a batch the one that ``changes`` numbers highest in ``seq`` counts.
+    Postings lie in buckets by hash of the document; each has its own versions behind a pointer, so a batch rewrites the
+    buckets of the documents it touches and no others. Of several changes to a document in a batch the one that
+    ``changes`` numbers highest in ``seq`` counts. A batch that is repeated gives the same postings.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = latest(batch.select(doc_id, text, deleted, "seq"), [doc_id], F.col("seq")).persist()
-        posted = last.where(~F.coalesce(F.col(deleted), F.lit(False))).select(doc_id, F.explode(words(text)).alias("term")).groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf"))
-        if current_version(spark, folder) is None:
-            write_version(posted, folder)
-        else:
-            kept = read_version(spark, folder).join(last.select(doc_id), doc_id, "left_anti")
-            write_version(kept.unionByName(posted), folder)
+        last = latest(batch.select(doc_id, text, deleted, "seq"), [doc_id], F.col("seq")).withColumn("bucket", F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)).cast("int")).persist()
+        posted = last.where(~F.coalesce(F.col(deleted), F.lit(False))).select(doc_id, "bucket", F.explode(words(text)).alias("term")).groupBy("bucket", doc_id, "term").agg(F.count(F.lit(1)).alias("tf")).persist()
+        for b in sorted(r.bucket for r in last.select("bucket").distinct().collect()):  # at most BUCKETS
+            place, new = f"{folder}/bucket-{b}", posted.where(F.col("bucket") == b).select(doc_id, "term", "tf")
+            if current_version(spark, place) is not None:
+                new = read_version(spark, place).join(last.where(F.col("bucket") == b).select(doc_id), doc_id, "left_anti").unionByName(new)
+            write_version(new, place)
+        posted.unpersist()
         last.unpersist()
 
     work_off(changes, each, "append")
+
+
+def kept_postings(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The postings (doc_id, term, tf) as the last batch left them; None where nothing was written."""
+    out = None
+    for b in range(BUCKETS):
+        if current_version(spark, f"{folder}/bucket-{b}") is not None:
+            part = read_version(spark, f"{folder}/bucket-{b}")
+            out = part if out is None else out.unionByName(part)
+    return out

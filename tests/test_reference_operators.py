@@ -1,5 +1,6 @@
 """The core's other operators: cases by hand, odd values, and the registered queries against DuckDB."""
 
+import datetime as dt
 import glob
 import io
 import os
@@ -13,7 +14,7 @@ import __spark_entry__ as entry_points
 from brindle.functions import masking
 from brindle.functions import text as T
 from brindle.functions.conditions import conditions
-from brindle.operators import chunks, fusion, grep, index, ranks, snapshots
+from brindle.operators import chunks, fusion, grep, index, ranks, recall, snapshots
 from brindle.plans import registry
 from brindle.sources import files, sinks
 from brindle.streaming import jobs
@@ -28,7 +29,7 @@ def _column(spark, values, f, kind="string"):
 
 def test_tokens(spark):
     got = _column(spark, ["Don't panic, 42x!", "年假 and 长期护理a", "甲", None, "", "x" * 41], T.tokens)
-    assert got == [["don", "t", "panic", "42x"], ["and", "a", "年假", "长期", "期护", "护理"], ["甲"], [], [], []]
+    assert got == [["don", "t", "panic", "42x"], ["and", "a", "年假", "长期", "期护", "护理"], ["甲"], [], [], ["x" * 41]]
 
 
 def test_text_functions(spark):
@@ -50,18 +51,18 @@ def test_text_functions(spark):
 def test_ranking_prefers_rare_terms_and_short_fields(spark):
     docs = spark.createDataFrame([(1, "the cat"), (2, "the dog and the cat and more words"), (3, "the the the"), (4, None), (5, "")], "doc_id bigint, text string")
     terms = index.query_terms(spark.createDataFrame([(1, "CAT the"), (2, "zebra"), (3, None)], "q bigint, text string"), "q", F.col("text"))
-    got = index.bm25(docs, "doc_id", {"text": (F.col("text"), 1.0)}, terms).collect()
+    got = index.bm25(index.build(docs, "doc_id", {"text": F.col("text")}), {"text": 1.0}, terms).collect()
     assert [(r.query_id, r.rank, r.doc_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
-    strict = index.bm25(docs, "doc_id", {"text": (F.col("text"), 1.0)}, terms, all_then_any=True).collect()
+    strict = index.bm25(index.build(docs, "doc_id", {"text": F.col("text")}), {"text": 1.0}, terms, all_then_any=True).collect()
     assert {r.doc_id for r in strict} == {1, 2}
-    assert index.bm25(docs.limit(0), "doc_id", {"text": (F.col("text"), 1.0)}, terms).count() == 0
+    assert index.bm25(index.build(docs.limit(0), "doc_id", {"text": F.col("text")}), {"text": 1.0}, terms).count() == 0
 
 
 def test_phrases_and_wildcards(spark):
     docs = spark.createDataFrame([(1, "a b a b c"), (2, "b a"), (3, None)], "doc_id bigint, text string")
     phrases = spark.createDataFrame([("ab", "A b"), ("aba", "a b a"), ("none", "")], "phrase_id string, phrase string")
     assert sorted(map(tuple, index.phrase_matches(docs, "doc_id", F.col("text"), phrases).collect())) == [("ab", 1, 2), ("aba", 1, 1)]
-    posted = index.postings(spark.createDataFrame([(1, "cart cut coat")], "doc_id bigint, text string"), "doc_id", {"text": F.col("text")})
+    posted = index.build(spark.createDataFrame([(1, "cart cut coat")], "doc_id bigint, text string"), "doc_id", {"text": F.col("text")}).postings()
     assert sorted(r.term for r in index.wildcard_terms(posted, spark.createDataFrame([("c?t",), ("c*rt",)], "pattern string")).collect()) == ["cart", "cut"]
 
 
@@ -158,7 +159,7 @@ def test_index_kept_from_a_stream_equals_one_built_anew(spark, tmp_path):
         os.link(part, flat / f"{k}.parquet")
         os.utime(flat / f"{k}.parquet", (1000 + k, 1000 + k))
     jobs.keep_index(jobs.stream_table(spark, str(flat), 1), str(tmp_path / "index"), "doc_id", "text", "gone")
-    got = sorted(map(tuple, sinks.read_version(spark, str(tmp_path / "index")).select("doc_id", "term", "tf").collect()))
+    got = sorted(map(tuple, jobs.kept_postings(spark, str(tmp_path / "index")).select("doc_id", "term", "tf").collect()))
     assert got == [(1, "b", 2), (3, "e", 1)]
 
 
@@ -216,3 +217,43 @@ def test_queries_against_sql(spark, name):
 
 def test_every_query_is_registered_with_the_driver():
     assert set(registry.QUERIES) <= set(entry_points.queries()) and set(registry.ORACLE) <= set(entry_points.oracle_sql()) and set(entry_points.oracle_sql()) <= set(entry_points.queries())
+
+
+def test_picks_of_all_kinds_of_values(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, rng.choice([0.0, -0.0, 1.5, -1.5, rng.lognormvariate(0, 9), -rng.lognormvariate(0, 9), 5e-324, 1.7e308, float("inf"), float("-inf")])) for g in ("a", "b", None) for _ in range(300)]
+    got = {r.g: r for r in ranks.picks(spark.createDataFrame(rows, "g string, v double"), ["g"], F.col("v"), {"low": 0.1, "mid": 0.5, "high": 0.99}).collect()}
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == g)
+        assert (got[g].low, got[g].mid, got[g].high, got[g].n) == (own[30], own[150], own[297], 300), g
+    assert ranks.picks(spark.createDataFrame([], "g string, v double"), ["g"], F.col("v"), {"p50": 0.5}).count() == 0 and math.isinf(got["a"]["max"])
+
+
+def test_long_terms_are_indexed_and_a_kept_index_ranks_alike(spark, tmp_path):
+    long = "x" * 60
+    docs = spark.createDataFrame([(1, f"{long} cat"), (2, "cat cat dog"), (3, None), (4, "")], "doc_id bigint, text string")
+    made = index.build(docs, "doc_id", {"text": F.col("text")})
+    index.save(made, str(tmp_path / "ix"))
+    kept = index.load(spark, str(tmp_path / "ix"))
+    terms = index.query_terms(spark.createDataFrame([(1, f"{long} dog"), (2, "cat")], "q bigint, text string"), "q", F.col("text"))
+    a, b = (sorted(map(tuple, index.bm25(i, {"text": 1.0}, terms).collect())) for i in (made, kept))
+    assert a == b and {r[2] for r in a if r[0] == 1} == {1, 2}
+    assert kept.statistics().first().documents == 4
+
+
+def test_questions_are_recalled_by_what_they_hold(spark):
+    known = spark.createDataFrame([(k, q) for k, q in enumerate(["who pays the bill", "so who pays the bill for the ward", "who pays", "whose turn", "年假有几天", "请问年假"])], "id bigint, q string")
+    asked = spark.createDataFrame([(1, "who pays"), (2, "年假多久"), (3, ""), (4, "x")], "a bigint, t string")
+    got = {(r.a, r.id): r["class"] for r in recall.recalled(asked, known, "a", "t", "q", "id", (20, 4, 2), 10).collect()}
+    assert got == {(1, 2): 1, (1, 0): 2, (1, 1): 2, (1, 3): 4, (2, 4): 4, (2, 5): 4}
+
+
+def test_bursts_of_alerts_are_thinned(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(seconds=s)) for s in (0, 299, 300, 301, 599, 600, 1000, 1000)] + [(None, start), ("b", None), ("b", start)]
+    df = spark.createDataFrame(rows, "c string, t timestamp")
+    got = sorted((r.category, r.at // 1_000_000 - int(start.replace(tzinfo=dt.timezone.utc).timestamp())) for r in jobs.rate_limited(df, "t", "c").collect())
+    assert got == [("a", 0), ("a", 300), ("a", 600), ("a", 1000), ("b", 0)]
