@@ -135,11 +135,15 @@ def is_copy(query: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     sentences = [s.strip() for s in SENTENCE.split(_body(answer)) if s and s.strip()]
-    refused = [k for k, s in enumerate(sentences) if REFUSAL.search(s)]
-    if not refused or YET.search(" ".join(sentences[refused[0] : refused[0] + 2])):
+    first = next((k for k, s in enumerate(sentences[:2]) if REFUSAL.search(s)), None)  # an answer that declines does so at once
+    if first is None or YET.search(" ".join(sentences[first : first + 2])):
         return False
-    others = [s for k, s in enumerate(sentences) if k not in refused and not OFFER.search(s)]
-    return refused[0] <= 1 and len(others) <= 1
+    others = 0
+    for k, s in enumerate(sentences):
+        others += k != first and not OFFER.search(s) and not REFUSAL.search(s)
+        if others > 1:
+            return False
+    return True
 
 
 def tail_of(answer: str) -> tuple[str, str]:
