@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks at the ends of a key: white space in the Unicode sense, BOM and zero-width space.
-BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]+"
-OUTER_BLANKS = f"^{BLANK}|{BLANK}$"
+BLANKS = "".join(map(chr, (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def as_column(c: Column | str) -> Column:
@@ -16,7 +15,7 @@ def as_column(c: Column | str) -> Column:
 
 def key_form(c: Column | str) -> Column:
     """Trimmed and in lower case; null where nothing remains."""
-    return F.nullif(F.lower(F.regexp_replace(as_column(c), OUTER_BLANKS, "")), F.lit(""))
+    return F.nullif(F.lower(F.trim(as_column(c), F.lit(BLANKS))), F.lit(""))
 
 
 def log_time(c: Column | str) -> Column:
