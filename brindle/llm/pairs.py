@@ -55,7 +55,8 @@ OFFER = re.compile(
 )
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-ENDED = re.compile(r"(?:[.!?。！？]|[.!?。！？]?[\"'”’»)）\]】」』*_]+)\s*$")
+#: Marks that end a sentence, or close what it stands in.
+ENDS = frozenset(".!?。！？\"'”’»)）]】」』*_")
 SOURCE = re.compile(r"^\s*(?:\[(?:source|quelle|sources?|来源|出处)\b.*\]|(?:source|quelle|来源|出处)\s*[:：].*)\s*$", re.IGNORECASE)
 MARK = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)、]|[>#]+)\s*")
 ITEM = re.compile(r"^(\s*)(?:([-*+•])|(\d{1,3})([.)、]))\s*\S")
@@ -78,6 +79,10 @@ COMMON = {
 }
 
 
+def ended(text: str) -> bool:
+    return text.rstrip()[-1:] in ENDS and not text.isspace() and text != ""
+
+
 def squeezed(text: str) -> str:
     """Letters and digits alone, in lower case."""
     return NOT_ALNUM.sub("", text.casefold())
@@ -172,10 +177,10 @@ def tail_of(answer: str) -> tuple[str, str]:
     if last.startswith("#"):
         return ("cut" if len(lines) > 1 else "item"), text
     for opening, closing in (("(", ")"), ("（", "）"), ("[", "]"), ("「", "」"), ("“", "”")):
-        segment = SENTENCE.split(text)[-1] if not ENDED.search(text) else ""
+        segment = SENTENCE.split(text)[-1] if not ended(text) else ""
         if segment.count(opening) > segment.count(closing):
             return "cut", text
-    if ENDED.search(text):
+    if ended(text):
         return "done", text
     if item:
         return "item", (SENTENCE.split(text) or [text])[-1].strip()
@@ -184,7 +189,8 @@ def tail_of(answer: str) -> tuple[str, str]:
 
 def whole_form(answer: str) -> str:
     """An answer in the form in which whole answers are compared: a blank after each sentence, none at the end."""
-    return CJK_END.sub(" ", answer.replace("\r\n", "\n")).rstrip()
+    answer = answer.replace("\r\n", "\n")
+    return (answer if answer.isascii() else CJK_END.sub(" ", answer)).rstrip()
 
 
 def continuations(whole: str) -> list[str]:
@@ -203,7 +209,7 @@ def continuations(whole: str) -> list[str]:
         indent, bullet, number, end = item.groups()
         mark = f"{indent}{bullet} " if bullet else f"{indent}{int(number) + 1}{end}"
         return [f"\n{mark}", f"\n\n{mark}"]
-    return [" "] if ENDED.search(last) and len([x for x in SENTENCE.split(last) if x.strip()]) >= 2 else []
+    return [" "] if ended(last) and len([x for x in SENTENCE.split(last) if x.strip()]) >= 2 else []
 
 
 def judge(query: str | None, answer: str | None) -> tuple[str | None, bool, bool]:
@@ -224,13 +230,13 @@ def judge(query: str | None, answer: str | None) -> tuple[str | None, bool, bool
     return None, cut, other
 
 
-ELLIPSIS = re.compile(r"(?:[.]{2,}|…)\s*$")
-FORM_END, DIGITS = re.compile(r"[.!?。！？…\s]+$"), re.compile(r"[0-9]+")
+#: Marks and blanks at a segment's end that its form does without.
+FORM_END, DIGITS = ".!?。！？… \t\r\n\f\v\u00a0\u3000", re.compile(r"[0-9]+")
 
 
 def segment_form(text: str) -> str:
     """A segment in the form in which segments are compared: marks at its ends gone, runs of digits as 0."""
-    return DIGITS.sub("0", FORM_END.sub("", MARK.sub("", text, 1)).strip())
+    return DIGITS.sub("0", MARK.sub("", text, 1).rstrip(FORM_END).strip())
 
 
 def segments(answer: str) -> tuple[list[tuple[str, bool]], str | None]:
@@ -247,9 +253,9 @@ def segments(answer: str) -> tuple[list[tuple[str, bool]], str | None]:
     if not parts:
         return [], None
     closed = parts[-1].lstrip().startswith("```") and sum(x.lstrip().startswith("```") for x in lines) % 2 == 0
-    ended = closed or bool(ENDED.search(parts[-1])) and not ELLIPSIS.search(parts[-1])
-    out = [(f, True) for f in forms[: len(forms) if ended else -1] if f]
-    return out, None if ended or not forms[-1] else forms[-1]
+    whole = closed or ended(parts[-1]) and not parts[-1].rstrip().endswith(("..", "…"))
+    out = [(f, True) for f in forms[: len(forms) if whole else -1] if f]
+    return out, None if whole or not forms[-1] else forms[-1]
 
 
 def _views(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
