@@ -103,6 +103,14 @@ def condition_filter(spark: SparkSession, d: str) -> DataFrame:
     return files.where(conditions({c: F.col(c) for c in files.columns}, listed)).select("id")
 
 
+@register(f"SELECT id, md5(regexp_replace(answer, '{masking.PATTERNS['EMAIL']}', '[EMAIL]', 'g')) AS masked_md5, CAST(len(regexp_extract_all(answer, '{masking.PATTERNS['EMAIL']}')) AS INT) AS masks FROM search_logs WHERE answer IS NOT NULL")
+def masked_addresses(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with their e-mail addresses masked for good, by their hash, and how many were."""
+    hidden = masking.mask_only(F.col("answer"), {"EMAIL": masking.PATTERNS["EMAIL"]})
+    logs = table(spark, d, "search_logs", "id", "answer").where("answer is not null")
+    return logs.select("id", F.md5(hidden).alias("masked_md5"), F.regexp_count("answer", F.lit(masking.PATTERNS["EMAIL"])).alias("masks"))
+
+
 @register("SELECT id, md5(answer) AS restored_md5 FROM search_logs WHERE answer IS NOT NULL")
 def masks_taken_off(spark: SparkSession, d: str) -> DataFrame:
     """Answers masked with numbered placeholders and restored from them, by their hash."""

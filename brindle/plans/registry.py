@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.clean import key_form, log_time
 from brindle.operators import nested, rolling, sessions
-from brindle.plans import assembly, operations, retrieval, streams, texts
+from brindle.plans import assembly, operations, retrieval, search, streams, texts
 from brindle.plans.sql import key_sql, time_sql
 from brindle.sources.tables import table
 
@@ -96,7 +96,7 @@ hits AS (SELECT id, call_no, x FROM u UNION ALL SELECT id, -1, h FROM l),
 v AS (SELECT id, call_no, CAST(k AS INT) AS hit_no, json_extract(x, '$[' || k || ']') AS hit FROM (SELECT id, call_no, x, unnest(range(CAST(json_array_length(x) AS BIGINT))) AS k FROM hits WHERE json_type(x) = 'ARRAY'))
 SELECT id, call_no, -1 AS hit_no, '' AS doc_id FROM ok UNION ALL SELECT id, call_no, hit_no, coalesce(hit->>'doc_id', '') FROM v WHERE json_type(hit) = 'OBJECT'"""
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_totals, p6_found, p6_sessions, p7_found, p7_calls, p7_hits)} | retrieval.register.queries | texts.register.queries | operations.register.queries | streams.register.queries | assembly.register.queries
+QUERIES: dict[str, Query] = {q.__name__: q for q in (p1_found, p1_totals, p6_found, p6_sessions, p7_found, p7_calls, p7_hits)} | retrieval.register.queries | texts.register.queries | operations.register.queries | streams.register.queries | assembly.register.queries | search.register.queries
 ORACLE: dict[str, str] = {
     "p1_found": f"{_ROLLED} SELECT model, strftime(day, '%Y-%m-%d') AS day FROM rolled WHERE rows = 0 AND rows_7 > 0",
     "p1_totals": f"""{_ROLLED} SELECT model, strftime(day, '%Y-%m-%d') AS day, CAST(rows AS BIGINT) AS rows, CAST(total AS BIGINT) AS total, CAST(rows_7 AS BIGINT) AS rows_7, CAST(total_7 AS BIGINT) AS total_7,
@@ -105,4 +105,6 @@ ORACLE: dict[str, str] = {
     "p6_found": f"{_SESSIONS} SELECT token_id, first_id, last_id FROM g",
     "p6_sessions": f"{_SESSIONS} SELECT token_id, session_no, first_id, last_id, start_us, end_us, round((end_us - start_us) / 1e6, 6) AS duration_s, rows FROM g",
     "p7_found": _LINKS,
-} | retrieval.register.oracle | texts.register.oracle | operations.register.oracle | streams.register.oracle | assembly.register.oracle
+    "p7_calls": _LINKS.rsplit("SELECT id, call_no, -1 AS hit_no", 1)[0] + """SELECT id, call_no, call->>'tool' AS tool, call->>'arguments' AS arguments, TRY_CAST(call->>'success' AS BOOLEAN) AS success, TRY_CAST(call->>'timestamp' AS DOUBLE) AS timestamp, call->>'content' AS content FROM ok""",
+    "p7_hits": _LINKS.rsplit("SELECT id, call_no, -1 AS hit_no", 1)[0] + """SELECT id, call_no, hit_no, hit->>'doc_id' AS doc_id, hit->>'title' AS title, TRY_CAST(hit->>'score' AS DOUBLE) AS score, hit->>'snippet' AS snippet, hit->>'source_path' AS source_path FROM v WHERE json_type(hit) = 'OBJECT'""",
+} | retrieval.register.oracle | texts.register.oracle | operations.register.oracle | streams.register.oracle | assembly.register.oracle | search.register.oracle

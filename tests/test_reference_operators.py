@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from brindle.functions import masking
+from brindle.functions import masking, queries
 from brindle.functions import text as T
 from brindle.functions.conditions import conditions
 from brindle.operators import chunks, fusion, grep, index, ranks, recall, snapshots
@@ -257,3 +257,22 @@ def test_bursts_of_alerts_are_thinned(spark):
     df = spark.createDataFrame(rows, "c string, t timestamp")
     got = sorted((r.category, r.at // 1_000_000 - int(start.replace(tzinfo=dt.timezone.utc).timestamp())) for r in jobs.rate_limited(df, "t", "c").collect())
     assert got == [("a", 0), ("a", 300), ("a", 600), ("a", 1000), ("b", 0)]
+
+
+def test_masks_for_good(spark):
+    got = _column(spark, ["id 11010519491231002X, card 6222021234567890123, call 13912345678 or a@b.example from 10.0.0.1", "no 139123456789 and 1.2.3.4.5", "", None], masking.mask_only)
+    assert got == ["id [ID_CARD], card [BANK_CARD], call [PHONE] or [EMAIL] from [IP]", "no 139123456789 and 1.2.3.4.5", "", None]
+
+
+def test_queries_are_taken_apart(spark):
+    got = _column(spark, ['"waiting period" title:leave of reimburs* the leave', "don't say 'sick leave' http://x.y", "年假 有 几天?", "", None, "the of"], queries.parts)
+    first, second = got[0], got[1]
+    assert first.phrases == ["waiting period"] and [tuple(f) for f in first.fields] == [("title", "leave")] and first.wildcard and first.terms == ["reimburs", "leave"]
+    assert second.phrases == ["t say "] and [f.field for f in second.fields] == ["http"]
+    assert got[2].terms == ["年假", "有", "几天"] and got[2].wildcard and got[3].terms == got[4].terms == got[5].terms == []
+
+
+def test_lines_are_counted_once_for_each_query(spark):
+    docs = spark.createDataFrame([(1, "cat dog\ndog\nbird"), (2, None), (3, "bird")], "doc_id bigint, text string")
+    terms = spark.createDataFrame([(1, "cat"), (1, "dog"), (2, "bird")], "query_id int, term string")
+    assert sorted(map(tuple, grep.count_lines(docs, "doc_id", F.col("text"), terms).collect())) == [(1, 1, 2), (2, 1, 1), (2, 3, 1)]
