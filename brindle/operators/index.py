@@ -104,17 +104,19 @@ def bm25(index: Index, boosts: Mapping[str, float], terms: DataFrame, k: int | N
 def phrase_matches(docs: DataFrame, doc_id: str, text: Column, phrases: DataFrame) -> DataFrame:
     """Rows (phrase_id, doc_id, occurrences) for rows (phrase_id, phrase): runs of words equal to the phrase's.
 
-    Places of each phrase's rarest word alone are joined, so a phrase of frequent words costs no more than its rarest
-    one; the words around each place are compared with the phrase's.
+    Places of each phrase's rarest word alone give where it may begin, so a phrase of frequent words costs no more than
+    its rarest one; there each of its words is looked up by document and place.
     """
-    split = spread(docs).select(F.col(doc_id).alias("doc_id"), words(text).alias("w"))
     wanted = phrases.select("phrase_id", words("phrase").alias("p")).where("size(p) > 0")
-    asked = wanted.select("phrase_id", "p", F.posexplode("p").alias("k", "term"))
-    counts = split.select(F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = asked.join(counts, "term").groupBy("phrase_id").agg(F.min(F.struct("n", "term", "k")).alias("r"), F.first("p").alias("p"), F.count(F.lit(1)).alias("known")).where("known = size(p)").select("phrase_id", "p", "r.term", "r.k")
-    spots = split.select("doc_id", "w", F.posexplode("w").alias("at", "term"))
-    around = spots.join(rarest, "term").where((F.col("at") >= F.col("k")) & (F.slice("w", F.col("at") - F.col("k") + 1, F.size("p")) == F.col("p")))
-    return around.groupBy("phrase_id", "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
+    asked = wanted.select("phrase_id", F.posexplode("p").alias("k", "term"), F.size("p").alias("n"))
+    every = spread(docs).select(F.col(doc_id).alias("doc_id"), F.posexplode(words(text)).alias("at", "term"))
+    spots = every.join(asked.select("term").distinct(), "term", "left_semi")
+    counts = spots.groupBy("term").agg(F.count(F.lit(1)).alias("seen"))
+    rarest = asked.join(counts, "term", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "term", "k")).alias("r")).where("r.seen > 0").select("phrase_id", "r.term", "r.k")
+    begins = spots.join(rarest, "term").where("at >= k").select("phrase_id", "doc_id", (F.col("at") - F.col("k")).alias("start"))
+    looked_up = begins.join(asked, "phrase_id").select("phrase_id", "doc_id", "start", "n", (F.col("start") + F.col("k")).alias("at"), "term")
+    whole = looked_up.join(spots, ["doc_id", "at", "term"]).groupBy("phrase_id", "doc_id", "start").agg(F.count(F.lit(1)).alias("hit"), F.first("n").alias("n")).where("hit = n")
+    return whole.groupBy("phrase_id", "doc_id").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def wildcard_terms(posted: DataFrame, patterns: DataFrame) -> DataFrame:
