@@ -65,6 +65,7 @@ SEXUAL_DE = "porno pornos nacktbilder nackt nacktfotos geile geil ficken fick bl
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "+": "t", "€": "e"})
 BOUNDS = re.compile(r"[\W_]")
 ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
+FULL_WIDTH = re.compile("[Ａ-Ｚａ-ｚ]")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ ._\-*·])[^\W\d_])(?:\1[^\W\d_]){1,}(?:s{1,2}\b)?")
 REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 STARRED = re.compile(r"(?<![^\W_])([a-z])(\*{1,})([a-z]{1,3})(?![^\W_])")
@@ -210,7 +211,7 @@ def vote(sentence: str) -> tuple[int, str]:
     """
     hidden, plain_ascii = False, sentence.isascii()
     if not plain_ascii:
-        hidden = bool(ZERO_WIDTH.search(sentence)) or any("！" <= c <= "～" and c.isalpha() for c in sentence)
+        hidden = ZERO_WIDTH.search(sentence) is not None or FULL_WIDTH.search(sentence) is not None
     base = sentence.lower() if plain_ascii else ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", sentence)).lower().replace("’", "'")
     disguised = hidden or DISGUISE.search(base) is not None
     han = not plain_ascii and CJK.search(base) is not None
@@ -357,12 +358,11 @@ def _voted(rate: float):
         for frame in frames:
             counted: Counter[int] = Counter()
             kept: dict[str, int] = {}
-            for text in frame["text"]:
-                for s in sentences(text):
-                    bits, bare = vote(s)
-                    counted[bits] += 1
-                    if len(bare) <= LONGEST and (bits or zlib.crc32(bare.encode()) < rate * 2**32):
-                        kept[bare] = bits
+            for s, n in Counter(s for text in frame["text"] for s in sentences(text)).items():  # each sentence of a batch is voted on once
+                bits, bare = vote(s)
+                counted[bits] += n
+                if len(bare) <= LONGEST and (bits or zlib.crc32(bare.encode()) < rate * 2**32):
+                    kept[bare] = bits
             rows = [(None, None, bits, n) for bits, n in counted.items()] + [(s, zlib.crc32(s.encode()), bits, 0) for s, bits in kept.items()]
             yield pd.DataFrame(rows, columns=["sentence", "key", "bits", "n"]).astype({"key": "Int64"})
 
