@@ -27,7 +27,7 @@ def _index(spark: SparkSession, d: str) -> index.Index:
     """The index of the documents, kept in the shared folder: built once for a state of their files, then read."""
     docs = _docs(spark, d)
     fields = {"title": F.col("title"), "text": F.col("text"), "keywords": F.array_join("keywords", " "), "filename": F.col("filename")}
-    folder = kept_folder(docs, "index")
+    folder = kept_folder(docs, "index-of-terms")
     if not is_kept(spark, folder):
         index.save(index.build(docs, "doc_id", fields), folder)
     return index.load(spark, folder)
