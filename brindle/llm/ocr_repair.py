@@ -21,8 +21,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, compress
 
 import numpy as np
 import pandas as pd
@@ -48,13 +49,14 @@ FILTER_BITS = 1 << 25
 #: Words longer than this are compared by their halves, as all their variants would take room by the square of it.
 BY_HALVES = 64
 
-LINES = re.compile("\r\n|\n|\r|\x0c|\x0b|\u2028|\u2029")
 HYPHENS = "-‐¬­‑"
 ROMAN = r"[A-Za-zÀ-ɏ0-9|!$+€]"
 BROKEN = re.compile(rf"(?<![^\W_])([A-Za-zÀ-ɏ]{ROMAN}*(?:['’-]{ROMAN}+)*|{ROMAN}+)[{HYPHENS}]$")
 HEAD = re.compile(rf"^({ROMAN}+(?:['’-]{ROMAN}+)*)")
 #: Neighbouring words of letters, kept apart by one blank or a line's end.
 PAIR = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)(?=([ \n])([A-Za-zÀ-ɏ]+)(?![\w'’|$+€@/-]))")
+#: Its two parts, in what stands between blanks or line ends.
+PAIR_TAIL, PAIR_HEAD = re.compile(r"(?<![\w'’|!$+€.@/-])([A-Za-zÀ-ɏ]+)\Z"), re.compile(r"([A-Za-zÀ-ɏ]+)(?![\w'’|$+€@/-])")
 #: Words that are right though both of their parts often stand side by side.
 ALSO_TWO = frozenset(
     "maybe everyday anyone anybody anything anyway anymore anytime everyone everybody everything someone somebody something somehow someday sometime sometimes somewhat nobody nothing cannot into onto upon within without "
@@ -91,7 +93,40 @@ PAGE_OF = re.compile(r"(?:\b(?:pages?|seite|blatt|folio|página|pag[.]?|pg[.]?|p
 DIGIT, NOT_WORD = re.compile("[0-9]"), re.compile(r"\W")
 OUTER_NUMBER = re.compile(r"^[\[(]?[0-9]{1,4}[\])]?(?=[^\w.)]|_)|(?<=[\W_])[\[(]?[0-9]{1,4}[\])]?$")
 YEAR = re.compile(r"(?<=[\W_])(?:19|20)[0-9]{2}$")
-ALIKE = str.maketrans("015968|!i", "olsgbblll")
+ALIKE, ALIKE_DIGITS = tuple(zip("|!i", "lll", strict=True)), tuple(zip("015968", "olsgbb", strict=True))
+
+
+class Remembered(dict):
+    """Answers about stretches of text, worked out once for each; ``shrink`` forgets them when they get many.
+
+    Long stretches are never kept, and those without an answer only if they are no whole line of Han text.
+    """
+
+    LONGEST, LONGEST_EMPTY, MOST = 64, 24, 200_000
+
+    def __init__(self, answer: Callable[[str], object]) -> None:
+        super().__init__()
+        self.answer = answer
+
+    def __missing__(self, stretch: str):
+        value = self.answer(stretch)
+        if len(stretch) <= (self.LONGEST if value else self.LONGEST_EMPTY):
+            self[stretch] = value
+        return value
+
+    def shrink(self) -> None:
+        if len(self) > self.MOST:
+            self.clear()
+
+
+def split_lines(text: str) -> list[str]:
+    """Lines of a text, whichever mark ends them."""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    for mark in "\x0c\x0b\u2028\u2029":
+        if mark in text:
+            text = text.replace(mark, "\n")
+    return text.split("\n")
 
 
 def without_page(line: str) -> str:
@@ -99,15 +134,22 @@ def without_page(line: str) -> str:
     return PAGE_OF.sub("#", line) if DIGIT.search(line) else line
 
 
-def header_form(line: str) -> str:
-    """A line's form for comparison: its page's number and a number at either end dropped, look-alike characters made one, blanks and marks gone."""
+def header_form(line: str, bare: str | None = None) -> str:
+    """A line's form for comparison: its page's number and a number at either end dropped, look-alike characters made one, blanks and marks gone.
+
+    ``bare`` is the line without its page's number, if it is known.
+    """
     line = line.strip()
-    text = without_page(line).strip().lower()
+    text = (without_page(line) if bare is None else bare).strip().lower()
     if DIGIT.search(line):
         # A year belongs to the title; only a number that changes from page to page is dropped, so years come back.
         year = YEAR.search(line)
         text = OUTER_NUMBER.sub("#", text) + (year.group() if year else "")
-    text = text.translate(ALIKE).replace("rn", "m").replace("vv", "w").replace("c", "e")
+        for read, meant in ALIKE_DIGITS:
+            text = text.replace(read, meant)
+    for read, meant in ALIKE:
+        text = text.replace(read, meant)
+    text = text.replace("rn", "m").replace("vv", "w").replace("c", "e")
     return text if text.isalnum() else "".join(filter(str.isalnum, text))
 
 
@@ -120,6 +162,18 @@ def is_unfinished(line: str) -> bool:
     return last in WORDS_GOING_ON or NOT_WORD.split(last)[-1] in WORDS_GOING_ON
 
 
+#: First small letters of what ``PAGE_OF`` takes out.
+PAGE_STARTS = frozenset("bfpsſ")
+
+
+def _bare(line: str) -> str | None:
+    """A line without its page's number, if it then neither ends nor begins in the middle of a sentence; a page's number never ends in a mark of ``GOING_ON``."""
+    if line[-1] in GOING_ON or line[0].islower() and line[0] not in PAGE_STARTS:
+        return None
+    bare = without_page(line)
+    return None if is_unfinished(bare) else bare
+
+
 #: Lines from a page's top or bottom within which headers stand; longest number of a page, marks around it aside, that ``NUMBER_LINE`` knows.
 EDGE, SHORT = 4, 32
 #: Lines from a page's top or bottom within which a line that only ever stands there is a header on however few pages.
@@ -137,6 +191,11 @@ def _mere(line: str) -> str | None:
     return "page_number" if NUMBER_LINE.match(line) and not ITEM_NUMBER.match(line) else None
 
 
+#: Whether a line that begins like this can be one of them.
+_may_be_mere = Remembered(lambda first: not first.isalnum() or MERE_START.match(first) is not None)
+MERE_START = re.compile("[0-9OoIlmdcxvpsbfn第页頁共]", re.IGNORECASE)
+
+
 LINE = "result_id bigint, file_id bigint, page_no int, line_no int, item string, edge boolean, kind string, goes_on boolean, form string"
 
 
@@ -148,15 +207,18 @@ def _emit_lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for result, file, page, pages, text in zip(frame["result_id"], frame["file_id"], frame["page_no"], frame["pages"], frame["text"], strict=True):
-            lines = [(k, x) for k, x in enumerate(y.strip(" \t\u00a0\u3000") for y in LINES.split(text)) if x]
-            mere = [_mere(x) for _, x in lines]
+            lines = [(k, x) for k, y in enumerate(split_lines(text)) if (x := y.strip(" \t\u00a0\u3000"))]
+            mere = [_mere(x) if _may_be_mere[x[0]] and (len(x) <= SHORT or x[0] in RULE or x[-1] in RULE) else None for _, x in lines]
             one, anywhere, n = pages == 1, not pages <= 1, len(lines)
-            for at, (k, x) in enumerate(lines):
-                if mere[at]:
-                    rows.append((result, file, page, k, x, None, mere[at], None, None))
-                elif file == file and (anywhere or at < EDGE or at >= n - EDGE) and not is_unfinished(without_page(x)) and not (x[0] in SECTION_STARTS and SECTION_RE.match(x)):
+            rows += [(result, file, page, k, x, None, m, None, None) for (k, x), m in zip(lines, mere, strict=True) if m]
+            if file != file:
+                continue
+            for at in range(n) if anywhere or n <= 2 * EDGE else (*range(EDGE), *range(n - EDGE, n)):
+                k, x = lines[at]
+                if not mere[at] and x[-1] not in GOING_ON and (bare := _bare(x)) is not None and not (x[0] in SECTION_STARTS and SECTION_RE.match(x)):
                     after = next((y for (_, y), m in zip(lines[at + 1 : at + 1 + EDGE], mere[at + 1 : at + 1 + EDGE], strict=True) if not m), "")
-                    rows.append((result, file, page, k, x, one and (at < OUTER or at >= n - OUTER), "line", GOES_ON.match(after) is not None and after.lstrip("0123456789 ")[:1].islower(), header_form(x)))
+                    form = header_form(x, None if x[0].isspace() or x[-1].isspace() else bare)
+                    rows.append((result, file, page, k, x, one and (at < OUTER or at >= n - OUTER), "line", GOES_ON.match(after) is not None and after.lstrip("0123456789 ")[:1].islower(), form))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")]).astype({"file_id": "Int64", "page_no": "Int32", "edge": "boolean", "goes_on": "boolean"})
 
 
@@ -184,70 +246,141 @@ def furniture(pages: DataFrame) -> DataFrame:
     return heads.unionByName(rest)
 
 
+#: English words of a stretch between blanks, and German ones times ``_MANY``.
+_MANY = 1 << 40
+_tongues = Remembered(lambda chunk: sum((t in ENGLISH) + (t in GERMAN) * _MANY for t in LOW_WORD.findall(chunk.lower())))
+LOW_WORD = re.compile("[a-zäöüß]+")
+
+
 def _language(text: str) -> str:
-    tokens = re.findall(r"[a-zäöüß]+", text.lower())
-    en, de = sum(t in ENGLISH for t in tokens), sum(t in GERMAN for t in tokens)
+    de, en = divmod(sum(map(_tongues.__getitem__, text.split())), _MANY)
+    _tongues.shrink()
     return "de" if de > en else "en" if en else "other"
 
 
 def _stream(text: str, drop: set[int]) -> list[tuple[int, str]]:
     """Lines that belong to the running text."""
-    return [(k, x) for k, x in enumerate(LINES.split(text)) if k not in drop and x and not x.isspace()]
+    return [(k, x) for k, x in enumerate(split_lines(text)) if k not in drop and x and not x.isspace()]
+
+
+def _chunks(running: str) -> list[str]:
+    """What stands between single blanks and line ends; neither words nor parts of neighbours reach over them."""
+    return running.replace("\n", " ").split(" ")
 
 
 def _divided(left: str, right: str) -> bool:
     """Whether two parts can be one word of letters, a misread one perhaps; codes and numbers aren't."""
+    if left.isalpha() and right.isalpha():
+        return True
     return not CODE.match(left.lower()) and not CODE.match(right.lower()) and sum(c.isalpha() for c in left + right) > sum(c.isdigit() for c in left + right) * 2
 
 
+def _division(line: str, after: str) -> tuple[re.Match, re.Match] | None:
+    """The parts of a word divided between two lines without blanks around them."""
+    if line[-1:] not in HYPHENS:
+        return None
+    tail, head = BROKEN.search(line, line.rfind(" ") + 1), HEAD.match(after)
+    return (tail, head) if tail and head and _divided(tail.group(1), head.group(1)) else None
+
+
 def _broken(lines: list[tuple[int, str]]) -> list[tuple[str, str, bool]]:
     """Words divided at the lines' ends: both parts, and whether the mark can only be that of a division."""
-    out = []
-    for (_, line), (_, after) in zip(lines, lines[1:], strict=False):
-        body = line.rstrip()
-        if body[-1:] in HYPHENS:
-            tail, head = BROKEN.search(body), HEAD.match(after.strip())
-            if tail and head and _divided(tail.group(1), head.group(1)):
-                out.append((tail.group(1), head.group(1), body[-1] != "-"))
-    return out
+    found = ((line, _division(line, after)) for (_, line), (_, after) in zip(lines, lines[1:], strict=False) if line[-1] in HYPHENS)
+    return [(d[0].group(1), d[1].group(1), line[-1] != "-") for line, d in found if d]
+
+
+class Counts:
+    """Words and neighbours of texts, counted by the chunks they stand in: each chunk is taken apart once, its number stands for it."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers = Remembered(self._number)
+        self.parts: dict[str, int] = {}
+        self.words: list[list[str]] = []
+        self.tails, self.heads = [], []
+        self.of_chunk = np.zeros(0, dtype=np.int64)
+        self.pairs: Counter[int] = Counter()
+        self._add([], None, None)  # number 0: nothing to be counted
+
+    def __len__(self) -> int:
+        return len(self.numbers) + len(self.words) + len(self.pairs)
+
+    def _add(self, words: list[str], tail: re.Match | None, head: re.Match | None) -> int:
+        self.words.append(words)
+        for part, to in ((tail, self.tails), (head, self.heads)):
+            to.append(self.parts.setdefault(part.group(1), len(self.parts)) if part else -1)
+        return len(self.words) - 1
+
+    def _number(self, chunk: str) -> int:
+        words = [t for t in TOKEN.findall(chunk) if WORD_LIKE.match(t.rstrip(".").lower())]
+        tail, head = PAIR_TAIL.search(chunk), PAIR_HEAD.match(chunk)
+        return self._add(words, tail, head) if words or tail or head else 0
+
+    def add(self, streams: list[str]) -> None:
+        """Counts streams; no neighbours stand on two of them."""
+        number = self.numbers.__getitem__
+        each = [x for r in streams for x in (np.fromiter(map(number, _chunks(r)), dtype=np.int64), [0])]
+        if not each:
+            return
+        at = np.concatenate(each, dtype=np.int64)
+        self.of_chunk = np.bincount(at, minlength=len(self.words)) + np.pad(self.of_chunk, (0, len(self.words) - len(self.of_chunk)))
+        left, right = np.array(self.tails)[at[:-1]], np.array(self.heads)[at[1:]]
+        both = (left >= 0) & (right >= 0)
+        codes, n = np.unique((left[both] << 32) | right[both], return_counts=True)
+        for code, k in zip(codes.tolist(), n.tolist(), strict=True):
+            self.pairs[code] += k
+
+    def by_word(self) -> Counter[str]:
+        out: Counter[str] = Counter()
+        for words, n in zip(self.words, self.of_chunk.tolist(), strict=False):
+            for word in words:
+                out[word] += n
+        return out
+
+    def by_pair(self) -> Iterator[tuple[str, str, int]]:
+        parts = list(self.parts)
+        return ((parts[code >> 32], parts[code & 0xFFFFFFFF], n) for code, n in self.pairs.items())
 
 
 def _emit_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Words, broken words, neighbours and header words of a partition with their counts, let go whenever they get many."""
-    words: Counter[str] = Counter()
+    counts = Counts()
     broken: Counter[tuple[str, str, bool]] = Counter()
     heads_: Counter[str] = Counter()
-    pairs: Counter[tuple[str, str, str]] = Counter()
 
     def flush() -> pd.DataFrame:
         rows: Counter[tuple] = Counter()
-        for sort, counter in (("word", words), ("head", heads_)):
+        words, of_heads = counts.by_word(), Counter()
+        for (a, b, _), n in broken.items():
+            words[a] -= n
+            words[b] -= n
+        for head, n in heads_.items():
+            for token in TOKEN.findall(head):
+                of_heads[token] += n
+        for sort, counter in (("word", words), ("head", of_heads)):
             for token, n in counter.items():
                 small = token.rstrip(".").lower()
                 if n > 0 and WORD_LIKE.match(small):
                     rows[sort, small, None, sort == "word" and token[:1].isupper()] += n
         for (a, b, soft), n in broken.items():
             rows["soft" if soft else "hard", a, b, False] += n
-        for (a, _, b), n in pairs.items():
+        for a, b, n in counts.by_pair():
             rows["pair", a.lower(), b.lower(), b[:1].isupper()] += n
-        for counter in (words, broken, heads_, pairs):
+        for counter in (counts, broken, heads_):
             counter.clear()
         return pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["sort", "a", "b", "cased", "n"])
 
     for frame in frames:
+        streams = []
         for text, drop, heads in zip(frame["text"], frame["drop"], frame["heads"], strict=True):
-            lines = _stream(text, set(drop))
-            running = "\n".join(x.strip() for _, x in lines)
-            words.update(TOKEN.findall(running))
-            pairs.update(PAIR.findall(running))
-            parts = _broken(lines)
-            broken.update(parts)
-            for a, b, _ in parts:
-                words[a] -= 1
-                words[b] -= 1
-            for head in heads:
-                heads_.update(TOKEN.findall(head))
-        if len(words) + len(broken) + len(pairs) > 200_000:
+            lines = [(k, x.strip()) for k, x in _stream(text, set(drop))]
+            streams.append("\n".join([x for _, x in lines]))
+            broken.update(_broken(lines))
+            heads_.update(heads)
+        counts.add(streams)
+        if len(counts) + len(broken) + len(heads_) > 200_000:
             yield flush()
     yield flush()
 
@@ -428,58 +561,49 @@ def passes(bits: bytes, surface: str) -> bool:
 WINDOW = "result_id bigint, at int, window string, form string, english boolean, surfaces array<string>"
 
 
-class Seen:
-    """Which surfaces may have edges, by the bitmap; answers are remembered."""
+class Seen(Remembered):
+    """What of a chunk may have edges, by the bitmap: its tokens (start, surface) that do, and its last word if it may begin an edge over the next word; None if nothing does."""
 
     def __init__(self, bits: bytes) -> None:
-        self.bits, self.asked, self.alone, self.left = bits, set(), set(), set()
+        super().__init__(self._look)
+        self.bits = bits
 
-    def look(self, tokens: set[str]) -> tuple[set[str], set[str]]:
-        """Those of ``tokens`` that may have edges, and those that may begin one over the next word."""
-        for t in tokens - self.asked:
-            if passes(self.bits, t):
-                self.alone.add(t)
-            if passes(self.bits, f"{t} "):
-                self.left.add(t)
-        if len(self.asked) > 500_000:
-            self.asked.clear()
-        self.asked |= tokens
-        return tokens & self.alone, tokens & self.left
+    def _look(self, chunk: str) -> tuple[list[tuple[int, str]], str | None] | None:
+        tokens = [(m.start(), m.group().rstrip(".")) for m in TOKEN.finditer(lowered(chunk))]
+        alone = [(at, token) for at, token in tokens if passes(self.bits, token)]
+        tail = PAIR_TAIL.search(chunk)
+        left = tail.group(1) if tail and passes(self.bits, f"{tail.group(1).lower()} ") else None
+        return (alone, left) if alone or left else None
 
 
 def _places(lines: list[tuple[int, str]], running: str, low: str, seen: Seen) -> tuple[list[tuple[int, int, str]], list[int]]:
     """Stretches (start, end, surface) of the stream that may have edges, and where a line's end may divide a word without a mark."""
     out: list[tuple[int, int, str]] = []
-    alone, left = seen.look({t.rstrip(".") for t in TOKEN.findall(low)})
-    at = 0
-    if alone:
-        for line in low.split("\n"):
-            if any(t in line for t in alone):
-                for m in TOKEN.finditer(line):
-                    token = m.group().rstrip(".")
-                    if token in alone:
-                        out.append((at + m.start(), at + m.start() + len(token), token))
-            at += len(line) + 1
     joints: list[int] = []
-    if left:
-        breaks: list[bool] | None = None
-        for m in PAIR.finditer(running):
-            surface = f"{m.group(1)} {m.group(3)}".lower()
-            if m.group(3)[:1].islower() and m.group(1).lower() in left and passes(seen.bits, surface):
-                if m.group(2) == "\n":
+    breaks: list[bool] | None = None
+    chunks = _chunks(running)
+    found = list(map(seen.__getitem__, chunks))
+    if any(found):
+        stops = list(accumulate(map(len, chunks)))
+        for k in compress(range(len(chunks)), found):
+            alone, left = found[k]
+            stop = stops[k] + k  # so many blanks and line ends stand before the chunk
+            out += [(stop - len(chunks[k]) + at, stop - len(chunks[k]) + at + len(token), token) for at, token in alone]
+            head = PAIR_HEAD.match(chunks[k + 1]) if left and k + 1 < len(chunks) and chunks[k + 1][:1].islower() else None
+            if head and passes(seen.bits, surface := f"{left} {head.group(1)}".lower()):
+                if running[stop] == "\n":
                     breaks = breaks or paragraph_breaks(lines, max(len(x) for _, x in lines))
-                    if breaks[running.count("\n", 0, m.end(2))]:
+                    if breaks[running.count("\n", 0, stop + 1)]:
                         continue
-                    joints.append(m.start(2))
-                out.append((m.start(), m.end(3), surface))
+                    joints.append(stop)
+                out.append((stop - len(left), stop + 1 + head.end(1), surface))
     at = 0
     for (_, line), (_, after) in zip(lines, lines[1:], strict=False):
         end = at + len(line)
-        if line[-1:] in HYPHENS:
-            tail, head = BROKEN.search(line), HEAD.match(after)
-            if tail and head and _divided(tail.group(1), head.group(1)):
-                first, last = at + tail.start(1), end + 1 + head.end(1)
-                out.append((first, last, f"{low[first : at + tail.end(1)]}-\n{low[end + 1 : last]}"))
+        if line[-1:] in HYPHENS and (parts := _division(line, after)):
+            tail, head = parts
+            first, last = at + tail.start(1), end + 1 + head.end(1)
+            out.append((first, last, f"{low[first : at + tail.end(1)]}-\n{low[end + 1 : last]}"))
         at = end + 1
     return out, joints
 
@@ -517,9 +641,13 @@ def _beside(running: str, a: int, b: int) -> tuple[int, int]:
     low, high = max(0, a - BESIDE), min(len(running), b + BESIDE)
     for more in (0, 1):
         if a > low:
-            a = max(running.rfind(" ", low, a - more), running.rfind("\n", low, a - more), low - 1) + 1
+            blank = max(running.rfind(" ", low, a - more), low - 1)
+            a = max(running.rfind("\n", blank + 1, a - more), blank) + 1
         if b < high:
-            b = min((x for x in (running.find(" ", b + more, high), running.find("\n", b + more, high)) if x >= 0), default=high)
+            blank = running.find(" ", b + more, high)
+            blank = high if blank < 0 else blank
+            line = running.find("\n", b + more, blank)
+            b = blank if line < 0 else line
     return a, b
 
 
@@ -534,10 +662,12 @@ def _emit_windows(shared):
                 tongue: list[bool] = []
                 for n, lines in enumerate(([(k, x.strip()) for k, x in _stream(text, set(drop))], *([(0, h)] for h in heads))):
                     running = "\n".join([x for _, x in lines])
-                    places, joints = _places(lines, running, lowered(running), seen)
+                    low = lowered(running)
+                    places, joints = _places(lines, running, low, seen)
                     if places:
                         tongue = tongue or [_language(text) == "en"]
-                        rows += [(result, -1 if n else a, w, f, tongue[0], s) for a, w, f, s in _windows(running, lowered(running), places, joints)]
+                        rows += [(result, -1 if n else a, w, f, tongue[0], s) for a, w, f, s in _windows(running, low, places, joints)]
+                seen.shrink()
             yield pd.DataFrame(rows, columns=["result_id", "at", "window", "form", "english", "surfaces"])
 
     return run
@@ -573,37 +703,44 @@ def decode_window(form: str, readings: dict[str, list[tuple[str, float, bool, bo
     ends = set(spans.values())
     by_size = sorted({len(x) for x in readings})
 
-    def reach(j: int, price: float, how: tuple) -> None:
-        if price < cost[j] - 1e-9:
-            cost[j], back[j] = price, how
-
     for i in range(n):
-        if cost[i] == math.inf:
+        here = cost[i]
+        if here == math.inf:
             continue
         end = spans.get(i)
-        if end is not None:
-            for size in by_size:
-                j = i + size
-                if j <= n and (j in ends or j == n or not form[j].isalnum()):
-                    for word, price, hyphen, misread in readings.get(form[i:j], ()):
-                        reach(j, cost[i] + price, (i, word, hyphen, misread))
-            surface = form[i:end]
-            reach(end, cost[i] + own.get(surface, UNKNOWN), (i, None, False, False))
-        else:
-            reach(i + 1, cost[i] + (UNCOVERED if form.startswith("-\n", i) else 0.0), (i, None, False, False))
+        if end is None:
+            price = here + UNCOVERED if form.startswith("-\n", i) else here
+            if price < cost[i + 1] - 1e-9:
+                cost[i + 1], back[i + 1] = price, None
+            continue
+        for size in by_size:
+            j = i + size
+            if j <= n and (j in ends or j == n or not form[j].isalnum()):
+                for word, price, hyphen, misread in readings.get(form[i:j], ()):
+                    if here + price < cost[j] - 1e-9:
+                        cost[j], back[j] = here + price, (i, word, hyphen, misread)
+        price = here + own.get(form[i:end], UNKNOWN)
+        if price < cost[end] - 1e-9:
+            cost[end], back[end] = price, (i, None, False, False)
     out, j = [], n
     while j:
-        i, word, hyphen, misread = back[j]
+        if (how := back[j]) is None:  # a character that belongs to no word
+            j -= 1
+            continue
+        i, word, hyphen, misread = how
         if word is not None and word != form[i:j]:
             out.append((i, j, word, hyphen, misread))
         j = i
     return out[::-1]
 
 
+#: A blank or line's end, with the mark of a division perhaps, and with it.
+JOINT, DIVISION, ANY_BLANK = re.compile(rf"[{HYPHENS}]?\s"), re.compile(rf"[{HYPHENS}]\s"), re.compile(r"\s")
+
+
 def _as(word: str, like: str) -> str:
     """``word`` in the case of ``like``."""
-    whole = re.sub(rf"[{HYPHENS}]?\s", "", like)
-    for letters in (whole, re.sub(rf"[{HYPHENS}]\s", "-", like)):
+    for letters in (JOINT.sub("", like), DIVISION.sub("-", like)) if ANY_BLANK.search(like) else (like,):
         if word.replace(" ", "") == letters.lower():  # ran together, torn or divided: the letters stay as they are
             at = word.find(" ")
             return letters if at < 0 else f"{letters[:at]} {letters[at:]}"
@@ -759,17 +896,20 @@ CLEAN_WORD = re.compile(r"[A-Za-z\u00c0-\u024f]+(?:['’-][A-Za-z\u00c0-\u024f]+
 
 
 def _count_words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words: Counter[str] = Counter()
+    chunks: Counter[str] = Counter()  # no word reaches over a blank, so each chunk is taken apart once
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(w.lower(), n, n if w[:1].islower() else 0) for w, n in words.items()], columns=["word", "n", "small"])
-        words.clear()
-        return out
+        words: Counter[str] = Counter()
+        for chunk, n in chunks.items():
+            for word in CLEAN_WORD.findall(chunk):
+                words[word] += n
+        chunks.clear()
+        return pd.DataFrame([(w.lower(), n, n if w[:1].islower() else 0) for w, n in words.items()], columns=["word", "n", "small"])
 
     for frame in frames:
         for text in frame["text"]:
-            words.update(CLEAN_WORD.findall(text))
-        if len(words) > 200_000:
+            chunks.update(text.split())
+        if len(chunks) > 200_000:
             yield flush()
     yield flush()
 

@@ -3,8 +3,12 @@
 import random
 import re
 import time
+import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +146,64 @@ def test_noise_of_scanned_pages(spark):
     assert texts[200].startswith("The clerk and the manager delay the discharge summary") and texts[203] == "表格KV-2019用完为限。"
 
 
+class _Watched:
+    """A pattern that counts the characters it is asked about."""
+
+    def __init__(self, pattern):
+        self.pattern, self.asked = pattern, 0
+
+    def findall(self, text):
+        self.asked += len(text)
+        return self.pattern.findall(text)
+
+    def finditer(self, text):
+        self.asked += len(text)
+        return self.pattern.finditer(text)
+
+
+def test_each_stretch_of_pages_is_taken_apart_once(monkeypatch):
+    page = "The c1erk  (and\tthe claims-desk) pays 1,200.50 at 9|10.\nIm Jahr 2019 stieg·der Preis der Kran-\nkenhaus€ und A/B x@y.z, l'heure d'été.\n付31,000元 在合同 Plan B内+ rn a a a"
+    texts, copies = [page[k:] + page[:k] for k in range(0, len(page), 7)], 60
+    frame = pd.DataFrame({"result_id": range(len(texts) * copies), "text": texts * copies, "drop": [[]] * len(texts) * copies, "heads": [[]] * len(texts) * copies})
+    # The counts are those of the patterns over whole texts ...
+    expected = Counter()
+    for text in texts:
+        lines = [x.strip() for x in re.split("[\r\n]", text) if x.strip()]
+        words = Counter(ocr_repair.TOKEN.findall("\n".join(lines)))
+        for a, b, soft in ocr_repair._broken(list(enumerate(lines))):
+            words.subtract([a, b])
+            expected["soft" if soft else "hard", a, b, False] += 1
+        for word, n in words.items():
+            if n > 0 and ocr_repair.WORD_LIKE.match(word.lower()):
+                expected["word", word.lower(), None, word[0].isupper()] += n
+        for a, _, b in ocr_repair.PAIR.findall("\n".join(lines)):
+            expected["pair", a.lower(), b.lower(), b[0].isupper()] += 1
+    watched = _Watched(ocr_repair.TOKEN)
+    monkeypatch.setattr(ocr_repair, "TOKEN", watched)
+    got = Counter()
+    for out in ocr_repair._emit_pieces(iter([frame[:100], frame[100:]])):
+        for row in out.itertuples(index=False):
+            got[row.sort, row.a, row.b, row.cased] += row.n
+    assert got == {k: n * copies for k, n in expected.items()}
+    # ... and the work, as that for the windows, doesn't grow with the copies.
+    once = sum(map(len, texts))
+    assert watched.asked <= once
+    watched.asked = 0
+    bits = bytearray(ocr_repair.FILTER_BITS // 8)
+    at = zlib.crc32(b"c1erk") % ocr_repair.FILTER_BITS
+    bits[at >> 3] |= 1 << (at & 7)
+    windows = pd.concat(ocr_repair._emit_windows(SimpleNamespace(value=bytes(bits)))(iter([frame])))
+    assert (windows["surfaces"].map(lambda x: "c1erk" in x)).sum() == copies * sum("c1erk" in t for t in texts)
+    assert watched.asked <= once
+
+
+@pytest.mark.parametrize("line", ["页", "第 3 页", "共5", "of 12", "de 5", "xiv", "· 7 ·", "Seite 3 von 9", "- - -", "O1", "ſ. 4"])
+def test_any_line_that_is_a_number_of_a_page_is_looked_at(line):
+    frame = pd.DataFrame({"result_id": [1], "file_id": [1.0], "page_no": [1], "pages": [1], "text": [f"The clerk\x0c{line}\r\npays."]})
+    rows = pd.concat(ocr_repair._emit_lines(iter([frame])))
+    assert [(r.line_no, r.kind) for r in rows.itertuples() if r.kind != "line"] == [(1, ocr_repair._mere(line))] and ocr_repair._mere(line)
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "result_id bigint, file_id bigint, page_no int, pages int, text string")
     repair = ocr_repair.repair_pages(df)
